@@ -7,10 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm import mixing, quality_rules
+from tidelag.llm import mixing, pieces, pii, quality_rules, token_counts, toxicity
 from tidelag.llm.common import documents
 
 
+#: The pseudonym key of the demonstration query; production passes a secret of up to 64 bytes.
+PII_KEY = b"demonstration key, not a secret"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity, likeliest grade and toxic flag of every document, from a model fitted on labels."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = docs.select("doc_id", toxicity.severity(F.col("text"), model).alias("__s"))
+    return scored.select("doc_id", F.col("__s.expected_severity"), F.col("__s.grade"), F.col("__s.toxic"))
+
+
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with validated numbers, dates and mail names replaced, and where they stand."""
+    docs = documents(spark, sf_dir).select("doc_id", pii.pseudonymised(F.col("text"), PII_KEY).alias("__p"))
+    return docs.select("doc_id", F.col("__p.text"), F.size("__p.spans").cast("long").alias("n_replaced"), F.col("__p.spans"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits, and how much was encoded again."""
+    vocabulary = token_counts.Vocabulary.read()
+    docs = documents(spark, sf_dir).select("doc_id", token_counts.edited_counts(F.col("text"), vocabulary).alias("__c"))
+    return docs.select("doc_id", "__c.*")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source's target and the words that the mix takes of it."""
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
@@ -24,6 +49,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"__q.{c}").alias(c) for c in names])
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts, a digest of the ids and the round trip of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", pieces.digest(F.col("text"), pieces.Pieces.read()).alias("__d"))
+    return docs.select("doc_id", "__d.*")
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -39,5 +70,5 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM r
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_mix_sources, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_pseudonyms, op4_token_counts, op5_mix_sources, op9_quality_rules, op10_sentencepiece)}
 ORACLES: dict[str, str] = {"op5_mix_sources": OP5_SQL}
