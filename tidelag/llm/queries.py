@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm import jaccard_join, mixing, pieces, pii, quality_rules, token_counts, toxicity
+from tidelag.llm import jaccard_join, line_dedup, mixing, pieces, pii, quality_rules, token_counts, toxicity
 from tidelag.llm.common import documents
 
 
@@ -23,6 +23,26 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.col("__s.expected_severity"), F.col("__s.grade"), F.col("__s.toxic"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without later copies of runs of two lines or more, and what was deleted."""
+    d = line_dedup.dedupe(documents(spark, sf_dir).select("doc_id", "text"))
+    return d.select("doc_id", "text", *[F.col(f"__d.{c}").alias(c) for c in ("n_lines", "n_removed", "longest_run")])
+
+
+OP2_SQL = r"""
+WITH a AS (SELECT doc_id, unnest(str_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(str_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+w AS (SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM a WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+p AS (SELECT doc_id, j, line, lead(line) OVER (PARTITION BY doc_id ORDER BY j) AS following FROM w),
+f AS (SELECT doc_id, j, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, j) AS k FROM p WHERE following IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, j + s AS j FROM f, (VALUES (0), (1)) t(s) WHERE k > 1),
+r AS (SELECT doc_id, max(n) AS longest_run FROM (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS island FROM g) GROUP BY doc_id, island) GROUP BY doc_id),
+c AS (SELECT a.doc_id, string_agg(CASE WHEN g.j IS NULL THEN a.line END, chr(10) ORDER BY a.i) AS text, count(w.j) AS n_lines, count(g.j) AS n_removed
+      FROM a LEFT JOIN w ON a.doc_id = w.doc_id AND a.i = w.i LEFT JOIN g ON w.doc_id = g.doc_id AND w.j = g.j GROUP BY a.doc_id)
+SELECT c.doc_id, coalesce(c.text, '') AS text, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run
+FROM c LEFT JOIN r ON c.doc_id = r.doc_id
+"""
+
+
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with validated numbers, dates and mail names replaced, and where they stand."""
     docs = documents(spark, sf_dir).select("doc_id", pii.pseudonymised(F.col("text"), PII_KEY).alias("__p"))
@@ -75,5 +95,5 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM r
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_pseudonyms, op4_token_counts, op5_mix_sources, op7_jaccard_join, op9_quality_rules, op10_sentencepiece)}
-ORACLES: dict[str, str] = {"op5_mix_sources": OP5_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_pseudonyms, op4_token_counts, op5_mix_sources, op7_jaccard_join, op9_quality_rules, op10_sentencepiece)}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_mix_sources": OP5_SQL}
