@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,14 +43,14 @@ def bucket_counts(docs: DataFrame, text: str = "text", words: int = WORDS) -> np
     """
     n = 1 << SKETCH_BITS
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n, dtype=np.int64)
         for b in batches:
             for _, texts in parts(b, text):
                 s, _ = shingle_sets(texts, words)
                 total += np.bincount((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=n)
         if total.any():
-            yield pd.DataFrame({"block": range(n // _BLOCK), "counts": [x.astype("<i4").tobytes() for x in total.reshape(-1, _BLOCK)]})
+            yield pa.RecordBatch.from_pydict({"block": pa.array(range(n // _BLOCK), pa.int32()), "counts": pa.array([x.astype("<i4").tobytes() for x in total.reshape(-1, _BLOCK)], pa.binary())})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -58,7 +59,7 @@ def bucket_counts(docs: DataFrame, text: str = "text", words: int = WORDS) -> np
                 sums[block] = sums.get(block, 0) + np.frombuffer(x, "<i4").astype(np.int64)
         yield pd.DataFrame({"block": list(sums), "counts": [x.astype("<i8").tobytes() for x in sums.values()]})
 
-    rows = docs.select(text).mapInPandas(count, "block int, counts binary").repartition("block").mapInPandas(add, "block int, counts binary").collect()
+    rows = docs.select(text).mapInArrow(count, "block int, counts binary").repartition("block").mapInPandas(add, "block int, counts binary").collect()
     out = np.zeros(n, dtype=np.int64)
     for r in rows:
         out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["counts"], "<i8")
@@ -69,7 +70,7 @@ def profiles(docs: DataFrame, counts: np.ndarray, key: str, text: str, words: in
     """One narrow row per document: id, n (set size), c1, c2 (hash of the set), prefix, signature."""
     ranks = np.unique(counts, return_inverse=True)[1].astype(np.uint32)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows, texts in parts(b, text):
                 s, d = shingle_sets(texts, words)
@@ -81,13 +82,15 @@ def profiles(docs: DataFrame, counts: np.ndarray, key: str, text: str, words: in
                 c1, c2 = ((x[first[1:]] - x[first[:-1]]).view(np.int64) for x in sums)
                 sig = np.bincount(d * SIGNATURE + ((s >> np.uint64(20)).astype(np.int64) & (SIGNATURE - 1)), minlength=len(texts) * SIGNATURE).reshape(-1, SIGNATURE).astype(np.int32)
                 length = n - -(-percent * n // 100) + 1
-                yield pd.DataFrame({
-                    "id": b[key].iloc[rows].to_numpy(), "n": n, "c1": c1, "c2": c2,
-                    "prefix": [ordered[a : a + k] if m else ordered[:0] for a, k, m in zip(first[:-1], length, n, strict=True)],
-                    "signature": list(sig),
-                })
+                taken = np.where(n > 0, length, 0)
+                prefix = ordered[np.arange(taken.sum()) + np.repeat(first[:-1] - np.cumsum(taken) + taken, taken)]
+                lists = lambda flat, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(key).slice(rows.start, len(texts)).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(c1), pa.array(c2), lists(prefix, taken), lists(sig.reshape(-1), np.full(len(texts), SIGNATURE))],
+                    ["id", "n", "c1", "c2", "prefix", "signature"],
+                )
 
-    return docs.select(key, text).mapInPandas(run, "id long, n long, c1 long, c2 long, prefix array<long>, signature array<int>")
+    return docs.select(key, text).mapInArrow(run, "id long, n long, c1 long, c2 long, prefix array<long>, signature array<int>")
 
 
 def _can_share(most: Column, a: Column, b: Column, percent: int) -> Column:
@@ -118,14 +121,15 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, p
     few = ids.count() <= BROADCAST_IDS
     wanted = docs.select(key, text).join(F.broadcast(ids) if few else ids, key, "left_semi")
 
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows, texts in parts(b, text):
                 s, d = shingle_sets(texts, words)
                 cuts = np.searchsorted(d, np.arange(len(texts) + 1))
-                yield pd.DataFrame({"id": b[key].iloc[rows].to_numpy(), "members": [s[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]})
+                members = pa.array([s[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(key).slice(rows.start, len(texts)).cast(pa.int64()), members], ["id", "members"])
 
-    sets = wanted.mapInPandas(sets_of, "id long, members binary")
+    sets = wanted.mapInArrow(sets_of, "id long, members binary")
 
     @F.pandas_udf("long")
     def shared(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm import jaccard_join, line_dedup, mixing, pieces, pii, quality_rules, token_counts, toxicity
+from tidelag.llm import brown_lm, jaccard_join, line_dedup, mixing, pieces, pii, quality_rules, token_counts, toxicity
 from tidelag.llm.common import documents
 
 
@@ -62,6 +62,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.with_copies(docs).select("doc_id", *[F.col(f"__mix.{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based score and unigram base of every document."""
+    return brown_lm.score(documents(spark, sf_dir))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document: 3-word shingles, similarity of 0.9 or more."""
     return jaccard_join.near_groups(documents(spark, sf_dir))
@@ -95,5 +100,5 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM r
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_pseudonyms, op4_token_counts, op5_mix_sources, op7_jaccard_join, op9_quality_rules, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_pseudonyms, op4_token_counts, op5_mix_sources, op6_brown_lm, op7_jaccard_join, op9_quality_rules, op10_sentencepiece)}
 ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_mix_sources": OP5_SQL}

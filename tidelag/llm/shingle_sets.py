@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -75,10 +75,10 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return s[new], d[new]
 
 
-def parts(batch: pd.DataFrame, text: str) -> Iterator[tuple[slice, list[bytes]]]:
+def parts(batch: pa.RecordBatch, text: str) -> Iterator[tuple[slice, list[bytes]]]:
     """Consecutive rows of a batch with their texts in UTF-8 (null: empty), about PART_BYTES at once."""
     begin, size, found = 0, 0, []
-    for i, t in enumerate(batch[text]):
+    for i, t in enumerate(batch.column(text).to_pylist()):
         found.append((t or "").encode("utf-8", "replace"))
         size += len(found[-1])
         if size >= PART_BYTES:
