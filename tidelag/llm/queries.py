@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm import brown_lm, jaccard_join, line_dedup, mixing, pieces, pii, quality_rules, token_counts, toxicity
+from tidelag.llm import brown_lm, jaccard_join, line_dedup, media, mixing, pieces, pii, quality_rules, token_counts, toxicity
 from tidelag.llm.common import documents
 
 
@@ -72,6 +72,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_groups(documents(spark, sf_dir))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document's text reads back as from a lossless image."""
+    docs = documents(spark, sf_dir).select("doc_id", media.stored(F.col("text"), with_media=False).alias("__m"))
+    return docs.select("doc_id", "__m.*")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     found = quality_rules.verdicts(documents(spark, sf_dir))
@@ -100,5 +106,7 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM r
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_pseudonyms, op4_token_counts, op5_mix_sources, op6_brown_lm, op7_jaccard_join, op9_quality_rules, op10_sentencepiece)}
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_mix_sources": OP5_SQL}
+OP9_SQL = quality_rules.duckdb_sql("documents")
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_pseudonyms, op4_token_counts, op5_mix_sources, op6_brown_lm, op7_jaccard_join, op8_media, op9_quality_rules, op10_sentencepiece)}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_mix_sources": OP5_SQL, "op9_quality_rules": OP9_SQL}

@@ -11,7 +11,7 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text worked on at once, if no single text is longer.
-PART_BYTES = 2_000_000
+PART_BYTES = 1_000_000
 
 
 @lru_cache(1)
