@@ -33,6 +33,15 @@ def lower_az(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def where_made(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition) on columns as they are made.
+
+    The optimizer would else copy what the columns are made of into the filter, and work it out again for
+    every use. A row number, which it does not move, holds the filter above the projection.
+    """
+    return df.withColumn("__row", F.monotonically_increasing_id()).where(condition & (F.col("__row") >= 0)).drop("__row")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

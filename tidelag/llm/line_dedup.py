@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelag.llm.common import GAP, drop_staged, stage
+from tidelag.llm.common import GAP, drop_staged, stage, where_made
 
 #: A repeated run has at least so many lines that hold a word.
 MIN_LINES = 2
@@ -117,4 +117,4 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines:
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """docs after dedupe(), columns unchanged, without documents of which no word is left by the deletion."""
     d = dedupe(docs, key, text, min_lines)
-    return d.where((F.col("__d.n_removed") == 0) | _has_word(F.col(text))).drop("__d")
+    return where_made(d, (F.col("__d.n_removed") == 0) | (F.col("__d.n_removed") < F.col("__d.n_lines"))).drop("__d")
