@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import importlib
+
+from tidelag.plans.inputs import ORACLES, QUERIES
+
+#: Modules whose queries are registered by importing them.
+FAMILIES = ("teams", "players")
+
+for family in FAMILIES:
+    importlib.import_module(f"tidelag.plans.{family}")
+
+__all__ = ["FAMILIES", "ORACLES", "QUERIES"]
