@@ -29,8 +29,8 @@ BLOCK = 5
 #: Slots of the table that remembers which pairs may stand side by side.
 PAIR_SLOTS = 1 << 21
 #: Characters of new words matched at once, and words that a worker remembers at most.
-MATCH_CHARS = 2_000_000
-REMEMBERED = 1_000_000
+MATCH_CHARS = 250_000
+REMEMBERED = 300_000
 _NEVER = np.iinfo(np.int32).max
 _chunks = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
 
@@ -379,7 +379,7 @@ def encoder(v: Pieces) -> Encoder:
     return _encoders[k]
 
 
-def _in_parts(texts: pd.Series, most: int = 4_000_000) -> Iterator[list[str | None]]:
+def _in_parts(texts: pd.Series, most: int = 500_000) -> Iterator[list[str | None]]:
     part, size = [], 0
     for t in texts:
         part.append(t)
