@@ -67,13 +67,13 @@ def possession_max_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(*T3).agg(fixed(F.sum("clock"), 4).alias("possession"))
 
 
-@query("""WITH {plays}, s AS (SELECT team, season, epa, success, game % 2 = 0 AS home, team % 4 = opp % 4 AS division, value > 50000 AS leading FROM plays)
+@query("""WITH {plays}, s AS (SELECT team, season, epa, success, game % 2 = 0 AS home, team % 4 = opp % 4 AS division, value > 50000 AS ahead FROM plays)
 SELECT team, season, round(avg(CASE WHEN home THEN epa END) + 1e-9, 6) AS home_epa, round(avg(CASE WHEN NOT home THEN epa END) + 1e-9, 6) AS away_epa, round(avg(CASE WHEN division THEN epa END) + 1e-9, 6) AS division_epa, round(avg(CASE WHEN NOT division THEN epa END) + 1e-9, 6) AS other_epa,
-  round(avg(CASE WHEN leading THEN epa END) + 1e-9, 6) AS leading_epa, round(avg(CASE WHEN NOT leading THEN epa END) + 1e-9, 6) AS trailing_epa FROM s GROUP BY ALL""")
+  round(avg(CASE WHEN ahead THEN epa END) + 1e-9, 6) AS ahead_epa, round(avg(CASE WHEN NOT ahead THEN epa END) + 1e-9, 6) AS behind_epa FROM s GROUP BY ALL""")
 def conditional_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means by situation, all in one aggregation."""
-    tests = {"home": F.col("game") % 2 == 0, "division": F.col("team") % 4 == F.col("opp") % 4, "leading": F.col("value") > 50000}
-    names = {"home": ("home", "away"), "division": ("division", "other"), "leading": ("leading", "trailing")}
+    tests = {"home": F.col("game") % 2 == 0, "division": F.col("team") % 4 == F.col("opp") % 4, "ahead": F.col("value") > 50000}
+    names = {"home": ("home", "away"), "division": ("division", "other"), "ahead": ("ahead", "behind")}
     means = [fixed(_mean_of("epa", c if i == 0 else ~c)).alias(f"{names[k][i]}_epa") for k, c in tests.items() for i in (0, 1)]
     return plays(spark, sf_dir).groupBy("team", "season").agg(*means)
 
