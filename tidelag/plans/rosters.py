@@ -86,7 +86,7 @@ def vacated_opportunity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH {plays}, d AS (SELECT team, season, week, player, row_number() OVER (PARTITION BY team, season, week ORDER BY sum(yards) DESC, player) AS rk, max(success) = 0 AS out FROM plays GROUP BY team, season, week, player)
-SELECT a.team, a.season, a.week, a.player, CAST(a.rk AS BIGINT) AS rk, CAST(count_if(b.out) AS BIGINT) AS better_out FROM d a LEFT JOIN d b ON a.team = b.team AND a.season = b.season AND a.week = b.week AND b.rk < a.rk GROUP BY ALL""")
+SELECT a.team, a.season, a.week, a.player, CAST(a.rk AS BIGINT) AS rk, CAST(coalesce(sum(CASE WHEN b.out THEN 1 ELSE 0 END), 0) AS BIGINT) AS better_out FROM d a LEFT JOIN d b ON a.team = b.team AND a.season = b.season AND a.week = b.week AND b.rk < a.rk GROUP BY ALL""")
 def better_teammate_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many better-ranked teammates are out: a running count by rank in place of a theta join."""
     d = plays(spark, sf_dir).groupBy("team", "season", "week", "player").agg(F.sum("yards").alias("y"), (F.max("success") == 0).alias("out"))
