@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -34,11 +34,12 @@ def _tokens(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class SeverityModel:
-    """words[i] has weights[i]; thresholds rise, one fewer than there are grades."""
+    """words[i] has weights[i]; thresholds rise, one fewer than there are grades; cutoff is on P(grade > 0)."""
 
     words: tuple[str, ...]
     weights: np.ndarray
     thresholds: np.ndarray
+    cutoff: float = 0.5
 
     def exceed(self, scores: np.ndarray) -> np.ndarray:
         """Probability, for each score, that the grade exceeds 0, 1, ..."""
@@ -120,7 +121,21 @@ def fit(rows: list[tuple[int, dict[int, int]]], words: tuple[str, ...], grades:
         g = np.concatenate([-np.bincount(col, val * -by_score[row], minlength=len(words)) + l2 * w, gp])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return SeverityModel(words, p[: len(words)].copy(), thresholds())
+    model = SeverityModel(words, p[: len(words)].copy(), thresholds())
+    s = np.bincount(row, val * model.weights[col], minlength=len(rows)) if len(rows) else np.zeros(0)
+    return replace(model, cutoff=best_cutoff(model.exceed(s)[:, 0], y > 0))
+
+
+def best_cutoff(p: np.ndarray, toxic: np.ndarray) -> float:
+    """The cutoff between two probabilities of the fitted rows that has the best F1; 0.5 without both kinds."""
+    if not toxic.any() or toxic.all():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    q, hits = p[order], np.cumsum(toxic[order])
+    f1 = 2 * hits / (np.arange(1, len(q) + 1) + toxic.sum())
+    last = np.append(q[1:] < q[:-1], True)  # a cutoff can't part equal probabilities
+    k = int(np.flatnonzero(last)[np.argmax(f1[last])])
+    return float((q[k] + (q[k + 1] if k + 1 < len(q) else 0.0)) / 2)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> SeverityModel:
@@ -158,9 +173,9 @@ def _distinct(featurize):
 
 
 def severity(text: Column, model: SeverityModel) -> Column:
-    """Struct of a text's expected severity (0 to grades - 1), its likeliest grade, and toxic: P(grade > 0) > 0.5.
+    """Struct of a text's expected severity (0 to grades - 1), its likeliest grade, and toxic: P(grade > 0) above the cutoff.
 
-    Whole texts are read; null and empty texts have no features and score as the prior. The model that
+    Whole texts are read; texts without any feature, such as null and empty ones, score as the prior and are not toxic. The model that
     tasks get has MAX_FEATURES words at most.
     """
     places = counter_of(model.words)
@@ -171,6 +186,6 @@ def severity(text: Column, model: SeverityModel) -> Column:
         s = np.array([0.0 if c is None else float(np.log1p(c) @ model.weights[: len(c)]) for c in found])
         p = model.exceed(s)
         each = np.concatenate([np.ones((len(s), 1)), p], axis=1) - np.concatenate([p, np.zeros((len(s), 1))], axis=1)
-        return pd.DataFrame({"expected_severity": p.sum(axis=1), "grade": each.argmax(axis=1).astype("int32"), "toxic": p[:, 0] > 0.5})
+        return pd.DataFrame({"expected_severity": p.sum(axis=1), "grade": each.argmax(axis=1).astype("int32"), "toxic": (p[:, 0] > model.cutoff) & np.array([c is not None for c in found], dtype=bool)})
 
     return score(text)
