@@ -57,7 +57,8 @@ def bucket_counts(docs: DataFrame, text: str = "text", words: int = WORDS) -> np
         for b in batches:
             for block, x in zip(b["block"], b["counts"], strict=True):
                 sums[block] = sums.get(block, 0) + np.frombuffer(x, "<i4").astype(np.int64)
-        yield pd.DataFrame({"block": list(sums), "counts": [x.astype("<i8").tobytes() for x in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"block": list(sums), "counts": [x.astype("<i8").tobytes() for x in sums.values()]})
 
     rows = docs.select(text).mapInArrow(count, "block int, counts binary").repartition("block").mapInPandas(add, "block int, counts binary").collect()
     out = np.zeros(n, dtype=np.int64)

@@ -73,8 +73,8 @@ def associated_words(sample: DataFrame, most: int = MAX_FEATURES) -> list[tuple[
             seen = {0: Counter(), 1: Counter()}
             for text, toxic in zip(b["text"], b["toxic"], strict=True):
                 seen[int(toxic > 0)].update(set(_tokens(text)))
-            words = list(seen[0].keys() | seen[1].keys())
-            yield pd.DataFrame({"word": words, "a": [seen[1][w] for w in words], "b": [seen[0][w] for w in words]})
+            if words := list(seen[0].keys() | seen[1].keys()):
+                yield pd.DataFrame({"word": words, "a": [seen[1][w] for w in words], "b": [seen[0][w] for w in words]})
 
     per = sample.select("text", "toxic").mapInPandas(count, "word string, a long, b long")
     per = per.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= MIN_DOCS)
