@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidelag.llm import jaccard_join, line_dedup, mixing, pieces, quality_rules
 from tidelag.llm.common import stage
@@ -39,8 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with token_ids and n_tokens; a null text has null ids and 0 tokens."""
-    ids = docs.select(*docs.columns, pieces.token_ids(F.col("text"), pieces.Pieces.read()).alias("token_ids"))
-    return ids.withColumn("n_tokens", F.coalesce(F.size("token_ids"), F.lit(0)).cast("long"))
+    return pieces.with_token_ids(docs, pieces.Pieces.read())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

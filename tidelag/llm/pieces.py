@@ -18,9 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -29,8 +31,10 @@ BLOCK = 5
 #: Slots of the table that remembers which pairs may stand side by side.
 PAIR_SLOTS = 1 << 21
 #: Characters of new words matched at once, and words that a worker remembers at most.
-MATCH_CHARS = 250_000
-REMEMBERED = 300_000
+MATCH_CHARS = 100_000
+REMEMBERED = 150_000
+#: Characters of text that are encoded before their ids are handed on.
+PART_CHARS = 500_000
 _NEVER = np.iinfo(np.int32).max
 _chunks = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n").findall
 
@@ -379,7 +383,7 @@ def encoder(v: Pieces) -> Encoder:
     return _encoders[k]
 
 
-def _in_parts(texts: pd.Series, most: int = 500_000) -> Iterator[list[str | None]]:
+def _in_parts(texts: pd.Series, most: int = PART_CHARS) -> Iterator[list[str | None]]:
     part, size = [], 0
     for t in texts:
         part.append(t)
@@ -408,16 +412,34 @@ def digest(text: Column, v: Pieces) -> Column:
     return run(text)
 
 
-def token_ids(text: Column, v: Pieces) -> Column:
-    """Array of a text's ids; null for null text."""
+def with_token_ids(docs: DataFrame, v: Pieces, text: str = "text") -> DataFrame:
+    """docs with token_ids, null for null text, and n_tokens, 0 for it; columns of these names are replaced.
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        e = encoder(v)
-        for texts in batches:
-            yield pd.Series([None if t is None else ids for part in _in_parts(texts) for t, ids in zip(part, e.encode(part), strict=True)], dtype=object)
+    A batch is worked on and handed back in parts of about PART_CHARS, so a worker never holds the ids of
+    a whole batch. Other columns pass through as they are, whatever their names.
+    """
+    kept = [f for f in docs.schema.fields if f.name not in ("token_ids", "n_tokens")]
+    schema = StructType([*kept, StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
+    names = schema.names
 
-    return run(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(v)
+        for b in batches:
+            begin = 0
+            while begin < len(b):
+                texts, size = [], 0
+                while begin + len(texts) < len(b) and size < PART_CHARS:
+                    texts.append(b.column(text)[begin + len(texts)].as_py())
+                    size += len(texts[-1] or "")
+                ids = e.encode(texts)
+                sizes = np.array([len(x) for x in ids], dtype=np.int64)
+                none = pa.array([t is None for t in texts], pa.bool_())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)), mask=none)
+                own = b.slice(begin, len(texts))
+                yield pa.RecordBatch.from_arrays([*[own.column(f.name) for f in kept], lists, pa.array(sizes)], names)
+                begin += len(texts)
+
+    return docs.mapInArrow(run, schema)
 
 
 def text_of(ids: Column, v: Pieces) -> Column:
