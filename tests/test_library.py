@@ -80,7 +80,7 @@ def test_sources_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 1, 2020), (2, 1, 2021)], "id int, v int, season int")
     path = str(tmp_path / "t")
     write_partitions(df, path, ["season"])
-    pd.DataFrame({"id": [7], "v": [9]}).to_parquet(f"{path}/season=2021/zz_20991231.parquet")
+    pd.DataFrame({"id": [7], "v": [9]}, dtype="int32").to_parquet(f"{path}/season=2021/zz_20991231.parquet")
     spark.catalog.refreshByPath(path)
     got = newest_files(spark, path, ["season"], schema=df.schema)
     assert {tuple(r) for r in got.select("id", "season").collect()} == {(1, 2020), (7, 2021)}
