@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelag.llm.common import GAP, drop_staged, stage, where_made
+from tidelag.llm.common import GAP, drop_staged, stage, where_made, words_of
 
 #: A repeated run has at least so many lines that hold a word.
 MIN_LINES = 2
+#: drop_copies() takes a line of more words than this for a run of its own.
+LONG_LINE_WORDS = 50
 #: Documents with runs are broadcast up to this many lines in runs, joined by a shuffle beyond.
 BROADCAST_LINES = 1_000_000
 
@@ -30,21 +32,23 @@ def _identity(key: str, text: str) -> Column:
     return F.struct(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
 
 
-def _first_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _first_groups(docs: DataFrame, key: str, text: str, long_words: int | None = None) -> DataFrame:
     """k, j, name for the lines that occur more than once: name is the earliest equal line.
 
-    Lines are compared by 128 bits of hash; equal lines are pre-aggregated before the shuffle.
+    Lines are compared by 128 bits of hash; equal lines are pre-aggregated before the shuffle. With
+    long_words there is a column long: whether the line has more words.
     """
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), _has_word)
     each = docs.select(_identity(key, text).alias("k"), F.posexplode(lines).alias("j", "line"))
-    each = each.select("k", "j", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.col("line")).alias("b"))
+    long = [] if long_words is None else [(F.size(words_of(F.col("line"))) > long_words).alias("long")]
+    each = each.select("k", "j", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.col("line")).alias("b"), *long)
     return _regroup(each, ["a", "b"])
 
 
 def _regroup(suffixes: DataFrame, by: list[str]) -> DataFrame:
     """The suffixes k, j whose columns `by` occur more than once, with the earliest such suffix as name."""
     groups = suffixes.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("k", "j")).alias("first")).where("n > 1").drop("n")
-    return suffixes.join(groups, by).select("k", "j", F.col("first").alias("name"))
+    return suffixes.join(groups, by).drop(*by).withColumnRenamed("first", "name")
 
 
 def _longer(suffixes: DataFrame, offset: int) -> DataFrame:
@@ -54,13 +58,16 @@ def _longer(suffixes: DataFrame, offset: int) -> DataFrame:
     return _regroup(both, ["name", "next"])
 
 
-def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """k, j, depth, name: suffixes whose first `depth` lines stand earlier, at name, by the deepest such depth.
 
-    Depths are min_lines times powers of two. Repeated rows are one document. Every round is written and
-    read again, and ends when nothing repeats at the next depth.
+    Depths are min_lines times powers of two, and 1 for a line of more than long_words words. Repeated
+    rows are one document. Every round is written and read again, and ends when nothing repeats at the
+    next depth.
     """
-    now, m = stage(_first_groups(docs, key, text), "suffixes"), 1
+    now, m = stage(_first_groups(docs, key, text, long_words), "suffixes"), 1
+    later = F.col("name") != F.struct("k", "j")
+    alone = None if long_words is None else stage(now.where(later & F.col("long")).select("k", "j", "name", F.lit(1).alias("depth")), "long")
     while m < min_lines:
         step = min(m, min_lines - m)
         after, m = stage(_longer(now, step), "suffixes"), m + step
@@ -68,20 +75,22 @@ def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_l
         now = after
     rounds = []
     while not rounds or now.limit(1).count():
-        rounds.append(now.where(F.col("name") != F.struct("k", "j")).withColumn("depth", F.lit(m)))
+        rounds.append(now.where(later).select("k", "j", "name", F.lit(m).alias("depth")))
         now, m = stage(_longer(now, m), "suffixes"), 2 * m
+    if alone is not None:
+        rounds.append(alone)
     found = rounds[0]
     for r in rounds[1:]:
-        found = found.union(r)
+        found = found.unionByName(r)
     return found.groupBy("k", "j").agg(F.max("depth").alias("depth"), F.max_by("name", "depth").alias("name"))
 
 
-def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """k, start, lines, source: the maximal runs of later copies, lines that hold a word counted from 0.
 
     source is where the first lines of the run, as many as are known to match one place, stand first.
     """
-    copies = later_copies(docs, key, text, min_lines).distinct()
+    copies = later_copies(docs, key, text, min_lines, long_words).distinct()
     before = Window.partitionBy("k").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
     new = copies.withColumn("new", (F.col("j") > F.coalesce(F.max(F.col("j") + F.col("depth")).over(before), F.lit(-1))).cast("int"))
     run = new.withColumn("run", F.sum("new").over(Window.partitionBy("k").orderBy("j")))
@@ -89,14 +98,15 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     return ends.select("k", "start", (F.col("stop") - F.col("start")).alias("lines"), F.struct(F.col("source.k.key").alias("key"), F.col("source.j").alias("line")).alias("source"))
 
 
-def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """docs with the runs' lines deleted from text, and struct column __d: n_lines, n_removed, longest_run.
 
+    A run has min_lines lines or, if long_words is given, is one line of more words than that.
     n_lines counts lines that hold a word; other lines are passed over and stay. The first copy by
     key stays whole. Null text stays null, with zeros; null keys come first in the order.
     Rows of equal key and text are one document and get equal results.
     """
-    runs = repeated_runs(docs, key, text, min_lines).groupBy("k").agg(F.collect_list(F.struct("start", "lines")).alias("__runs"), F.sum("lines").alias("__n"))
+    runs = repeated_runs(docs, key, text, min_lines, long_words).groupBy("k").agg(F.collect_list(F.struct("start", "lines")).alias("__runs"), F.sum("lines").alias("__n"))
     runs = stage(runs, "runs")
     few = (runs.agg(F.sum("__n")).first()[0] or 0) <= BROADCAST_LINES
     runs = runs.select(F.col("k").alias("__k"), "__runs")
@@ -114,7 +124,7 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines:
     return d.select(*[out.alias(c) if c == text else F.col(c) for c in docs.columns], counts.alias("__d"))
 
 
-def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, long_words: int | None = LONG_LINE_WORDS) -> DataFrame:
     """docs after dedupe(), columns unchanged, without documents of which no word is left by the deletion."""
-    d = dedupe(docs, key, text, min_lines)
+    d = dedupe(docs, key, text, min_lines, long_words)
     return where_made(d, (F.col("__d.n_removed") == 0) | (F.col("__d.n_removed") < F.col("__d.n_lines"))).drop("__d")
