@@ -119,6 +119,20 @@ def test_quality_measures(spark):
         assert q["base_failed"] == (len(w) < 50 or 100 * len(repeated) > 50 * len(w)) and not (q["base_failed"] and q["kept"])
 
 
+def test_every_language_has_a_reference(spark, tmp_path):
+    plain = " ".join(f"some{chr(97 + i % 26)}{chr(97 + i // 26)} the" for i in range(60))
+    capitals = " ".join(f"X{i}Y{i * 7}Z" for i in range(150))
+    rows = [(2 * i + k, plain, f"l{i:02d}", "a", 1) for i in range(70) for k in range(2)] + [(900, capitals, "zz", "a", 1), (901, plain, None, "a", 1)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_quality_rules(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.OP9_SQL})").fetchall()
+    found = sorted(map(tuple, got.collect()))
+    assert found == sorted(want) and all(r[-1] for r in found)
+    assert quality_rules.keep_good(spark.read.parquet(f"{tmp_path}/documents.parquet")).count() == len(rows)
+
+
 def test_brown_lm(spark):
     rows = corpus(11, 80) + [(500, None, None, None, 0), (501, "zzzznever seen", None, None, 0)]
     got = {r["doc_id"]: r for r in brown_lm.score(spark.createDataFrame(rows, SCHEMA)).collect()}

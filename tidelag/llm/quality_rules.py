@@ -33,8 +33,6 @@ MIN_WORDS = 50
 GUARD_WORDS = 100
 MAX_CLASS_DISTANCE = 0.20
 MAX_WORD_DISTANCE = 0.27
-#: Languages with fewest documents beyond this many get no reference of their own.
-MAX_LANGUAGES = 64
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -68,32 +66,29 @@ def word_histogram() -> Column:
     return F.concat(counts, F.array((F.size("__w") - F.size("__f")).cast("long")))
 
 
-def references(measured: DataFrame, lang: str = "lang") -> list[tuple[list[float], list[float]]]:
-    """For each language, by size, its class and word distributions over all of its documents.
+def references(measured: DataFrame, lang: str = "lang") -> DataFrame:
+    """One row per language: its class and word distributions over all of its documents, c and w.
 
-    measured comes from measure(). The sums are pre-aggregated per partition; one row per language comes
-    to the driver, MAX_LANGUAGES at most. Null languages give no reference. Without documents there is none.
+    measured comes from measure(). The sums are pre-aggregated per partition and written to the shared
+    folder. Null languages, and those without a word, give no reference.
     """
     q, parts = F.col("__q"), {"classes": N_CLASSES, "common": len(COMMON_WORDS) + 1}
     sums = [F.sum(F.get(q[k], F.lit(i))).alias(f"{k}{i}") for k, n in parts.items() for i in range(n)]
-    known = measured.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("__lang"))
-    rows = known.agg(F.count("*").alias("__rows"), *sums).orderBy(F.desc("__rows"), "__lang").limit(MAX_LANGUAGES).collect()
-    found = []
-    for r in rows:
-        c, w = ([r[f"{k}{i}"] for i in range(n)] for k, n in parts.items())
-        if sum(c) and sum(w):
-            found.append(([x / sum(c) for x in c], [x / sum(w) for x in w]))
-    return found
+    rows = measured.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("__lang")).agg(*sums)
+    rows = rows.select(*[F.array(*[F.col(f"{k}{i}").cast("double") for i in range(n)]).alias(k) for k, n in parts.items()])
+    total = lambda k: F.aggregate(k, F.lit(0.0), lambda a, x: a + x)
+    rows = rows.withColumn("__c", total("classes")).withColumn("__w", total("common")).where((F.col("__c") > 0) & (F.col("__w") > 0))
+    return stage(rows.select(F.transform("classes", lambda x: x / F.col("__c")).alias("c"), F.transform("common", lambda x: x / F.col("__w")).alias("w")), "references")
 
 
-def js_distance(share: str, reference: list[float]) -> Column:
-    """Jensen-Shannon distance in [0, 1] of a column with a distribution from a fixed one."""
+def js_distance(share: str, reference: Column) -> Column:
+    """Jensen-Shannon distance in [0, 1] of a column with a distribution from another distribution."""
 
     def part(p: Column, q: Column) -> Column:
         m = (p + q) / 2
         return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
 
-    parts = F.zip_with(share, F.array(*[F.lit(x) for x in reference]), part)
+    parts = F.zip_with(share, reference, part)
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
@@ -139,11 +134,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def judge(measured: DataFrame, refs: list[tuple[list[float], list[float]]]) -> DataFrame:
+def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
     """measured, from measure(), with more fields in __q: class_distance, word_distance, base_failed, kept.
 
-    The distances are those to the nearest reference; without any reference, or without words, they are
-    0. base_failed: fewer than MIN_WORDS words, or more than half of the words repeat. A text that
+    The distances are those to the nearest reference of references(), which go to every executor as one
+    row; without any reference, or without words, they are 0. base_failed: fewer than MIN_WORDS words, or more than half of the words repeat. A text that
     passes the base is kept if both distances are within their limits or it has fewer than GUARD_WORDS
     words. Repeated rows get equal verdicts.
     """
@@ -151,11 +146,14 @@ def judge(measured: DataFrame, refs: list[tuple[list[float], list[float]]]) -> D
     chars = q["word_chars"] + F.get(q["classes"], F.lit(N_CLASSES - 2))
     for share, counts, total in (("__c", "classes", chars), ("__s", "common", q["n_words"])):
         d = d.withColumn("__all", F.greatest(total, F.lit(1))).withColumn(share, F.transform(q[counts], lambda x: x / F.col("__all"))).drop("__all")
-    nearest = []
-    for i, share in enumerate(("__c", "__s")):
-        each = F.array(*[js_distance(share, r[i]) for r in refs]) if refs else F.array(F.lit(0.0))
-        nearest.append(F.when(q["n_words"] > 0, F.array_min(each)).otherwise(0.0))
-    d = d.withColumn("__q", q.withField("class_distance", nearest[0]).withField("word_distance", nearest[1])).drop("__c", "__s")
+    # The join also keeps the shares from being worked out again for every reference.
+    d = d.crossJoin(F.broadcast(refs.agg(F.collect_list("c").alias("__rc"), F.collect_list("w").alias("__rw"))))
+
+    def nearest(share: str, all_of: str) -> Column:
+        each = F.transform(all_of, lambda r: js_distance(share, r))
+        return F.when(q["n_words"] > 0, F.coalesce(F.array_min(each), F.lit(0.0))).otherwise(0.0)
+
+    d = d.withColumn("__q", q.withField("class_distance", nearest("__c", "__rc")).withField("word_distance", nearest("__s", "__rw"))).drop("__c", "__s", "__rc", "__rw")
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
     within = (q["class_distance"] <= MAX_CLASS_DISTANCE) & (q["word_distance"] <= MAX_WORD_DISTANCE) | (q["n_words"] < GUARD_WORDS)
     return d.withColumn("__q", q.withField("base_failed", failed).withField("kept", ~failed & within))
