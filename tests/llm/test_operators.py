@@ -180,6 +180,21 @@ def test_pseudonyms():
     assert pii.replace_all(None, KEY) == (None, []) and pii.replace_all("", KEY) == ("", [])
 
 
+def test_pseudonyms_inside_longer_matches():
+    card, iban = "4111 1111 1111 1111", "ES9121000418450200051332"
+    for text, value, kind in (
+        (f"{card} 123", card, "card"), ("4111111111111111 12 27", "4111111111111111", "card"), (f"12 {card}", card, "card"), (f"12 34 {card} 56", card, "card"), ("12-4111-1111-1111-1111", "4111-1111-1111-1111", "card"),
+        (f"{iban} THEN", iban, "iban"), (f"{iban} BIC", iban, "iban"), ("ES91 2100 0418 4502 0005 1332 BIC", "ES91 2100 0418 4502 0005 1332", "iban"), (f"AB12 {iban}", iban, "iban"),
+    ):
+        out, spans = pii.replace_all(f"pay {text} now", KEY)
+        (found, a, b), = spans
+        assert found == kind and len(out) == len(f"pay {text} now") and value not in out, text
+        assert out[:a] + value + out[b:] == f"pay {text} now" and pii.pseudonym(kind, value, KEY) == out[a:b], text
+    out, spans = pii.replace_all(f"{card} 123 555 123 4567", KEY)
+    assert [k for k, *_ in spans] == ["card", "phone"]
+    assert pii.replace_all("1234 5678 9012 3456 or AB12 THEN MORE WORD", KEY) == ("1234 5678 9012 3456 or AB12 THEN MORE WORD", [])
+
+
 def test_token_tree_after_edits():
     count = token_counts.token_counter(token_counts.Vocabulary.read())
     r = random.Random(4)

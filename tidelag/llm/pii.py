@@ -30,6 +30,18 @@ _PATTERN = re.compile(
     re.VERBOSE,
 )
 _worth = re.compile(r"[0-9]|@").search
+_group = re.compile(r"[^\W_]+")
+_chain = re.compile(r"\d+(?:[ -]\d+)*")
+_inner = re.compile(r"\w").match
+# The length of each country's IBANs.
+_IBAN_LENGTHS = {
+    country: n
+    for n, countries in (
+        (15, "NO"), (16, "BE"), (18, "DK FI FO GL NL"), (19, "MK SI"), (20, "AT BA EE KZ LT LU XK"), (21, "CH HR LI LV"), (22, "BG BH CR DE GB GE IE ME RS"), (23, "AE GI IL TL"),
+        (24, "AD CZ ES MD PK RO SA SE SK TN VG"), (25, "PT"), (26, "IS TR"), (27, "FR GR IT MC MR SM"), (28, "AL AZ BY CY DO GT HU LB PL SV"), (29, "BR PS QA UA"), (30, "JO KW MU"), (31, "MT SC"), (32, "LC"),
+    )
+    for country in countries.split()
+}
 
 
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
@@ -190,19 +202,60 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     return _KINDS[kind](value, key)
 
 
+def _inside(kind: str, text: str, start: int, stop: int) -> list[tuple[int, int]]:
+    """Places of what may be a valid value where a match fails its check, cut at separators.
+
+    Cards: 13 to 19 digits from any of the match's groups, also beyond the match, which its length cut
+    off; the usual lengths of the large issuers first, then the longest. IBANs: from the start, of the
+    country's length, or of any length where the country is not known.
+    """
+    if kind == "iban":
+        groups = [m.span() for m in _group.finditer(text, start, stop)]
+        sizes = [sum(b - a for a, b in groups[: i + 1]) for i in range(len(groups))]
+        own = _IBAN_LENGTHS.get(text[start : start + 2])
+        return [(start, b) for (_, b), n in reversed(list(zip(groups, sizes, strict=True))) if n in ((own,) if own else range(15, 35))]
+    if kind != "card":
+        return []
+    groups = [m.span() for m in _group.finditer(text, start, _chain.match(text, start, stop + 40).end())]
+    found = []
+    for i, (a, _) in enumerate(groups):
+        n = 0
+        for c, b in groups[i:] if a < stop else ():
+            n += b - c
+            if 13 <= n <= 19 and not _inner(text, b):
+                usual = n == 16 and text[a] in "23456" or n == 15 and text[a] == "3"
+                found.append((not usual, -n, a, b))
+    return [(a, b) for *_, a, b in sorted(found)]
+
+
+def _next_value(text: str, at: int, key: bytes) -> tuple[str, int, int, str] | None:
+    """Kind, start, stop and pseudonym of the first valid value from `at` on.
+
+    Behind a match that fails, and holds no valid value, the scan goes on after the match's first group.
+    """
+    while m := _PATTERN.search(text, at):
+        kind = "date" if m.lastgroup == "sep" else m.lastgroup
+        if (new := pseudonym(kind, m[0], key)) is not None:
+            return kind, m.start(), m.end(), new
+        for a, b in _inside(kind, text, *m.span()):
+            if (new := pseudonym(kind, text[a:b], key)) is not None:
+                return kind, a, b, new
+        first = _group.search(text, m.start(), m.end())
+        at = first.end() if first else m.end()
+    return None
+
+
 def replace_all(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
     """text with every valid value replaced, and the kind and place of each in the new text."""
     if not text or not _worth(text):
         return text, []
     out, spans, at, size = [], [], 0, 0
-    for m in _PATTERN.finditer(text):
-        new = pseudonym(m.lastgroup if m.lastgroup != "sep" else "date", m[0], key)
-        if new is None:
-            continue
-        out += [text[at : m.start()], new]
-        size += m.start() - at + len(new)
-        spans.append(("date" if m.lastgroup == "sep" else m.lastgroup, size - len(new), size))
-        at = m.end()
+    while found := _next_value(text, at, key):
+        kind, start, stop, new = found
+        out += [text[at:start], new]
+        size += start - at + len(new)
+        spans.append((kind, size - len(new), size))
+        at = stop
     return "".join([*out, text[at:]]) if spans else text, spans
 
 
