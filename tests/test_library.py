@@ -1,12 +1,19 @@
 """Windows, scalars, joins, sources and sinks on small frames with known answers."""
 
+import datetime
+import os
+from collections import Counter
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tidelag.functions import scalars as S
 from tidelag.functions import windows as W
 from tidelag.operators.joins import as_of, departures_arrivals, fallback, fuzzy_by_token, prior_range
+from tidelag.plans import streams
 from tidelag.sources.sinks import merged_edges, upserted, write_partitions
 from tidelag.sources.tables import latest_season, newest_files, require, seasons
 
@@ -91,3 +98,17 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {(r["id"], r["v"]) for r in upserted(df, changes, ["id"], "season").collect()} == {(1, 5), (2, 1), (3, 3)}
     edges = spark.createDataFrame([(1, 2, 2020, 1, 1.0), (1, 2, 2020, 1, 2.0), (None, 2, 2020, 1, 5.0)], "src int, dst int, season int, week int, weight double")
     assert [(r["weight"], r["n"]) for r in merged_edges(edges).collect()] == [(3.0, 2)]
+
+
+def test_streams_give_out_all_events_whatever_the_files_order(spark, tmp_path):
+    base = datetime.datetime(2024, 1, 1)
+    rows = [(i, base + datetime.timedelta(minutes=17 * i), i % 3, "ab"[i % 2], float(i)) for i in range(240)]
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for k in range(12):  # more files than a batch has, the newest events first
+        pq.write_table(pa.table(dict(zip(("event_id", "ts", "user_id", "event_type", "value"), zip(*rows[20 * k : 20 * k + 20], strict=True), strict=True))), folder / f"{k}.parquet")
+        os.utime(folder / f"{k}.parquet", (1_700_000_000 - 60 * k,) * 2)
+    found = streams.stream_tumbling(spark, str(tmp_path)).collect()
+    want = Counter((t, ts.replace(minute=0)) for _, ts, _, t, _ in rows)
+    assert {(r["event_type"], r["start"].replace(tzinfo=None)): r["n"] for r in found} == want and len(found) == len(want)
+    assert sorted((r["user_id"], r["n"]) for r in streams.stream_sessions(spark, str(tmp_path)).collect()) == sorted((u, 1) for _, _, u, _, _ in rows)

@@ -6,6 +6,8 @@ query when its input is used up, with its state in the checkpoint folder that is
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -43,6 +45,22 @@ def open_close(events: DataFrame, key: str, time: str = "ts", day: str = "1 day"
     return g.agg(F.min_by("value", time).alias("opened"), F.max_by("value", time).alias("closed")).select(key, F.col("w.start").alias("start"), "opened", "closed")
 
 
+def with_closing(events: DataFrame, folder: str) -> DataFrame:
+    """events and the rows of a folder, which must be there, that close_all() writes to."""
+    closing = events.sparkSession.readStream.schema(events.schema).parquet(folder)
+    return events.unionByName(closing)
+
+
+def close_all(events: DataFrame, folder: str, after: datetime.datetime, time: str = "ts") -> None:
+    """Write one row of nulls at the time `after`, beyond every window, gap and lateness.
+
+    Run the stream again after it from the same checkpoint: the watermark passes all that is open, which
+    is given out, and the row's own window stays open.
+    """
+    row = {time: after}
+    events.sparkSession.createDataFrame([tuple(row.get(c) for c in events.columns)], events.schema).write.mode("append").parquet(folder)
+
+
 def run(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Write all that is there as Parquet, exactly once, and end."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
