@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidelag.functions import scalars as S
 from tidelag.functions import windows as W
 from tidelag.operators.joins import as_of, departures_arrivals, fallback, fuzzy_by_token, prior_range
-from tidelag.plans import streams
+from tidelag.plans import models, streams
 from tidelag.sources.sinks import merged_edges, upserted, write_partitions
 from tidelag.sources.tables import latest_season, newest_files, require, seasons
 
@@ -112,3 +112,8 @@ def test_streams_give_out_all_events_whatever_the_files_order(spark, tmp_path):
     want = Counter((t, ts.replace(minute=0)) for _, ts, _, t, _ in rows)
     assert {(r["event_type"], r["start"].replace(tzinfo=None)): r["n"] for r in found} == want and len(found) == len(want)
     assert sorted((r["user_id"], r["n"]) for r in streams.stream_sessions(spark, str(tmp_path)).collect()) == sorted((u, 1) for _, _, u, _, _ in rows)
+
+
+def test_walk_forward_predicts_every_season_but_the_first(spark):
+    found = models.ridge_walk_forward(spark, "/root/testdata/sf0.001")
+    assert {r["season"] for r in found.select("season").distinct().collect()} == set(range(1996, 2002))
