@@ -33,19 +33,33 @@ def lower_az(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its letters' case: __name, with more underscores if need be."""
+    taken, found = {c.lower() for c in df.columns}, f"__{name}"
+    while found.lower() in taken:
+        found = f"_{found}"
+    return found
+
+
 def where_made(df: DataFrame, condition: Column) -> DataFrame:
     """df.where(condition) on columns as they are made.
 
     The optimizer would else copy what the columns are made of into the filter, and work it out again for
     every use. A row number, which it does not move, holds the filter above the projection.
     """
-    return df.withColumn("__row", F.monotonically_increasing_id()).where(condition & (F.col("__row") >= 0)).drop("__row")
+    row = unused(df, "row")
+    return df.withColumn(row, F.monotonically_increasing_id()).where(condition & (F.col(row) >= 0)).drop(row)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir; in local mode one of our own where it is unset.
+
+    Raises RuntimeError on a cluster that names none, whose executors would not see the driver's own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidelag-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
