@@ -84,16 +84,6 @@ def test_line_dedup_and_mixing_against_sql(spark, tmp_path):
         assert sorted(map(key, map(tuple, got.collect()))) == sorted(map(key, want)), name
 
 
-def test_a_copied_long_line_is_a_run_of_its_own(spark):
-    passage, edge = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("p", 51), ("e", 50)))
-    texts = ["own a\n" + passage + "\n" + edge, "own b\n" + passage + "\nown c\n" + edge, passage, "own d\nshort\n" + passage, "own e\nshort\nown f", edge]
-    d = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA)
-    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_copies(d).collect()}
-    assert got == {0: texts[0], 1: "own b\nown c\n" + edge, 3: "own d\nshort", 4: texts[4], 5: edge}
-    kept = {r["doc_id"]: r["text"] for r in line_dedup.dedupe(d).collect()}
-    assert kept == dict(enumerate(texts))
-
-
 def test_mixing_meets_its_targets(spark):
     rows = [(i, "w " * (1 + i % 9), "en", s, 1) for i, s in enumerate(["big"] * 3000 + ["mid"] * 900 + [None] * 300)]
     d = spark.createDataFrame(rows, SCHEMA)

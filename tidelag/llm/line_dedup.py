@@ -1,26 +1,35 @@
 """Deduplication of line runs by prefix doubling over line ids, in DataFrame functions only.
 
 Every line that holds a word starts a suffix of its document's sequence of such lines. Suffixes with the
-same first m lines form a group, an interval of the suffix array whose longest common prefix is m or
-more; its rank is its earliest suffix, by document and line. Joining each suffix's rank with that of the
-suffix m lines on gives the groups of length 2m. Groups of one drop out on the way, so only what repeats
-moves on, until nothing repeats at the next length. A suffix that is not its group's earliest begins a
-later copy; overlapping copies make up a maximal repeated run, and the lines of runs are deleted.
+same first m lines form an interval of the suffix array whose longest common prefix is m or more; its rank
+is its earliest suffix, by document and line. Joining each suffix's rank with that of the suffix m lines
+on gives the intervals of length 2m. Suffixes alone in their interval drop out on the way, so only what
+repeats moves on, until nothing repeats at the next length.
+
+The longest prefix that a suffix shares with an earlier one lies between two such lengths. It is found
+exactly by halving steps: the interval of p + s lines, s < p, is that of the ranks of the suffix and of
+the one s lines on, both p lines long. A suffix whose shared prefix is not the rest of the one a line
+before starts a maximal repeated run; runs that are long enough are deleted, but for their first copy.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelag.llm.common import GAP, drop_staged, stage, where_made, words_of
+from tidelag.llm.common import GAP, drop_staged, stage, unused, where_made, words_of
 
-#: A repeated run has at least so many lines that hold a word.
-MIN_LINES = 2
-#: drop_copies() takes a line of more words than this for a run of its own.
-LONG_LINE_WORDS = 50
-#: Documents with runs are broadcast up to this many lines in runs, joined by a shuffle beyond.
-BROADCAST_LINES = 1_000_000
+#: A run is deleted if it has at least so many lines that hold a word, or at least so many words.
+MIN_LINES = 3
+MIN_WORDS = 50
+#: Groups with more than this part of the rows, so at most as many of them, are broadcast and their rows dealt over SALTS.
+HOT_GROUPS = 1000
+SALTS = 64
+#: The documents' runs are broadcast up to about so many bytes, joined by a shuffle beyond.
+BROADCAST_BYTES = 32_000_000
+_RUN_BYTES, _DOC_BYTES = 40, 100
 
 
 def _has_word(line: Column) -> Column:
@@ -32,99 +41,126 @@ def _identity(key: str, text: str) -> Column:
     return F.struct(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
 
 
-def _first_groups(docs: DataFrame, key: str, text: str, long_words: int | None = None) -> DataFrame:
-    """k, j, name for the lines that occur more than once: name is the earliest equal line.
-
-    Lines are compared by 128 bits of hash; equal lines are pre-aggregated before the shuffle. With
-    long_words there is a column long: whether the line has more words.
-    """
+def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """k, j, a, b (128 bits of hash), w (words) of every line that holds a word."""
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), _has_word)
     each = docs.select(_identity(key, text).alias("k"), F.posexplode(lines).alias("j", "line"))
-    long = [] if long_words is None else [(F.size(words_of(F.col("line"))) > long_words).alias("long")]
-    each = each.select("k", "j", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.col("line")).alias("b"), *long)
-    return _regroup(each, ["a", "b"])
+    return each.select("k", "j", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.col("line")).alias("b"), F.size(words_of(F.col("line"))).alias("w"))
 
 
 def _regroup(suffixes: DataFrame, by: list[str]) -> DataFrame:
-    """The suffixes k, j whose columns `by` occur more than once, with the earliest such suffix as name."""
-    groups = suffixes.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("k", "j")).alias("first")).where("n > 1").drop("n")
-    return suffixes.join(groups, by).drop(*by).withColumnRenamed("first", "name")
+    """The suffixes whose columns `by` occur more than once, with the earliest such suffix as name.
+
+    Groups are counted by pre-aggregation. Rows of hot groups, of which there are HOT_GROUPS at most, are
+    dealt over SALTS tasks of the join.
+    """
+    groups = stage(suffixes.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("k", "j")).alias("name")).where("n > 1"), "groups")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = groups.where(F.col("n") * HOT_GROUPS > total).select(*by, F.lit(True).alias("hot"))
+    deal = F.when(F.col("hot"), F.pmod(F.xxhash64("k", "j"), F.lit(SALTS))).otherwise(0).cast("int")
+    salts = F.when(F.col("n") * HOT_GROUPS > total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = suffixes.join(F.broadcast(hot), by, "left").withColumn("salt", deal).drop("hot")
+    return dealt.join(groups.select(*by, "name", F.explode(salts).alias("salt")), [*by, "salt"]).drop(*by, "salt")
 
 
 def _longer(suffixes: DataFrame, offset: int) -> DataFrame:
     """Groups by a suffix's name and the name of the suffix `offset` lines on in the same document."""
     ahead = Window.partitionBy("k").orderBy("j").rangeBetween(offset, offset)
-    both = suffixes.select("k", "j", "name", F.first("name").over(ahead).alias("next")).where("next IS NOT NULL")
-    return _regroup(both, ["name", "next"])
+    both = suffixes.select("k", "j", F.col("name").alias("one"), F.first("name").over(ahead).alias("next")).where("next IS NOT NULL")
+    return _regroup(stage(both, "pairs"), ["one", "next"])
+
 
+def _is_later(lines: Column) -> Column:
+    """Whether a suffix's first lines stand earlier, at name, and do not overlap themselves there."""
+    k, j, name = F.col("k"), F.col("j"), F.col("name")
+    return (name["k"] < k) | ((name["k"] == k) & (j - name["j"] >= lines))
 
-def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
-    """k, j, depth, name: suffixes whose first `depth` lines stand earlier, at name, by the deepest such depth.
 
-    Depths are min_lines times powers of two, and 1 for a line of more than long_words words. Repeated
-    rows are one document. Every round is written and read again, and ends when nothing repeats at the
-    next depth.
+def suffix_ranks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """m, k, j, name, w, upto for m = 1, 2, 4, ...: suffixes whose first m lines occur more than once, and where first.
+
+    w and upto, of m = 1 only, are the words of the suffix's first line, and of that and all such lines before
+    it. Repeated rows are one document. Every round is written and read again, and ends when nothing repeats at the next length.
     """
-    now, m = stage(_first_groups(docs, key, text, long_words), "suffixes"), 1
-    later = F.col("name") != F.struct("k", "j")
-    alone = None if long_words is None else stage(now.where(later & F.col("long")).select("k", "j", "name", F.lit(1).alias("depth")), "long")
-    while m < min_lines:
-        step = min(m, min_lines - m)
-        after, m = stage(_longer(now, step), "suffixes"), m + step
-        drop_staged(now)
-        now = after
-    rounds = []
+    upto = F.sum("w").over(Window.partitionBy("k").orderBy("j"))
+    now = stage(_regroup(_lines(docs, key, text), ["a", "b"]).distinct().withColumn("upto", upto), "suffixes")
+    m, rounds = 1, []
     while not rounds or now.limit(1).count():
-        rounds.append(now.where(later).select("k", "j", "name", F.lit(m).alias("depth")))
+        rounds.append(now.withColumn("m", F.lit(m)))
         now, m = stage(_longer(now, m), "suffixes"), 2 * m
-    if alone is not None:
-        rounds.append(alone)
-    found = rounds[0]
-    for r in rounds[1:]:
-        found = found.unionByName(r)
-    return found.groupBy("k", "j").agg(F.max("depth").alias("depth"), F.max_by("name", "depth").alias("name"))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rounds)
+
+
+def later_copies(ranks: DataFrame) -> DataFrame:
+    """k, j, lines, name: every suffix of suffix_ranks() with the most lines that stand earlier, at name, without overlap."""
+    later = ranks.where(_is_later(F.col("m")))
+    now = later.groupBy("k", "j").agg(F.max("m").alias("p"), F.max_by("name", "m").alias("name"))
+    now = stage(now.select("k", "j", "p", F.col("name").alias("rank"), F.lit(0).alias("s"), "name"), "copies")
+    step = (now.agg(F.max("p")).first()[0] or 1) // 2
+    of_length = ranks.select(F.col("m").alias("p"), "k", "j", F.col("name").alias("rank"))
+    while step:
+        tried = now.where(F.col("p") > step).select("p", "rank", (F.col("s") + step).alias("s")).distinct()
+        on = of_length.select("p", "k", (F.col("j")).alias("at"), F.col("rank").alias("next"))
+        pairs = of_length.join(tried, ["p", "rank"]).withColumn("at", F.col("j") + F.col("s")).join(on, ["p", "k", "at"]).drop("at")
+        pairs = stage(pairs, "tried")
+        first = pairs.groupBy("p", "rank", "s", "next").agg(F.min(F.struct("k", "j")).alias("name"))
+        found = pairs.join(first, ["p", "rank", "s", "next"]).where(_is_later(F.col("p") + F.col("s"))).select("k", "j", "p", (F.col("s") - step).alias("s"), F.col("name").alias("farther"))
+        after = now.join(found, ["k", "j", "p", "s"], "left").withColumn("s", F.col("s") + F.when(F.col("farther").isNotNull(), step).otherwise(0))
+        after = stage(after.withColumn("name", F.coalesce("farther", "name")).drop("farther"), "copies")
+        drop_staged(now)
+        drop_staged(pairs)
+        now, step = after, step // 2
+    return now.select("k", "j", (F.col("p") + F.col("s")).alias("lines"), "name")
 
 
-def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
-    """k, start, lines, source: the maximal runs of later copies, lines that hold a word counted from 0.
+def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """k, start, lines, source: the maximal runs that stand earlier, at source, and are long enough.
 
-    source is where the first lines of the run, as many as are known to match one place, stand first.
+    Lines that hold a word count, from 0. A run is maximal if it is not the rest of the one that starts a
+    line before; runs may overlap each other. It is long enough with min_lines lines or min_words words.
     """
-    copies = later_copies(docs, key, text, min_lines, long_words).distinct()
-    before = Window.partitionBy("k").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
-    new = copies.withColumn("new", (F.col("j") > F.coalesce(F.max(F.col("j") + F.col("depth")).over(before), F.lit(-1))).cast("int"))
-    run = new.withColumn("run", F.sum("new").over(Window.partitionBy("k").orderBy("j")))
-    ends = run.groupBy("k", "run").agg(F.min("j").alias("start"), F.max(F.col("j") + F.col("depth")).alias("stop"), F.min_by("name", "j").alias("source"))
-    return ends.select("k", "start", (F.col("stop") - F.col("start")).alias("lines"), F.struct(F.col("source.k.key").alias("key"), F.col("source.j").alias("line")).alias("source"))
-
-
-def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
-    """docs with the runs' lines deleted from text, and struct column __d: n_lines, n_removed, longest_run.
-
-    A run has min_lines lines or, if long_words is given, is one line of more words than that.
-    n_lines counts lines that hold a word; other lines are passed over and stay. The first copy by
-    key stays whole. Null text stays null, with zeros; null keys come first in the order.
-    Rows of equal key and text are one document and get equal results.
+    ranks = suffix_ranks(docs, key, text)
+    before = Window.partitionBy("k").orderBy("j").rangeBetween(-1, -1)
+    maximal = later_copies(ranks).withColumn("before", F.first("lines").over(before)).where(F.coalesce("before", F.lit(0)) <= F.col("lines"))
+    first = ranks.where("m = 1").select("k", "j", "w", "upto")
+    last = first.select("k", (F.col("j") + 1).alias("end"), "upto")
+    sized = maximal.drop("before").join(first.select("k", "j", (F.col("upto") - F.col("w")).alias("before")), ["k", "j"]).withColumn("end", F.col("j") + F.col("lines")).join(last, ["k", "end"])
+    enough = (F.col("lines") >= min_lines) | (F.col("upto") - F.col("before") >= min_words)
+    return sized.where(enough).select("k", F.col("j").alias("start"), "lines", F.struct(F.col("name.k.key").alias("key"), F.col("name.j").alias("line")).alias("source"))
+
+
+def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, into: str = "__d") -> DataFrame:
+    """docs with the runs' lines deleted from text, and struct column `into`: n_lines, n_removed, n_runs, longest_run.
+
+    The runs are those of repeated_runs(); n_runs counts them and longest_run is the most lines of one.
+    n_lines counts lines that hold a word; other lines are passed over and stay. The first copy of a run by
+    key, then line, stays whole: a run never overlaps the copy that it is held against. Null text stays null,
+    with zeros; null keys come first in the order. Rows of equal key and text are one document and get equal
+    results; equal texts of other keys are copies. Texts of any length are read whole, one row of an array of lines each.
     """
-    runs = repeated_runs(docs, key, text, min_lines, long_words).groupBy("k").agg(F.collect_list(F.struct("start", "lines")).alias("__runs"), F.sum("lines").alias("__n"))
+    runs = repeated_runs(docs, key, text, min_lines, min_words).groupBy("k").agg(F.collect_list(F.struct("start", "lines")).alias("runs"))
     runs = stage(runs, "runs")
-    few = (runs.agg(F.sum("__n")).first()[0] or 0) <= BROADCAST_LINES
-    runs = runs.select(F.col("k").alias("__k"), "__runs")
-    d = docs.withColumn("__k", _identity(key, text)).join(F.broadcast(runs) if few else runs, "__k", "left")
-    d = d.withColumn("__l", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-    places = F.filter(F.transform("__l", lambda x, i: F.when(_has_word(x), i)), lambda i: i.isNotNull())
-    d = d.withColumn("__w", places)
-    gone = F.flatten(F.transform("__runs", lambda r: F.slice(F.col("__w"), r["start"] + 1, r["lines"])))
-    d = d.withColumn("__kept", F.array_except(F.sequence(F.lit(0), F.size("__l") - 1), gone))
-    rest = F.array_join(F.transform("__kept", lambda i: F.get(F.col("__l"), i)), "\n")
-    n = lambda x: F.coalesce(x.cast("long"), F.lit(0).cast("long"))
-    longest = F.array_max(F.transform("__runs", lambda r: r["lines"]))
-    counts = F.struct(n(F.size("__w")).alias("n_lines"), F.when(F.col("__runs").isNotNull(), n(F.size("__l") - F.size("__kept"))).otherwise(n(F.lit(0))).alias("n_removed"), n(longest).alias("longest_run"))
-    out = F.when(F.col("__runs").isNotNull(), rest).otherwise(F.col(text))
-    return d.select(*[out.alias(c) if c == text else F.col(c) for c in docs.columns], counts.alias("__d"))
-
-
-def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, long_words: int | None = LONG_LINE_WORDS) -> DataFrame:
+    size = runs.agg(F.count("*").alias("docs"), F.sum(F.size("runs")).alias("runs")).first()
+    few = _DOC_BYTES * size["docs"] + _RUN_BYTES * (size["runs"] or 0) <= BROADCAST_BYTES
+    k, r, lines, words, kept = (unused(docs, c) for c in ("k", "runs", "lines", "words", "kept"))
+    runs = runs.select(F.col("k").alias(k), F.col("runs").alias(r))
+    d = docs.withColumn(k, _identity(key, text)).join(F.broadcast(runs) if few else runs, k, "left")
+    d = d.withColumn(lines, F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+    d = d.withColumn(words, F.filter(F.transform(lines, lambda x, i: F.when(_has_word(x), i)), lambda i: i.isNotNull()))
+    gone = F.flatten(F.transform(r, lambda x: F.slice(F.col(words), x["start"] + 1, x["lines"])))
+    d = d.withColumn(kept, F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone))
+    rest = F.array_join(F.transform(kept, lambda i: F.get(F.col(lines), i)), "\n")
+    has = F.col(r).isNotNull()
+    n = lambda x: F.when(has, x.cast("long")).otherwise(F.lit(0).cast("long"))
+    counts = F.struct(
+        F.size(words).cast("long").alias("n_lines"), n(F.size(lines) - F.size(kept)).alias("n_removed"),
+        n(F.size(r)).alias("n_runs"), n(F.array_max(F.transform(r, lambda x: x["lines"]))).alias("longest_run"),
+    )
+    return d.select(*[F.when(has, rest).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns], counts.alias(into))
+
+
+def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs after dedupe(), columns unchanged, without documents of which no word is left by the deletion."""
-    d = dedupe(docs, key, text, min_lines, long_words)
-    return where_made(d, (F.col("__d.n_removed") == 0) | (F.col("__d.n_removed") < F.col("__d.n_lines"))).drop("__d")
+    into = unused(docs, "d")
+    d = dedupe(docs, key, text, min_lines, min_words, into)
+    return where_made(d, (F.col(f"{into}.n_removed") == 0) | (F.col(f"{into}.n_removed") < F.col(f"{into}.n_lines"))).drop(into)

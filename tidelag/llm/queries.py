@@ -24,22 +24,27 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text without later copies of runs of two lines or more, and what was deleted."""
+    """Every document's text without later copies of long enough maximal runs of lines, and what was deleted."""
     d = line_dedup.dedupe(documents(spark, sf_dir).select("doc_id", "text"))
-    return d.select("doc_id", "text", *[F.col(f"__d.{c}").alias(c) for c in ("n_lines", "n_removed", "longest_run")])
+    return d.select("doc_id", "text", *[F.col(f"__d.{c}").alias(c) for c in ("n_lines", "n_removed", "n_runs", "longest_run")])
 
 
-OP2_SQL = r"""
+# Pairs of equal lines, the earlier one second; unbroken stretches of a diagonal are common prefixes.
+OP2_SQL = rf"""
 WITH a AS (SELECT doc_id, unnest(str_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(str_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-w AS (SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM a WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-p AS (SELECT doc_id, j, line, lead(line) OVER (PARTITION BY doc_id ORDER BY j) AS following FROM w),
-f AS (SELECT doc_id, j, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, j) AS k FROM p WHERE following IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, j + s AS j FROM f, (VALUES (0), (1)) t(s) WHERE k > 1),
-r AS (SELECT doc_id, max(n) AS longest_run FROM (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS island FROM g) GROUP BY doc_id, island) GROUP BY doc_id),
-c AS (SELECT a.doc_id, string_agg(CASE WHEN g.j IS NULL THEN a.line END, chr(10) ORDER BY a.i) AS text, count(w.j) AS n_lines, count(g.j) AS n_removed
-      FROM a LEFT JOIN w ON a.doc_id = w.doc_id AND a.i = w.i LEFT JOIN g ON w.doc_id = g.doc_id AND w.j = g.j GROUP BY a.doc_id)
-SELECT c.doc_id, coalesce(c.text, '') AS text, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run
-FROM c LEFT JOIN r ON c.doc_id = r.doc_id
+w AS (SELECT doc_id, line, i, len(regexp_extract_all(line, '[^ 	-]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM a WHERE regexp_matches(line, '[^ 	-]')),
+e AS (SELECT x.doc_id, x.j, y.doc_id AS other, y.j AS there FROM w x JOIN w y ON x.line = y.line AND (y.doc_id < x.doc_id OR y.doc_id = x.doc_id AND y.j < x.j)),
+g AS (SELECT *, j - row_number() OVER (PARTITION BY doc_id, other, j - there ORDER BY j) AS stretch FROM e),
+l AS (SELECT doc_id, j, other, there, max(j) OVER (PARTITION BY doc_id, other, j - there, stretch) - j + 1 AS same FROM g),
+f AS (SELECT doc_id, j, max(CASE WHEN doc_id = other THEN least(same, j - there) ELSE same END) AS lines FROM l GROUP BY doc_id, j),
+m AS (SELECT f.doc_id, f.j, f.lines FROM f LEFT JOIN f b ON b.doc_id = f.doc_id AND b.j = f.j - 1 WHERE coalesce(b.lines, 0) <= f.lines),
+r AS (SELECT m.doc_id, m.j, m.lines FROM m JOIN w ON w.doc_id = m.doc_id AND w.j BETWEEN m.j AND m.j + m.lines - 1 GROUP BY ALL HAVING m.lines >= {line_dedup.MIN_LINES} OR sum(w.words) >= {line_dedup.MIN_WORDS}),
+x AS (SELECT DISTINCT doc_id, unnest(range(j, j + lines)) AS j FROM r),
+n AS (SELECT doc_id, count(*) AS n_runs, max(lines) AS longest_run FROM r GROUP BY doc_id),
+c AS (SELECT a.doc_id, string_agg(CASE WHEN x.j IS NULL THEN a.line END, chr(10) ORDER BY a.i) AS text, count(w.j) AS n_lines, count(x.j) AS n_removed
+      FROM a LEFT JOIN w ON a.doc_id = w.doc_id AND a.i = w.i LEFT JOIN x ON w.doc_id = x.doc_id AND w.j = x.j GROUP BY a.doc_id)
+SELECT c.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(c.text, '') END AS text, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run
+FROM c JOIN documents d ON d.doc_id = c.doc_id LEFT JOIN n ON c.doc_id = n.doc_id
 """
 
 
