@@ -84,11 +84,15 @@ def suffix_ranks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     upto = F.sum("w").over(Window.partitionBy("k").orderBy("j"))
     now = stage(_regroup(_lines(docs, key, text), ["a", "b"]).distinct().withColumn("upto", upto), "suffixes")
-    m, rounds = 1, []
+    m, rounds, tables = 1, [], [now]
     while not rounds or now.limit(1).count():
         rounds.append(now.withColumn("m", F.lit(m)))
         now, m = stage(_longer(now, m), "suffixes"), 2 * m
-    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rounds)
+        tables.append(now)
+    out = stage(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rounds), "ranks")
+    for t in tables:
+        drop_staged(t)
+    return out
 
 
 def later_copies(ranks: DataFrame) -> DataFrame:
