@@ -11,6 +11,7 @@ each neighbouring pair may.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ PAIR_SLOTS = 1 << 21
 #: Characters of new words matched at once, and words that a worker remembers at most.
 MATCH_CHARS = 100_000
 REMEMBERED = 150_000
+#: A word of more characters is relaxed by itself, edge by edge.
+LONG_WORD = 4096
 #: Characters of text that are encoded before their ids are handed on.
 PART_CHARS = 500_000
 _NEVER = np.iinfo(np.int32).max
@@ -93,15 +96,33 @@ class Pieces:
 
 
 def merge_plainly(row: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> tuple[list[int], tuple[int, int] | None]:
-    """Merge the best pair, leftmost first, until none is left; also the last pair merged. For short rows."""
-    row, last = list(row), None
-    while True:
-        best = min(((merges[x][0], k) for k, x in enumerate(zip(row, row[1:], strict=False)) if x in merges), default=None)
-        if best is None:
-            return row, last
-        k = best[1]
-        last = (row[k], row[k + 1])
-        row[k : k + 2] = [merges[last][1]]
+    """Merge the best pair, leftmost first, until none is left; also the last pair merged.
+
+    A heap of the pairs that stand side by side, with links over what was merged, so a long row takes
+    n log n steps.
+    """
+    row, last, n = list(row), None, len(row)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(merges[x][0], k, *x) for k, x in enumerate(zip(row, row[1:], strict=False)) if x in merges]
+    heapq.heapify(heap)
+    while heap:
+        _, k, a, b = heapq.heappop(heap)
+        r = after[k]
+        if row[k] != a or r >= n or row[r] != b:
+            continue  # one of the two was merged since
+        last = (a, b)
+        row[k], row[r] = merges[last][1], -1
+        after[k] = after[r]
+        if after[r] < n:
+            before[after[r]] = k
+        for left, right in ((before[k], k), (k, after[k])):
+            if left >= 0 and right < n and (m := merges.get((row[left], row[right]))):
+                heapq.heappush(heap, (m[0], left, row[left], row[right]))
+    at, out = 0, []
+    while at < n:
+        out.append(row[at])
+        at = after[at]
+    return out, last
 
 
 class Encoder:
@@ -117,6 +138,7 @@ class Encoder:
         if self._bits * BLOCK > 62:
             raise ValueError("the alphabet is too large for the sorting keys")
         self._ids = {v.text[i]: i for i in range(len(v.text)) if v.kind[i] == 0}
+        self._sizes = np.array([len(t) for t in v.text] + [1])
         self._single = np.full(len(alphabet) + 2, -1, dtype=np.int32)
         for k, c in enumerate(alphabet):
             self._single[k + 2] = self._ids.get(c, -1)
@@ -127,6 +149,7 @@ class Encoder:
                 c = self._code[[ord(x) for x in t]]
                 self._pieces.append((i, len(t), [c[k : k + BLOCK] for k in range(0, len(t), BLOCK)]))
         self._merges = {(k >> 32, k & 0xFFFFFFFF): (int(r), self._ids[v.text[k >> 32] + v.text[k & 0xFFFFFFFF]]) for k, r in zip(v.pair_keys.tolist(), v.pair_ranks.tolist(), strict=True)}
+        self._lists = v.rank.tolist(), v.left.tolist(), v.right.tolist()
         self._levels = self._search_plan()
         self._slot_keys = np.full(PAIR_SLOTS, -1, dtype=np.int64)
         self._slot_values = np.zeros(PAIR_SLOTS, dtype=bool)
@@ -244,6 +267,21 @@ class Encoder:
             live = live[go]
         return ok
 
+    def _unmerge_one(self, a: int, b: int) -> bool:
+        """_unmerge() of one pair, without arrays."""
+        rank, left, right = self._lists
+        limit = _NEVER
+        while True:
+            if (m := self._merges.get((a, b))) and m[0] < limit:
+                return False
+            ra, rb = rank[a], rank[b]
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                limit, a = ra, right[a]
+            else:
+                limit, b = rb + 1, left[b]
+
     def _encode_new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, which hold no repeated space, and the offsets of each; unknown characters as bytes."""
         text = "\n".join(words) + "\n"
@@ -257,7 +295,7 @@ class Encoder:
         s, p = self._edges(codes)
         inside = np.flatnonzero(codes != 1)
         s, p = np.concatenate([s, inside]), np.concatenate([p, self._single[codes[inside]]])
-        size = np.array([len(t) for t in self.v.text] + [1])[p]
+        size = self._sizes[p]
         e = s + size
         depth = e - own[s]
         order = np.argsort(depth.astype(np.uint16) if depth.max(initial=0) < 65536 else depth, kind="stable")
@@ -290,6 +328,29 @@ class Encoder:
             out, offsets = self._spell(out, offsets)
         return out, offsets
 
+    def _encode_long(self, word: str) -> np.ndarray:
+        """Ids of one long word: its edges in the order of their ends, relaxed one by one."""
+        codes = self._code[np.frombuffer(word.encode("utf-32-le", "replace"), dtype=np.uint32)]
+        n = len(codes)
+        s, p = self._edges(codes)
+        s, p = np.concatenate([s, np.arange(n)]), np.concatenate([p, self._single[codes]])
+        e = s + self._sizes[p]
+        order = np.argsort(e, kind="stable")
+        last, back, known = [-2] * (n + 1), [0] * (n + 1), {}
+        for start, piece, end in zip(s[order].tolist(), p[order].tolist(), e[order].tolist(), strict=True):
+            if start and (left := last[start]) >= 0 and piece >= 0:
+                if (ok := known.get(pair := left << 32 | piece)) is None:
+                    ok = known[pair] = self._unmerge_one(left, piece)
+                if not ok:
+                    continue
+            last[end], back[end] = piece, start
+        out, at = [], n
+        while at:
+            out.append(last[at] if last[at] >= 0 else -1 - ord(word[back[at]]))
+            at = back[at]
+        row = np.array(out[::-1], dtype=np.int32)
+        return self._spell(row, np.array([0, len(row)]))[0] if (row < 0).any() else row
+
     def _spell(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each unknown character, marked by its negated code point less 1, becomes the pieces of its bytes."""
         bad = np.flatnonzero(ids < 0)
@@ -305,7 +366,10 @@ class Encoder:
         return out, start[offsets]
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if SPACE * 2 not in w]
+        plain = [w for w in words if SPACE * 2 not in w and len(w) <= LONG_WORD]
+        for w in words:
+            if SPACE * 2 not in w and len(w) > LONG_WORD:
+                self._add([w], row := self._encode_long(w), np.array([0, len(row)]))
         runs = [w for w in words if SPACE * 2 in w]
         while plain:
             size = k = 0
@@ -329,7 +393,7 @@ class Encoder:
         """Only the last space can merge with the word; if it does so before the spaces merge, they go without it."""
         if not word:
             return self._merge_spaces(len(spaces))
-        out, _ = self._encode_new([SPACE + word])
+        out = self._encode_long(SPACE + word) if len(word) > LONG_WORD else self._encode_new([SPACE + word])[0]
         first = int(out[0])
         whole = out.tolist()
         if first == self._ids[SPACE]:

@@ -11,8 +11,9 @@ import numpy as np
 import pandas as pd
 import regex
 import tiktoken
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The pre-token pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,14 +46,14 @@ def token_counter(vocabulary: Vocabulary) -> Callable[[str], int]:
     """Function from a pre-token to its number of tokens; one for each vocabulary and worker."""
     if (k := hash(vocabulary.lines)) not in _counters:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.lines.splitlines())}
-        encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        encode = tiktoken.Encoding("own", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary  # the pre-token as one
         known: dict[str, int] = {}
 
         def count(piece: str) -> int:
             if (n := known.get(piece)) is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
-                n = known[piece] = len(encode(piece.encode("utf-8", "replace")))
+                n = known[piece] = len(encode(piece))
             return n
 
         _counters[k] = count
@@ -64,20 +65,36 @@ class TokenTree:
 
     edit() finds the leaf by descending along the character sums, splits and counts pre-tokens from a
     boundary before the edit until a new boundary meets an old one behind it, and updates the sums on
-    the paths above the leaves it changed. From a shared boundary on, the pre-tokens depend on the same
+    the paths above the leaves it changed; a leaf that has grown to more than twice LEAF is split. From a shared boundary on, the pre-tokens depend on the same
     text, so the rest of the document stays as it is.
     """
 
     def __init__(self, text: str, count: Callable[[str], int]):
-        self._count, self.encoded = count, 0
         pieces = _split.findall(text)
-        self._leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
+        leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)]
+        self._count, self.encoded = count, 0
+        self._build(leaves, [sum(map(count, x)) for x in leaves])
+
+    @classmethod
+    def of_leaves(cls, leaves: list[list[str]], tokens: list[int], count: Callable[[str], int]) -> TokenTree:
+        """A tree from leaves that were kept, with their token counts: nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree._count, tree.encoded = count, 0
+        tree._build(leaves, tokens)
+        return tree
+
+    def leaves(self) -> list[tuple[list[str], int]]:
+        """The leaves that hold pre-tokens, and their token counts."""
+        return [(x, self._tokens[self._size + i]) for i, x in enumerate(self._leaves) if x]
+
+    def _build(self, leaves: list[list[str]], tokens: list[int]) -> None:
+        self._leaves = leaves or [[]]
         self._size = 1
         while self._size < len(self._leaves):
             self._size *= 2
-        self._chars, self._tokens = [0] * (2 * self._size), [0] * (2 * self._size)
-        for i, leaf in enumerate(self._leaves):
-            self._chars[self._size + i], self._tokens[self._size + i] = sum(map(len, leaf)), sum(map(count, leaf))
+        fill = [0] * (self._size - len(leaves))
+        self._chars = [0] * self._size + [sum(map(len, x)) for x in leaves] + fill
+        self._tokens = [0] * self._size + list(tokens) + fill
         for i in range(self._size - 1, 0, -1):
             self._chars[i], self._tokens[i] = self._chars[2 * i] + self._chars[2 * i + 1], self._tokens[2 * i] + self._tokens[2 * i + 1]
 
@@ -142,10 +159,61 @@ class TokenTree:
                 break
             last += 1
         self.encoded += len(made)
-        rest = old[met:]
-        self._put(first, [*self._leaves[first][:keep], *made, *rest])
-        for i in range(first + 1, min(last, len(self._leaves) - 1) + 1):
-            self._put(i, [])
+        changed = [*self._leaves[first][:keep], *made, *old[met:]]
+        last = min(last, len(self._leaves) - 1)
+        if len(changed) <= 2 * LEAF:
+            self._put(first, changed)
+            for i in range(first + 1, last + 1):
+                self._put(i, [])
+            return
+        cut = [changed[i : i + LEAF] for i in range(0, len(changed), LEAF)]  # a leaf that has grown is split
+        sums = self._tokens[self._size : self._size + len(self._leaves)]
+        self._build([*self._leaves[:first], *cut, *self._leaves[last + 1 :]], [*sums[:first], *[sum(map(self._count, x)) for x in cut], *sums[last + 1 :]])
+
+
+_LEAVES = "array<struct<leaf:int,pieces:array<string>,chars:long,tokens:long>>"
+
+
+def leaf_table(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The trees of docs as a table to keep: key, leaf, pieces, chars, tokens; null and empty texts have one empty leaf.
+
+    Keys are to be unique and not null; no row is shuffled.
+    """
+
+    @F.pandas_udf(_LEAVES)
+    def run(texts: pd.Series) -> pd.Series:
+        count = token_counter(vocabulary)
+        return pd.Series([_leaf_rows(TokenTree(t or "", count)) for t in texts], dtype=object)
+
+    return docs.select(key, F.explode(run(F.col(text))).alias("l")).select(key, "l.*")
+
+
+def _leaf_rows(tree: TokenTree) -> list[dict]:
+    found = tree.leaves() or [([], 0)]
+    return [{"leaf": i, "pieces": x, "chars": sum(map(len, x)), "tokens": n} for i, (x, n) in enumerate(found)]
+
+
+def apply_edits(leaves: DataFrame, edits: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> DataFrame:
+    """leaf_table() after edits (key, seq, start, stop, new), applied to each document in the order of seq.
+
+    Only the trees of documents with edits are shuffled; they are put together from their kept counts, and
+    only what an edit touches is encoded. All other leaves pass through. Edits of unknown keys add nothing;
+    a null `new` deletes, and null places are 0.
+    """
+    touched = edits.select(key).distinct()
+    schema = StructType([leaves.schema[key], *[f for f in leaves.schema if f.name != key]])
+
+    def run(kept: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
+        if not len(kept):
+            return pd.DataFrame(columns=schema.names)
+        kept = kept.sort_values("leaf")
+        tree = TokenTree.of_leaves([list(x) for x in kept["pieces"] if len(x)], [n for n, x in zip(kept["tokens"], kept["pieces"], strict=True) if len(x)], token_counter(vocabulary))
+        for a, b, new in changes.sort_values("seq", kind="stable")[["start", "stop", "new"]].itertuples(index=False):
+            tree.edit(0 if pd.isna(a) else int(a), 0 if pd.isna(b) else int(b), "" if new is None or pd.isna(new) else new)
+        return pd.DataFrame(_leaf_rows(tree)).assign(**{key: kept[key].iloc[0]})[schema.names]
+
+    edited = leaves.join(touched, key, "left_semi").groupBy(key).cogroup(edits.groupBy(key)).applyInPandas(run, schema)
+    return leaves.join(touched, key, "left_anti").select(*schema.names).unionByName(edited)
 
 
 def thirds(text: str) -> list[tuple[int, int, str]]:
