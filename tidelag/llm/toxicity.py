@@ -1,14 +1,14 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse word features.
 
 P(grade > k) = 1 / (1 + exp(threshold_k - weights . x)): one weight vector serves all thresholds. The
-features are the words most associated with the labels, x their log(1 + count) in a text.
+features are all words of a text, hashed into a fixed number of buckets, x the log(1 + count) of each.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -17,26 +17,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows used for the fit at most, those with the lowest hash of their key.
-MAX_LABELLED = 20_000
-#: Words used as features at most.
-MAX_FEATURES = 1024
-MIN_DOCS = 3
+MAX_LABELLED = 5_000
+#: Buckets that words are hashed into; the weights that tasks get are 8 bytes a bucket.
+BUCKETS = 1 << 20
 GRADES = 3
-#: A toxic text with so many occurrences of toxic words has the highest grade.
-HEAVY = 5
+#: A feature's G-squared at which its weight costs four times as much as with no end of evidence.
+PRIOR = 20.0
+#: Words whose buckets a worker remembers at most.
+REMEMBERED = 300_000
 
 _words = re.compile(r"[^\W\d_]+").findall
+_known: dict[str, int] = {}
 
 
-def _tokens(text: str | None) -> list[str]:
-    return _words(text.lower()) if text else []
+def buckets_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text's words, lower-cased, and log(1 + occurrences) of each."""
+    if not text or not (words := _words(text.lower())):
+        return np.zeros(0, dtype=np.int64), np.zeros(0)
+    found = list(map(_known.get, words))
+    if None in found:
+        if len(_known) > REMEMBERED:
+            _known.clear()
+        for w in set(words):
+            if w not in _known:
+                _known[w] = zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS
+        found = list(map(_known.__getitem__, words))
+    at, n = np.unique(np.array(found, dtype=np.int64), return_counts=True)
+    return at, np.log1p(n)
 
 
 @dataclass(frozen=True)
 class SeverityModel:
-    """words[i] has weights[i]; thresholds rise, one fewer than there are grades; cutoff is on P(grade > 0)."""
+    """A weight for each bucket; thresholds rise, one fewer than there are grades; cutoff is on P(grade > 0)."""
 
-    words: tuple[str, ...]
     weights: np.ndarray
     thresholds: np.ndarray
     cutoff: float = 0.5
@@ -46,88 +59,88 @@ class SeverityModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
 
+@dataclass(frozen=True)
+class Rows:
+    """Sparse features: entry i is val[i] in bucket col[i] of row row[i]; n rows."""
+
+    row: np.ndarray
+    col: np.ndarray
+    val: np.ndarray
+    n: int
+
+    @classmethod
+    def of(cls, texts: Iterable[tuple[np.ndarray, np.ndarray]]) -> Rows:
+        found = list(texts)
+        sizes = [len(at) for at, _ in found]
+        none = [np.zeros(0)]
+        return cls(np.repeat(np.arange(len(found)), sizes), np.concatenate([np.zeros(0, dtype=np.int64), *[at for at, _ in found]]), np.concatenate([*none, *[x for _, x in found]]), len(found))
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.val * weights[self.col], minlength=self.n)
+
+    def where(self, wanted: np.ndarray) -> Rows:
+        keep, place = wanted[self.row], np.cumsum(wanted) - 1
+        return Rows(place[self.row[keep]], self.col[keep], self.val[keep], int(wanted.sum()))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """key, text, toxic of `most` labelled documents at most; the rest of the labels is not used.
+    """doc_id, text, toxic of `most` labelled documents at most; the rest of the labels is not used.
 
     Of several labels of a document the highest counts; null keys or labels give no row. What is
-    broadcast has `most` rows of a key and a flag.
+    broadcast has `most` rows of a key and a grade.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
 
 
-def associated_words(sample: DataFrame, most: int = MAX_FEATURES) -> list[tuple[str, float]]:
-    """The words whose presence goes most with toxic or clean texts, by G-squared, and their log odds.
-
-    Counted in tasks, pre-aggregated per batch; at most `most` rows come to the driver. Empty without
-    rows of both kinds.
-    """
-    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sum(n for k, n in totals.items() if k), totals.get(0, 0)
-    if not n1 or not n0:
-        return []
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            seen = {0: Counter(), 1: Counter()}
-            for text, toxic in zip(b["text"], b["toxic"], strict=True):
-                seen[int(toxic > 0)].update(set(_tokens(text)))
-            if words := list(seen[0].keys() | seen[1].keys()):
-                yield pd.DataFrame({"word": words, "a": [seen[1][w] for w in words], "b": [seen[0][w] for w in words]})
-
-    per = sample.select("text", "toxic").mapInPandas(count, "word string, a long, b long")
-    per = per.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= MIN_DOCS)
-    rate = (F.col("a") + F.col("b")) / F.lit(float(n1 + n0))
-    term = lambda x, n: F.when(x > 0, x * F.log(x / (rate * n))).otherwise(0.0)
-    g2 = term(F.col("a"), n1) + term(F.col("b"), n0) + term(n1 - F.col("a"), n1 * (1 / rate - 1)) + term(n0 - F.col("b"), n0 * (1 / rate - 1))
-    odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    rows = per.select("word", g2.alias("g2"), odds.alias("odds")).orderBy(F.desc("g2"), "word").limit(most).collect()
-    return [(r["word"], r["odds"]) for r in rows]
-
-
-def counter_of(words: tuple[str, ...]):
-    """Function from a text to the places of its feature words, one for each occurrence."""
-    place = {w: i for i, w in enumerate(words)}.get
-    return lambda text: [i for i in map(place, _tokens(text)) if i is not None]
-
-
-def fit(rows: list[tuple[int, dict[int, int]]], words: tuple[str, ...], grades: int = GRADES, steps: int = 200, l2: float = 1e-3) -> SeverityModel:
-    """Maximum likelihood with an L2 penalty by full-batch Adam on bounded rows (grade, {place: count})."""
-    y = np.array([g for g, _ in rows], dtype=np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(c) for _, c in rows])
-    col = np.fromiter((i for _, c in rows for i in c), dtype=np.int64, count=len(row))
-    val = np.log1p(np.fromiter((n for _, c in rows for n in c.values()), dtype=float, count=len(row)))
-    n, k = max(len(rows), 1), grades - 1
+def association(col: np.ndarray, row: np.ndarray, size: int, toxic: np.ndarray) -> np.ndarray:
+    """For each feature, g / (g + PRIOR), g the G-squared of its presence and a toxic label: how far its weight may go."""
+    n1, n0 = toxic.sum(), (~toxic).sum()
+    a = np.bincount(col, toxic[row], minlength=size)
+    b = np.bincount(col, minlength=size) - a
+    rate = (a + b) / max(n1 + n0, 1)
+    term = lambda x, n, share: np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / np.maximum(n * share, 1e-300)), 0.0)
+    g = 2 * (term(a, n1, rate) + term(b, n0, rate) + term(n1 - a, n1, 1 - rate) + term(n0 - b, n0, 1 - rate))
+    return np.maximum(g, 0) / (np.maximum(g, 0) + PRIOR)
+
+
+def fit(rows: Rows, y: np.ndarray, grades: int = GRADES, steps: int = 120, l2: float = 1e-3) -> SeverityModel:
+    """Maximum likelihood with an L2 penalty, least on the features most associated with toxic labels, by full-batch Adam on bounded rows and their grades."""
+    used, col = np.unique(rows.col, return_inverse=True)
+    row, size = rows.row, len(used)
+    scale = association(col, row, size, y > 0) if rows.n else np.zeros(0)
+    val = rows.val * scale[col]
+    n, k = max(rows.n, 1), grades - 1
     above = np.array([(y > j).mean() if len(y) else 0.5 for j in range(k)]).clip(1e-4, 1 - 1e-4)
     first = -np.log(above / (1 - above))
     gaps = np.log(np.maximum(np.diff(first), 0.05))
-    p = np.concatenate([np.zeros(len(words)), first[:1], gaps])
+    p = np.concatenate([np.zeros(size), first[:1], gaps])
     m, v = np.zeros_like(p), np.zeros_like(p)
 
     def thresholds() -> np.ndarray:
-        return np.cumsum(np.concatenate([p[len(words) : len(words) + 1], np.exp(p[len(words) + 1 :])]))
+        return np.cumsum(np.concatenate([p[size : size + 1], np.exp(p[size + 1 :])]))
 
-    for step in range(1, steps + 1 if len(rows) else 1):
-        w, t = p[: len(words)], thresholds()
-        s = np.bincount(row, val * w[col], minlength=len(rows))
+    for step in range(1, steps + 1 if rows.n else 1):
+        w, t = p[:size], thresholds()
+        s = np.bincount(row, val * w[col], minlength=rows.n)
         below = 1 / (1 + np.exp(np.clip(s[:, None] - t[None, :], -50, 50)))
-        low = np.concatenate([np.zeros((len(rows), 1)), below], axis=1)[np.arange(len(rows)), y]
-        high = np.concatenate([below, np.ones((len(rows), 1))], axis=1)[np.arange(len(rows)), y]
+        low = np.concatenate([np.zeros((rows.n, 1)), below], axis=1)[np.arange(rows.n), y]
+        high = np.concatenate([below, np.ones((rows.n, 1))], axis=1)[np.arange(rows.n), y]
         prob, slope = np.maximum(high - low, 1e-12), below * (1 - below)
-        by_score = (1 - high - low) / n  # of the loss
+        by_score = (1 - high - low) / n  # of the loss, negated
         gt = np.array([(slope[y == j + 1, j] / prob[y == j + 1]).sum() - (slope[y == j, j] / prob[y == j]).sum() for j in range(k)]) / n
-        gp = np.array([gt[j:].sum() * (1 if j == 0 else np.exp(p[len(words) + j])) for j in range(k)])
-        g = np.concatenate([-np.bincount(col, val * -by_score[row], minlength=len(words)) + l2 * w, gp])
+        gp = np.array([gt[j:].sum() * (1 if j == 0 else np.exp(p[size + j])) for j in range(k)])
+        g = np.concatenate([-np.bincount(col, val * -by_score[row], minlength=size) + l2 * w, gp])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    model = SeverityModel(words, p[: len(words)].copy(), thresholds())
-    s = np.bincount(row, val * model.weights[col], minlength=len(rows)) if len(rows) else np.zeros(0)
-    return replace(model, cutoff=best_cutoff(model.exceed(s)[:, 0], y > 0))
+    weights = np.zeros(BUCKETS)
+    weights[used] = p[:size] * scale
+    return SeverityModel(weights, thresholds())
 
 
 def best_cutoff(p: np.ndarray, toxic: np.ndarray) -> float:
-    """The cutoff between two probabilities of the fitted rows that has the best F1; 0.5 without both kinds."""
+    """The cutoff between two probabilities that has the best F1; 0.5 without both kinds."""
     if not toxic.any() or toxic.all():
         return 0.5
     order = np.argsort(-p, kind="stable")
@@ -138,54 +151,58 @@ def best_cutoff(p: np.ndarray, toxic: np.ndarray) -> float:
     return float((q[k] + (q[k + 1] if k + 1 < len(q) else 0.0)) / 2)
 
 
+def out_of_fold(rows: Rows, toxic: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """P(toxic) of each row from a model of two grades that is fitted on the rows of the other fold."""
+    p = np.zeros(rows.n)
+    for f in (False, True):
+        model = fit(rows.where(fold != f), toxic[fold != f].astype(np.int64), 2)
+        p[fold == f] = model.exceed(rows.where(fold == f).scores(model.weights))[:, 0]
+    return p
+
+
 def train(docs: DataFrame, labels: DataFrame) -> SeverityModel:
-    """A model of three grades from labels that say only toxic or not.
+    """A model of three grades from labels that say only toxic or not, or have grades of their own.
 
-    Grade 0 is clean; a toxic text has grade 2 if it holds HEAVY or more occurrences of words with
-    positive log odds of at least 2, else 1. The sample's features come to the driver: MAX_LABELLED
-    rows with MAX_FEATURES counts each at most. Without labels of both kinds every score is the prior's.
+    Labels above 1 are grades as they stand. With labels of 0 and 1 alone the grades of toxic texts are score
+    bands: of the toxic rows, the half that a model fitted on the other fold, which never saw them, finds
+    likelier toxic has grade 2, the rest 1. The flag's cutoff has the best F1 on the same
+    out-of-fold probabilities. The sample's features, MAX_LABELLED rows, come to the driver as arrays. Rows
+    that share a key are rows of their own with one label; without labels of both kinds every score is the prior's.
     """
     sample = labelled_sample(docs, labels)
-    found = associated_words(sample)
-    words = tuple(w for w, _ in found)
-    strong = {i for i, (_, odds) in enumerate(found) if odds >= 2}
-    places = counter_of(words)
 
     def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"toxic": b["toxic"], "at": [np.array(places(t), dtype="<i2").tobytes() for t in b["text"]]})
-
-    rows = []
-    for r in sample.select("text", "toxic").mapInPandas(_distinct(featurize), "toxic int, at binary, n binary").toLocalIterator():
-        at, n = np.frombuffer(r["at"], "<i2").tolist(), np.frombuffer(r["n"], "<i4").tolist()
-        heavy = sum(c for i, c in zip(at, n, strict=True) if i in strong) >= HEAVY
-        rows.append((0 if not r["toxic"] else 2 if heavy else 1, dict(zip(at, n, strict=True))))
-    return fit(rows, words)
-
-
-def _distinct(featurize):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in featurize(batches):
-            pairs = [np.unique(np.frombuffer(x, "<i2"), return_counts=True) for x in b["at"]]
-            yield pd.DataFrame({"toxic": b["toxic"], "at": [i.astype("<i2").tobytes() for i, _ in pairs], "n": [n.astype("<i4").tobytes() for _, n in pairs]})
-
-    return run
+            found = [buckets_of(t) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "at": [a.astype("<i4").tobytes() for a, _ in found], "x": [x.astype("<f4").tobytes() for _, x in found]})
+
+    found = sample.mapInPandas(featurize, "doc_id long, toxic int, at binary, x binary").toLocalIterator()
+    found = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["toxic"], r["at"], r["x"]) for r in found)
+    rows = Rows.of((np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(float)) for _, _, a, x in found)
+    y = np.array([max(t, 0) for _, t, *_ in found], dtype=np.int64)
+    toxic = y > 0
+    if not toxic.any() or toxic.all():
+        return fit(Rows.of([]), np.zeros(0, dtype=np.int64))
+    p = out_of_fold(rows, toxic, np.arange(rows.n) % 2 == 1)
+    if y.max() == 1:
+        y = np.where(toxic, 1 + (p >= np.median(p[toxic])), 0)
+    y = np.minimum(y, GRADES - 1)
+    return replace(fit(rows, y), cutoff=best_cutoff(p, toxic))
 
 
 def severity(text: Column, model: SeverityModel) -> Column:
-    """Struct of a text's expected severity (0 to grades - 1), its likeliest grade, and toxic: P(grade > 0) above the cutoff.
+    """Struct of a text's expected severity (0 to grades - 1), its likeliest grade (ties to the lower), and toxic: P(grade > 0) above the cutoff.
 
-    Whole texts are read; texts without any feature, such as null and empty ones, score as the prior and are not toxic. The model that
-    tasks get has MAX_FEATURES words at most.
+    Whole texts are read, however long; texts without any word, such as null and empty ones, score as the
+    prior and are not toxic. Equal texts score alike.
     """
-    places = counter_of(model.words)
 
     @F.pandas_udf("expected_severity double, grade int, toxic boolean")
     def score(texts: pd.Series) -> pd.DataFrame:
-        found = [np.bincount(p) if (p := places(t)) else None for t in texts]
-        s = np.array([0.0 if c is None else float(np.log1p(c) @ model.weights[: len(c)]) for c in found])
-        p = model.exceed(s)
-        each = np.concatenate([np.ones((len(s), 1)), p], axis=1) - np.concatenate([p, np.zeros((len(s), 1))], axis=1)
-        return pd.DataFrame({"expected_severity": p.sum(axis=1), "grade": each.argmax(axis=1).astype("int32"), "toxic": (p[:, 0] > model.cutoff) & np.array([c is not None for c in found], dtype=bool)})
+        rows = Rows.of(map(buckets_of, texts))
+        p = model.exceed(rows.scores(model.weights))
+        each = np.concatenate([np.ones((rows.n, 1)), p], axis=1) - np.concatenate([p, np.zeros((rows.n, 1))], axis=1)
+        worded = np.bincount(rows.row, minlength=rows.n) > 0
+        return pd.DataFrame({"expected_severity": p.sum(axis=1), "grade": each.argmax(axis=1).astype("int32"), "toxic": (p[:, 0] > model.cutoff) & worded})
 
     return score(text)
