@@ -117,3 +117,21 @@ def test_streams_give_out_all_events_whatever_the_files_order(spark, tmp_path):
 def test_walk_forward_predicts_every_season_but_the_first(spark):
     found = models.ridge_walk_forward(spark, "/root/testdata/sf0.001")
     assert {r["season"] for r in found.select("season").distinct().collect()} == set(range(1996, 2002))
+
+
+def test_lines_ladders_and_key_numbers(spark):
+    import math
+
+    tail = lambda t, mean, cv: 0.5 * math.erfc((t - mean) / (cv * mean) / math.sqrt(2))
+    poisson = lambda t, mean: 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(t))
+    one = spark.range(1)
+    mean = lambda p: one.select(S.implied_mean(F.lit(62.5), F.lit(p), 0.55)).first()[0]
+    assert mean(0.5) == pytest.approx(62.5, abs=0.02) and mean(0.55) > 62.5 > mean(0.45)
+    assert mean(0.999) == pytest.approx(62.5 / 0.45) and mean(None) is None
+    for want in (640.0, 1010.0, 1800.0):
+        got = one.select(S.ladder_mean((750, 1000, 1250), [F.lit(tail(t, want, 0.25)) for t in (750, 1000, 1250)], 0.25).alias("l")).first()["l"]
+        assert got["mean"] == pytest.approx(want, abs=0.02) and got["err"] < 1e-9
+    got = one.select(S.ladder_mean((6, 8, 10), [F.lit(poisson(t, 7.25)) for t in (6, 8, 10)]).alias("l")).first()["l"]
+    assert got["mean"] == pytest.approx(7.25, abs=0.02)
+    moves = spark.createDataFrame([(-2.5, -3.5), (3.0, 3.5), (-7.0, -6.5), (2.0, 2.5)], "a double, b double")
+    assert [r[0] for r in moves.select(S.crosses(F.abs("a"), F.abs("b"), (3, 7, 10))).collect()] == [True, False, True, False]

@@ -76,6 +76,51 @@ def normal_quantile(p: Column, limit: float | None = None) -> Column:
     return z if limit is None else clip(z, -limit, limit)
 
 
+def implied_mean(line: Column, p_over: Column, cv: float) -> Column:
+    """Mean of a normal stat with deviation cv * mean whose chance to pass the line is p_over.
+
+    The quantile is kept within one deviation and the divisor above 0.1; null where either is null.
+    """
+    z = normal_quantile(clip(p_over, 0.01, 0.99), limit=1.0)
+    return F.when(p_over.isNotNull(), line / F.greatest(1 - cv * z, F.lit(0.1)))
+
+
+def ladder_mean(rungs: Sequence[float], probs: Sequence[Column], cv: float | None = None) -> Column:
+    """Struct of err and mean: the mean, in hundredths up to twice the top rung, that fits a ladder of P(X >= rung) best.
+
+    X is normal with deviation cv * mean, or Poisson without cv. The squared error is searched in steps of
+    1, 0.1 and 0.01 around the best so far.
+    """
+    top = float(max(rungs))
+
+    def tail(t: float, mu: Column) -> Column:
+        if cv is not None:
+            return 1 - normal_cdf((t - mu) / (cv * mu))
+        terms = [F.pow(mu, F.lit(float(i))) / float(math.factorial(i)) for i in range(int(t))]
+        return 1 - F.exp(-mu) * sum(terms[1:], terms[0])
+
+    def tried(mu: Column) -> Column:
+        errors = [F.pow(tail(t, mu) - p, F.lit(2.0)) for t, p in zip(rungs, probs, strict=True)]
+        return F.struct(sum(errors[1:], errors[0]).alias("err"), mu.alias("mean"))
+
+    def closer(best: Column, step: Column) -> Column:
+        n = F.when(step == 1.0, F.lit(int(top))).otherwise(10)
+        places = F.transform(F.sequence(-n, n), lambda i: F.least(F.greatest(F.round(best["mean"] + i * step, 2), F.lit(0.01)), F.lit(2 * top)))
+        return F.array_min(F.transform(places, tried))
+
+    start = F.struct(F.lit(1e9).alias("err"), F.lit(top).alias("mean"))
+    return F.aggregate(F.array(*[F.lit(x) for x in (1.0, 0.1, 0.01)]), start, closer)
+
+
+def crosses(a: Column, b: Column, numbers: Sequence[float]) -> Column:
+    """Whether one of the numbers lies above one of a and b and not above the other."""
+    found = [(a < k) != (b < k) for k in numbers]
+    out = found[0]
+    for x in found[1:]:
+        out = out | x
+    return out
+
+
 def saturating_weight(n: Column, k: float, most: int) -> Column:
     """(1 - e^-kn) / (1 - e^-kN), at most 1."""
     return F.least((1 - F.exp(-k * n)) / (1 - math.exp(-k * most)), F.lit(1.0))

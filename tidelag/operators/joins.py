@@ -60,10 +60,10 @@ def fallback(left: DataFrame, right: DataFrame, first: str, second: str, values:
     return both.select(*[F.col(c) for c in left.columns], *[got[v].alias(v) for v in values], how.alias("matched_by"))
 
 
-def departures_arrivals(before: DataFrame, after: DataFrame, key: str, group: str) -> DataFrame:
-    """key, left_group, joined_group for keys whose group changed, ended or began; one full join."""
-    b, a = before.select(key, F.col(group).alias("left_group")).distinct(), after.select(key, F.col(group).alias("joined_group")).distinct()
-    return b.join(a, key, "full").where(~F.col("left_group").eqNullSafe(F.col("joined_group")))
+def departures_arrivals(before: DataFrame, after: DataFrame, keys: Sequence[str], group: str) -> DataFrame:
+    """keys, left_group, joined_group for keys whose group changed, ended or began; one full join."""
+    b, a = before.select(*keys, F.col(group).alias("left_group")).distinct(), after.select(*keys, F.col(group).alias("joined_group")).distinct()
+    return b.join(a, list(keys), "full").where(~F.col("left_group").eqNullSafe(F.col("joined_group")))
 
 
 def coverage(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

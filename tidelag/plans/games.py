@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelag.functions import windows as W
-from tidelag.functions.scalars import bucket, clip, fixed, haversine_miles, implied_pair, ratio
+from tidelag.functions.scalars import bucket, clip, crosses, fixed, haversine_miles, implied_pair, ratio
 from tidelag.operators.joins import as_of, both_sides, prior_range
 from tidelag.plans.inputs import games, plays, query
 
@@ -153,14 +155,21 @@ def referee_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return games(spark, sf_dir).select("game", "referee", fixed(W.lagged_mean(F.col("home_score") + F.col("away_score"), w)).alias("total_before"), n.alias("games_before"))
 
 
-@query("""WITH {games}, m AS (SELECT game, spread AS opened, spread + (game % 9 - 4) * 0.5 AS closed FROM games)
-SELECT game, closed - opened AS move, CASE WHEN abs(closed - opened) <= 0.5 THEN 'small' WHEN abs(closed - opened) <= 1.5 THEN 'medium' ELSE 'large' END AS size, (opened < 3 AND closed >= 3) OR (opened >= 3 AND closed < 3) OR (opened < 7 AND closed >= 7) OR (opened >= 7 AND closed < 7) AS crossed FROM m""")
+_KEYS = lambda a, b, numbers: " OR ".join(f"({a} < {k}) <> ({b} < {k})" for k in numbers)
+
+
+@query("""WITH {games}, m AS (SELECT game, spread AS os, spread + (game % 9 - 4) * 0.5 AS cs, total AS ot, total + (game % 7 - 3) * 0.5 AS ct FROM games)
+SELECT game, cs - os AS spread_shift, ct - ot AS total_shift, CAST(CASE WHEN cs = os THEN 0 WHEN abs(cs - os) <= 1 THEN 1 WHEN abs(cs - os) <= 2 THEN 2 ELSE 3 END AS DOUBLE) AS spread_magnitude, CAST(CASE WHEN ct = ot THEN 0 WHEN abs(ct - ot) <= 1 THEN 1 WHEN abs(ct - ot) <= 2 THEN 2 ELSE 3 END AS DOUBLE) AS total_magnitude, """ + f"{_KEYS('abs(os)', 'abs(cs)', (3, 7, 10))} AS crosses_key_spread, {_KEYS('ot', 'ct', (41, 44, 47))} AS crosses_key_total FROM m")
 def line_move_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Movement from open to close, its bucket, and whether it crossed 3 or 7."""
-    m = games(spark, sf_dir).select("game", F.col("spread").alias("opened"), (F.col("spread") + (F.col("game") % 9 - 4) * 0.5).alias("closed"))
-    m = m.withColumn("move", F.col("closed") - F.col("opened")).withColumn("__a", F.abs("move"))
-    crossed = lambda k: (F.col("opened") < k) != (F.col("closed") < k)
-    return m.select("game", "move", bucket("__a", (-1, 0.5, 1.5, 1e9), ("small", "medium", "large")).alias("size"), (crossed(3) | crossed(7)).alias("crossed"))
+    """Movement of spread and total from open to close, its size (0 for none), and whether it crossed a key number."""
+    g = F.col("game")
+    m = games(spark, sf_dir).select("game", F.col("spread").alias("os"), (F.col("spread") + (g % 9 - 4) * 0.5).alias("cs"), F.col("total").alias("ot"), (F.col("total") + (g % 7 - 3) * 0.5).alias("ct"))
+    m = m.withColumns({"spread_shift": F.col("cs") - F.col("os"), "total_shift": F.col("ct") - F.col("ot")}).withColumns({"sa": F.abs("spread_shift"), "ta": F.abs("total_shift")})
+    size = lambda c: bucket(c, (-0.001, 0, 1, 2, math.inf), ("0", "1", "2", "3")).cast("double")
+    return m.select(
+        "game", "spread_shift", "total_shift", size("sa").alias("spread_magnitude"), size("ta").alias("total_magnitude"),
+        crosses(F.abs("os"), F.abs("cs"), (3, 7, 10)).alias("crosses_key_spread"), crosses(F.col("ot"), F.col("ct"), (41, 44, 47)).alias("crosses_key_total"),
+    )
 
 
 @query("""WITH {plays}, {games}, t AS (SELECT team, season, week, avg(epa) AS epa, avg(yards) AS yards FROM plays GROUP BY ALL)

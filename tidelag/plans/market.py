@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelag.functions.scalars import american_probability, bucket, devig, fixed, normal_quantile, ratio
+from tidelag.functions.scalars import american_probability, bucket, devig, fixed, implied_mean, ladder_mean, ratio
 from tidelag.plans.inputs import games, query
 from tidelag.sources.sinks import latest_rows
 from tidelag.sources.tables import table
@@ -32,12 +32,11 @@ _Q = "sqrt(-2 * ln(least(q, 1 - q)))"
 
 
 @query(f"""WITH p AS (SELECT p_partkey AS player, p_retailprice / 100 AS line, (p_size % 9 + 1) / 10.0 AS q FROM part), z AS (SELECT *, (CASE WHEN q < 0.5 THEN -1 ELSE 1 END) * ({_Q} - (2.515517 + {_Q} * (0.802853 + {_Q} * 0.010328)) / (1 + {_Q} * (1.432788 + {_Q} * (0.189269 + {_Q} * 0.001308)))) AS z FROM p)
-SELECT player, round(line + 0.3 * line * greatest(least(z, 1), -1) + 1e-9, 4) AS implied_mean FROM z""")
+SELECT player, round(line / greatest(1 - 0.3 * greatest(least(z, 1), -1), 0.1) + 1e-9, 4) AS implied_mean FROM z""")
 def implied_mean_from_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line moved by the over's normal quantile, within one deviation."""
+    """The mean behind a line and the over's fair chance."""
     line = F.col("p_retailprice") / 100
-    z = normal_quantile((F.col("p_size") % 9 + 1) / 10.0, limit=1.0)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("player"), fixed(line + 0.3 * line * z, 4).alias("implied_mean"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("player"), fixed(implied_mean(line, (F.col("p_size") % 9 + 1) / 10.0, 0.3), 4).alias("implied_mean"))
 
 
 @query("""WITH e AS (SELECT user_id, event_type AS market, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS book, value, ts, event_id FROM events),
@@ -95,13 +94,17 @@ def open_close_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("match").agg(fixed(F.percentile("opened", 0.5), 4).alias("opened"), fixed(F.percentile("closed", 0.5), 4).alias("closed"), F.count("*").alias("books"), F.sum("n").alias("snapshots"))
 
 
-@query("""WITH l AS (SELECT p_partkey AS player, p_size AS level, unnest([10, 20, 40]) AS milestone FROM part), p AS (SELECT player, milestone, exp(-milestone / (level + 5.0)) AS prob FROM l), g AS (SELECT unnest(range(1, 61)) AS mean), s AS (SELECT player, mean, sum((exp(-milestone / CAST(mean AS DOUBLE)) - prob) ** 2) AS err FROM p, g GROUP BY ALL)
-SELECT player, CAST(mean AS BIGINT) AS mean, round(err + 1e-9, 6) AS err FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY round(err + 1e-9, 9), mean) AS i FROM s) WHERE i = 1""")
+_TAIL = "(exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))))"
+
+
+@query(f"""WITH s AS (SELECT DISTINCT p_size FROM part), l AS (SELECT p_size, unnest([10.0, 20.0, 40.0]) AS m FROM s), p AS (SELECT p_size, m, exp(-m / (p_size + 5.0)) AS prob FROM l), g AS (SELECT unnest(range(1, 8001)) / 100.0 AS mean),
+z AS (SELECT *, (m - mean) / (0.3 * mean) AS z, 1 / (1 + 0.2316419 * abs((m - mean) / (0.3 * mean))) AS t FROM p, g), e AS (SELECT p_size, mean, sum((CASE WHEN z >= 0 THEN {_TAIL} ELSE 1 - {_TAIL} END - prob) ** 2) AS err FROM z GROUP BY ALL), y AS (SELECT p_size, min_by(mean, err) AS yards, min(err) AS yards_err FROM e GROUP BY p_size),
+q AS (SELECT p_size, mean, (1 - exp(-mean) - exp(-1 / (p_size % 5 + 1.0))) ** 2 + (1 - exp(-mean) * (1 + mean) - exp(-2 / (p_size % 5 + 1.0))) ** 2 + (1 - exp(-mean) * (1 + mean + mean * mean / 2) - exp(-3 / (p_size % 5 + 1.0))) ** 2 AS err FROM s, g WHERE mean <= 6), c AS (SELECT p_size, min_by(mean, err) AS scores FROM q GROUP BY p_size)
+SELECT p_partkey AS player, round(yards + 1e-9, 4) AS yards, round(yards_err + 1e-9, 6) AS yards_err, round(scores + 1e-9, 4) AS scores FROM part JOIN y ON part.p_size = y.p_size JOIN c ON part.p_size = c.p_size""")
 def ladder_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean whose milestone probabilities fit best, from a grid of 60 inside an expression: nothing is joined."""
-    stones = F.array(*[F.lit(float(m)) for m in (10, 20, 40)])
-    grid = F.sequence(F.lit(1).cast("long"), F.lit(60).cast("long"))
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("player"), F.transform(stones, lambda m: F.struct(m.alias("m"), F.exp(-m / (F.col("p_size") + 5.0)).alias("p"))).alias("ladder"))
-    err = lambda k: F.aggregate("ladder", F.lit(0.0), lambda a, s: a + F.pow(F.exp(-s["m"] / k) - s["p"], 2))
-    best = F.array_min(F.transform(grid, lambda k: F.struct(fixed(err(k.cast("double")), 9).alias("e"), k.alias("mean"))))
-    return p.withColumn("b", best).select("player", F.col("b.mean").alias("mean"), fixed("b.e").alias("err"))
+    """The means whose milestone chances fit best, of a normal stat and of a count; nothing is joined."""
+    size = F.col("p_size")
+    yards = ladder_mean((10, 20, 40), [F.exp(-m / (size + 5.0)) for m in (F.lit(10.0), F.lit(20.0), F.lit(40.0))], 0.3)
+    scores = ladder_mean((1, 2, 3), [F.exp(-m / (size % 5 + 1.0)) for m in (F.lit(1.0), F.lit(2.0), F.lit(3.0))])
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("player"), yards.alias("y"), scores.alias("s"))
+    return p.select("player", fixed("y.mean", 4).alias("yards"), fixed("y.err").alias("yards_err"), fixed("s.mean", 4).alias("scores"))

@@ -12,6 +12,13 @@ from tidelag.functions.scalars import clip, fixed
 from tidelag.plans.inputs import query
 from tidelag.sources.tables import table
 
+#: Replacement ranks of six positions, which brands take in turn.
+REPLACEMENT = (13, 25, 30, 13, 13, 13)
+#: Weight of the consensus, of it for a small sample, least drop of the curve.
+ANCHOR, LOW_SAMPLE, DESCENT = 0.6, 0.85, 0.5
+#: Fixed value: most points that the ranking signals move.
+NUDGE_CAP = 1.5
+
 _P = "p AS (SELECT p_partkey AS player, p_brand AS position, p_retailprice + p_size * 3 AS points, p_size FROM part)"
 
 
@@ -23,25 +30,26 @@ def _ranked(df: DataFrame, name: str = "rk", group: str = "position") -> DataFra
     return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(F.desc("points"), "player")))
 
 
-@query(f"WITH {_P}" + """, r AS (SELECT *, row_number() OVER w AS rk, lag(points) OVER w - points AS gap FROM p WINDOW w AS (PARTITION BY position ORDER BY points DESC, player)), t AS (SELECT * FROM r WHERE rk <= 60), s AS (SELECT *, greatest(0.35 * stddev_pop(gap) OVER (PARTITION BY position), 0.5) AS cut FROM t),
-b AS (SELECT *, CASE WHEN gap > cut THEN row_number() OVER (PARTITION BY position, gap > cut ORDER BY gap DESC, rk) END AS place FROM s) SELECT player, position, CAST(rk AS BIGINT) AS rk, CAST(1 + sum(CASE WHEN place <= 9 THEN 1 ELSE 0 END) OVER (PARTITION BY position ORDER BY rk ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tier FROM b""")
+@query(f"WITH {_P}" + """, r AS (SELECT *, row_number() OVER w AS rk, lag(points) OVER w - points AS gap FROM p WINDOW w AS (PARTITION BY position ORDER BY points DESC, player)), s AS (SELECT *, greatest(0.35 * stddev_pop(gap) OVER (PARTITION BY position), 0.5) AS cut FROM r),
+b AS (SELECT *, CASE WHEN gap > cut THEN row_number() OVER (PARTITION BY position, gap > cut ORDER BY gap DESC, rk DESC) END AS place FROM s) SELECT player, position, CAST(rk AS BIGINT) AS rk, CAST(1 + sum(CASE WHEN place <= 9 THEN 1 ELSE 0 END) OVER (PARTITION BY position ORDER BY rk ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tier FROM b""")
 def tiers_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new tier at each drop that is large for the position; the nine largest drops at most."""
     g = Window.partitionBy("position")
-    r = _ranked(boards(spark, sf_dir)).withColumn("gap", F.lag("points").over(g.orderBy(F.desc("points"), "player")) - F.col("points")).where("rk <= 60")
+    r = _ranked(boards(spark, sf_dir)).withColumn("gap", F.lag("points").over(g.orderBy(F.desc("points"), "player")) - F.col("points"))
     s = r.withColumn("large", F.col("gap") > F.greatest(0.35 * F.stddev_pop("gap").over(g), F.lit(0.5)))
-    b = s.withColumn("place", F.when(F.col("large"), F.row_number().over(Window.partitionBy("position", "large").orderBy(F.desc("gap"), "rk"))))
+    b = s.withColumn("place", F.when(F.col("large"), F.row_number().over(Window.partitionBy("position", "large").orderBy(F.desc("gap"), F.desc("rk")))))
     out = W.islands(b, F.col("place") <= 9, W.by(("position",), ("rk",)), "breaks")
     return out.select("player", "position", F.col("rk").cast("long").alias("rk"), (F.col("breaks") + 1).alias("tier"))
 
 
-@query(f"WITH {_P}" + """, r AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY points DESC, player) AS rk, count(*) OVER (PARTITION BY position) AS n FROM p), v AS (SELECT r.*, r.points - max(CASE WHEN rk = least(30, n) THEN points END) OVER (PARTITION BY position) AS vorp FROM r)
+@query(f"WITH {_P}" + """, r AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY points DESC, player) AS rk, count(*) OVER (PARTITION BY position) AS n FROM p), v AS (SELECT r.*, r.points - max(CASE WHEN rk = least([13, 25, 30, 13, 13, 13][CAST(substr(position, 7) AS INT) % 6 + 1], n) THEN points END) OVER (PARTITION BY position) AS vorp FROM r)
 SELECT player, position, round(vorp + 1e-9, 4) AS vorp, CAST(row_number() OVER (ORDER BY round(vorp + 1e-9, 4) DESC, player) AS BIGINT) AS overall FROM v QUALIFY overall <= 200""")
 def vorp_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Value over the 30th of the position (the last of a short one), and the 200 best overall."""
+    """Value over the replacement of the position (the last of a short one), and the 200 best overall."""
     g = Window.partitionBy("position")
     r = _ranked(boards(spark, sf_dir)).withColumn("n", F.count("*").over(g))
-    v = r.withColumn("vorp", fixed(F.col("points") - F.max(F.when(F.col("rk") == F.least(F.lit(30), "n"), F.col("points"))).over(g), 4))
+    replacement = F.get(F.array(*map(F.lit, REPLACEMENT)), F.substring("position", 7, 9).cast("int") % len(REPLACEMENT))
+    v = r.withColumn("vorp", fixed(F.col("points") - F.max(F.when(F.col("rk") == F.least(replacement, F.col("n")), F.col("points"))).over(g), 4))
     best = v.orderBy(F.desc("vorp"), "player").limit(200)
     return best.select("player", "position", "vorp", F.row_number().over(Window.orderBy(F.desc("vorp"), "player")).cast("long").alias("overall"))
 
@@ -52,15 +60,21 @@ def top_k_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(boards(spark, sf_dir)).where("rk <= 3").select("position", "player", F.col("rk").cast("long").alias("rk"), "points")
 
 
-@query(f"WITH {_P}" + """, r AS (SELECT position, points / 10 AS x, row_number() OVER (PARTITION BY position ORDER BY player) AS i, player FROM p), e AS (SELECT *, min(x + 0.5 * i) OVER (PARTITION BY position ORDER BY i ROWS UNBOUNDED PRECEDING) - 0.5 * i AS y FROM r)
-SELECT player, position, round(y + 1e-9, 6) AS curve, round(y + 0.5 * (coalesce(lead(y) OVER (PARTITION BY position ORDER BY i), y) - y) + 1e-9, 6) AS between FROM e""")
+@query(f"WITH {_P}" + f""", r AS (SELECT player, position, points / 10 AS x, p_size, row_number() OVER (PARTITION BY position ORDER BY points DESC, player) AS i, (row_number() OVER (PARTITION BY position ORDER BY p_size DESC, player) + row_number() OVER (PARTITION BY position ORDER BY player)) / 2.0 AS consensus FROM p),
+e AS (SELECT *, min(x + {DESCENT} * i) OVER (PARTITION BY position ORDER BY i ROWS UNBOUNDED PRECEDING) - {DESCENT} * i AS y FROM r), m AS (SELECT e.*, a.y + (e.consensus - a.i) * (b.y - a.y) AS implied, CASE WHEN e.p_size < 5 THEN {LOW_SAMPLE} ELSE {ANCHOR} END AS w FROM e JOIN e a ON a.position = e.position AND a.i = floor(e.consensus) JOIN e b ON b.position = e.position AND b.i = ceil(e.consensus))
+SELECT player, position, round(y + 1e-9, 6) AS curve, round(implied + 1e-9, 6) AS implied, round(greatest((1 - w) * x + w * implied, 0) + 1e-9, 6) AS blended FROM m""")
 def monotone_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The falling envelope of a curve, and its value half way to the next place."""
-    w = W.by(("position",), ("player",))
-    r = boards(spark, sf_dir).select("player", "position", (F.col("points") / 10).alias("x"), F.row_number().over(w).alias("i"))
-    e = r.withColumn("y", W.decreasing_envelope("x", "i", W.by(("position",), ("i",)), 0.5))
-    nxt = F.coalesce(F.lead("y").over(W.by(("position",), ("i",))), F.col("y"))
-    return e.select("player", "position", fixed("y").alias("curve"), fixed(F.col("y") + 0.5 * (nxt - F.col("y"))).alias("between"))
+    """The falling envelope of a position's points, its value at each consensus rank, and the blend of both."""
+    g = Window.partitionBy("position")
+    place = lambda *by: F.row_number().over(g.orderBy(*by))
+    r = boards(spark, sf_dir).select("player", "position", "p_size", (F.col("points") / 10).alias("x"), place(F.desc("points"), "player").alias("i"), ((place(F.desc("p_size"), "player") + place("player")) / 2.0).alias("consensus"))
+    e = r.withColumn("y", W.decreasing_envelope("x", "i", W.by(("position",), ("i",)), DESCENT))
+    m = e.withColumns({"below": F.floor("consensus").cast("int"), "above": F.ceil("consensus").cast("int")})
+    for end in ("below", "above"):
+        m = m.join(e.select("position", F.col("i").alias(end), F.col("y").alias(f"y_{end}")), ["position", end])
+    implied = F.col("y_below") + (F.col("consensus") - F.col("below")) * (F.col("y_above") - F.col("y_below"))
+    w = F.when(F.col("p_size") < 5, LOW_SAMPLE).otherwise(ANCHOR)
+    return m.select("player", "position", fixed("y").alias("curve"), fixed(implied).alias("implied"), fixed(F.greatest((1 - w) * F.col("x") + w * implied, F.lit(0.0))).alias("blended"))
 
 
 @query(f"WITH {_P}" + """, r AS (SELECT *, (p_size % 50) / 50.0 AS gone, row_number() OVER (PARTITION BY position ORDER BY points DESC, player) AS i FROM p), s AS (SELECT *, CASE WHEN coalesce(max(CASE WHEN gone <= 0 THEN 1 ELSE 0 END) OVER w, 0) = 1 THEN 0.0 ELSE exp(coalesce(sum(CASE WHEN gone > 0 THEN ln(gone) END) OVER w, 0)) END AS reach FROM r WINDOW w AS (PARTITION BY position ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -141,10 +155,10 @@ def shrink_and_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boards(spark, sf_dir).select("player", fixed(x * ladder).alias("shrunk"), fixed(b, 4).alias("blended"))
 
 
-@query(f"WITH {_P}" + """, z AS (SELECT *, greatest(least((p_size - avg(p_size) OVER g) / nullif(stddev_samp(p_size) OVER g, 0), 3), -3) AS z, count(*) OVER g AS n FROM p WINDOW g AS (PARTITION BY position)), s AS (SELECT player, position, round(points * (1 + greatest(least(0.03 * CASE WHEN n >= 3 THEN coalesce(z, 0) ELSE 0 END, 0.05), -0.05)) + 1e-9, 4) AS score FROM z)
-SELECT player, position, score, CAST(row_number() OVER (PARTITION BY position ORDER BY score DESC, player) AS BIGINT) AS rk FROM s""")
+@query(f"WITH {_P}" + """, z AS (SELECT *, greatest(least((p_size - avg(p_size) OVER g) / nullif(stddev_samp(p_size) OVER g, 0), 3), -3) AS z, count(*) OVER g AS n FROM p WINDOW g AS (PARTITION BY position)), s AS (SELECT player, position, round(greatest(points / 100 + greatest(least(0.6 * CASE WHEN n >= 3 THEN coalesce(z, 0) ELSE 0 END, NUDGE), -NUDGE), 0) + 1e-9, 4) AS score FROM z)
+SELECT player, position, score, CAST(row_number() OVER (PARTITION BY position ORDER BY score DESC, player) AS BIGINT) AS rk FROM s""".replace("NUDGE", str(NUDGE_CAP)))
 def ranking_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points moved by a bounded share of the z-score; the final rank is made of that."""
+    """Points moved by a capped nudge from the z-score, never below 0; the final rank is made of that."""
     z = F.coalesce(W.zscore("p_size", "position"), F.lit(0.0))
-    s = boards(spark, sf_dir).select("player", "position", fixed(F.col("points") * (1 + clip(0.03 * z, -0.05, 0.05)), 4).alias("score"))
+    s = boards(spark, sf_dir).select("player", "position", fixed(F.greatest(F.col("points") / 100 + clip(0.6 * z, -NUDGE_CAP, NUDGE_CAP), F.lit(0.0)), 4).alias("score"))
     return s.withColumn("rk", F.row_number().over(Window.partitionBy("position").orderBy(F.desc("score"), "player")).cast("long"))

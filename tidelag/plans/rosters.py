@@ -21,12 +21,17 @@ def rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("player", "season").agg(F.max(F.struct("n", (-F.col("team")).alias("t"))).alias("b")).select("player", "season", (-F.col("b.t")).alias("team"))
 
 
-@query("WITH {plays}, " + _ROSTER + """, b AS (SELECT player, team FROM r WHERE season = 1997), a AS (SELECT player, team FROM r WHERE season = 1998)
-SELECT player, b.team AS left_group, a.team AS joined_group FROM b FULL JOIN a USING (player) WHERE b.team IS DISTINCT FROM a.team""")
+def neighbours(r: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of every season but the last, told as of the season after, and rows of every season but the first."""
+    r = r.join(F.broadcast(r.agg(F.min("season").alias("first"), F.max("season").alias("last"))), how="cross")
+    return r.where("season < last").withColumn("season", F.col("season") + 1).drop("first", "last"), r.where("season > first").drop("first", "last")
+
+
+@query("WITH {plays}, " + _ROSTER + """, b AS (SELECT player, season + 1 AS season, team FROM r WHERE season < (SELECT max(season) FROM r)), a AS (SELECT * FROM r WHERE season > (SELECT min(season) FROM r))
+SELECT player, season, b.team AS left_group, a.team AS joined_group FROM b FULL JOIN a USING (player, season) WHERE b.team IS DISTINCT FROM a.team""")
 def roster_diff_anti_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who left, joined or moved between two seasons."""
-    r = rosters(spark, sf_dir)
-    return departures_arrivals(r.where("season = 1997"), r.where("season = 1998"), "player", "team")
+    """Who left, joined or moved from each season to the next."""
+    return departures_arrivals(*neighbours(rosters(spark, sf_dir)), ("player", "season"), "team")
 
 
 @query("""WITH {games}, a AS (SELECT season, week, home AS club FROM games UNION SELECT season, week, away FROM games), c AS (SELECT DISTINCT season, week FROM games), k AS (SELECT unnest(range(0, 40)) AS club)
@@ -38,12 +43,12 @@ def bye_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spine.join(g, ["season", "week", "club"], "left_anti")
 
 
-@query("""WITH a AS (SELECT CASE WHEN p_size > 5 THEN p_partkey END AS id, p_name AS name FROM part), b AS (SELECT l_partkey AS id, max(l_quantity) AS best FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1)
+@query("""WITH a AS (SELECT CASE WHEN p_size > 5 THEN p_partkey END AS id, p_name AS name FROM part), b AS (SELECT l_partkey AS id, max(l_quantity) AS best FROM lineitem GROUP BY 1)
 SELECT id, name, best FROM (SELECT * FROM a WHERE id IS NOT NULL) FULL JOIN b USING (id) UNION ALL SELECT NULL, name, NULL FROM a WHERE id IS NULL""")
 def full_outer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full join on a nullable key; rows without a key are set aside and added again."""
     a = table(spark, sf_dir, "part").select(F.when(F.col("p_size") > 5, F.col("p_partkey")).alias("id"), F.col("p_name").alias("name"))
-    b = table(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0").groupBy(F.col("l_partkey").alias("id")).agg(F.max("l_quantity").alias("best"))
+    b = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.max("l_quantity").alias("best"))
     return a.where("id IS NOT NULL").join(b, "id", "full").unionByName(a.where("id IS NULL"), allowMissingColumns=True)
 
 
@@ -53,36 +58,37 @@ def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), ["k"])
 
 
-@query("""WITH a AS (SELECT c_custkey AS row_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 1000000 ELSE c_custkey END AS id, 'n' || CAST(c_custkey % 700 AS VARCHAR) AS name FROM customer), b AS (SELECT c_custkey AS id, 'n' || CAST(c_custkey AS VARCHAR) AS name, c_acctbal AS v FROM customer WHERE c_custkey < 900)
+@query("""WITH a AS (SELECT c_custkey AS row_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 1000000 ELSE c_custkey END AS id, 'n' || CAST(c_custkey % 700 AS VARCHAR) AS name FROM customer), b AS (SELECT c_custkey AS id, 'n' || CAST(c_custkey AS VARCHAR) AS name, c_acctbal AS v FROM customer)
 SELECT a.row_id, coalesce(x.v, y.v) AS v, CASE WHEN x.id IS NOT NULL THEN 'id' WHEN y.name IS NOT NULL THEN 'name' ELSE 'none' END AS matched_by FROM a LEFT JOIN b x ON a.id = x.id LEFT JOIN b y ON a.name = y.name""")
 def multi_key_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actuals by id, else by name."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     a = c.select(k.alias("row_id"), F.when(k % 3 == 0, k + 1000000).otherwise(k).alias("id"), F.concat(F.lit("n"), (k % 700).cast("string")).alias("name"))
-    b = c.where("c_custkey < 900").select(k.alias("id"), F.concat(F.lit("n"), k.cast("string")).alias("name"), F.col("c_acctbal").alias("v"))
+    b = c.select(k.alias("id"), F.concat(F.lit("n"), k.cast("string")).alias("name"), F.col("c_acctbal").alias("v"))
     return fallback(a, b, "id", "name", ["v"]).drop("id", "name")
 
 
 @query("WITH {plays}, " + _ROSTER + """, y AS (SELECT player, season, sum(yards) AS y FROM plays GROUP BY ALL), s AS (SELECT r.*, y / sum(y) OVER (PARTITION BY team, r.season) AS share FROM r JOIN y ON r.player = y.player AND r.season = y.season),
-b AS (SELECT * FROM s WHERE season = 1997), a AS (SELECT * FROM s WHERE season = 1998), gone AS (SELECT b.team, sum(b.share) AS out FROM b LEFT JOIN a ON b.player = a.player WHERE (a.team IS NULL OR a.team <> b.team) AND b.share >= 0.02 GROUP BY 1),
-came AS (SELECT a.team, sum(b.share) AS inn FROM a JOIN b ON b.player = a.player WHERE a.team <> b.team GROUP BY 1), n AS (SELECT gone.team, least(greatest(out - coalesce(inn, 0), 0), 1) AS net FROM gone LEFT JOIN came USING (team)),
-k AS (SELECT a.team, a.player, row_number() OVER (PARTITION BY a.team ORDER BY a.share DESC, a.player) AS i FROM a JOIN b ON a.player = b.player AND a.team = b.team), w AS (SELECT *, CASE i WHEN 1 THEN 1.0 WHEN 2 THEN 0.45 WHEN 3 THEN 0.2 ELSE 0.1 END AS wt FROM k)
-SELECT w.team, w.player, round(wt / sum(wt) OVER (PARTITION BY w.team) * coalesce(net, 0) + 1e-9, 6) AS absorbed, round(least(1 + 0.5 * (wt / sum(wt) OVER (PARTITION BY w.team) * coalesce(net, 0)), 1.2) + 1e-9, 6) AS boost FROM w LEFT JOIN n USING (team)""")
+b AS (SELECT player, season + 1 AS season, team, share FROM s WHERE season < (SELECT max(season) FROM s)), a AS (SELECT player, season, team, share FROM s WHERE season > (SELECT min(season) FROM s)),
+gone AS (SELECT season, b.team, sum(b.share) AS out FROM b LEFT JOIN a USING (player, season) WHERE (a.team IS NULL OR a.team <> b.team) AND b.share >= 0.02 GROUP BY ALL),
+came AS (SELECT season, a.team, sum(b.share) AS inn FROM a JOIN b USING (player, season) WHERE a.team <> b.team GROUP BY ALL), n AS (SELECT season, team, least(greatest(out - coalesce(inn, 0), 0), 1) AS net FROM gone LEFT JOIN came USING (season, team)),
+k AS (SELECT season, a.team, player, row_number() OVER (PARTITION BY season, a.team ORDER BY a.share DESC, player) AS i FROM a JOIN b USING (player, season) WHERE a.team = b.team), w AS (SELECT *, CASE i WHEN 1 THEN 1.0 WHEN 2 THEN 0.45 WHEN 3 THEN 0.2 ELSE 0.1 END AS wt FROM k)
+SELECT season, team, player, round(wt / sum(wt) OVER (PARTITION BY season, team) * coalesce(net, 0) + 1e-9, 6) AS absorbed, round(least(1 + 0.5 * (wt / sum(wt) OVER (PARTITION BY season, team) * coalesce(net, 0)), 1.2) + 1e-9, 6) AS boost FROM w LEFT JOIN n USING (season, team)""")
 def vacated_opportunity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A team's share that left less what came, dealt to those who stayed by their rank."""
+    """A team's share that left less what came, from each season to the next, dealt to those who stayed by their rank."""
     y = plays(spark, sf_dir).groupBy("player", "season").agg(F.sum("yards").alias("y"))
-    s = rosters(spark, sf_dir).where("season IN (1997, 1998)").join(y, ["player", "season"]).withColumn("share", W.share("y", "team", "season"))
-    b, a = (s.where(f"season = {n}").select("player", F.col("team").alias(f"team_{x}"), F.col("share").alias(f"share_{x}")) for n, x in ((1997, "b"), (1998, "a")))
-    m = b.join(a, "player", "full")
+    s = rosters(spark, sf_dir).join(y, ["player", "season"]).withColumn("share", W.share("y", "team", "season"))
+    b, a = (x.select("player", "season", F.col("team").alias(f"team_{n}"), F.col("share").alias(f"share_{n}")) for x, n in zip(neighbours(s), "ba", strict=True))
+    m = b.join(a, ["player", "season"], "full")
     moved = ~F.col("team_a").eqNullSafe(F.col("team_b"))
-    gone = m.where(moved & (F.col("share_b") >= 0.02)).groupBy(F.col("team_b").alias("team")).agg(F.sum("share_b").alias("out"))
-    came = m.where("team_a <> team_b").groupBy(F.col("team_a").alias("team")).agg(F.sum("share_b").alias("inn"))
-    net = gone.join(came, "team", "left").select("team", clip(F.col("out") - F.coalesce("inn", F.lit(0.0)), 0, 1).alias("net"))
-    i = F.row_number().over(Window.partitionBy("team").orderBy(F.desc("share_a"), "player"))
-    k = m.where("team_a = team_b").select(F.col("team_a").alias("team"), "player", "share_a").withColumn("i", i)
+    gone = m.where(moved & (F.col("share_b") >= 0.02)).groupBy("season", F.col("team_b").alias("team")).agg(F.sum("share_b").alias("out"))
+    came = m.where("team_a <> team_b").groupBy("season", F.col("team_a").alias("team")).agg(F.sum("share_b").alias("inn"))
+    net = gone.join(came, ["season", "team"], "left").select("season", "team", clip(F.col("out") - F.coalesce("inn", F.lit(0.0)), 0, 1).alias("net"))
+    i = F.row_number().over(Window.partitionBy("season", "team").orderBy(F.desc("share_a"), "player"))
+    k = m.where("team_a = team_b").select("season", F.col("team_a").alias("team"), "player", "share_a").withColumn("i", i)
     k = k.withColumn("wt", F.when(F.col("i") == 1, 1.0).when(F.col("i") == 2, 0.45).when(F.col("i") == 3, 0.2).otherwise(0.1))
-    absorbed = W.share("wt", "team") * F.coalesce("net", F.lit(0.0))
-    return k.join(net, "team", "left").select("team", "player", fixed(absorbed).alias("absorbed"), fixed(F.least(1 + 0.5 * absorbed, F.lit(1.2))).alias("boost"))
+    absorbed = W.share("wt", "season", "team") * F.coalesce("net", F.lit(0.0))
+    return k.join(net, ["season", "team"], "left").select("season", "team", "player", fixed(absorbed).alias("absorbed"), fixed(F.least(1 + 0.5 * absorbed, F.lit(1.2))).alias("boost"))
 
 
 @query("""WITH {plays}, d AS (SELECT team, season, week, player, row_number() OVER (PARTITION BY team, season, week ORDER BY sum(yards) DESC, player) AS rk, max(success) = 0 AS out FROM plays GROUP BY team, season, week, player)
@@ -132,11 +138,11 @@ def edge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_edges(e).withColumn("weight", fixed("weight", 4))
 
 
-@query("""WITH s AS (SELECT c_custkey AS id, c_acctbal AS v, 0 AS version, 0 AS fresh FROM customer), c AS (SELECT o_custkey AS id, max(o_totalprice) AS v, 1 AS version, 1 AS fresh FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1), u AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC, fresh DESC) AS i FROM (SELECT * FROM s UNION ALL SELECT * FROM c)) SELECT id, v, version FROM u WHERE i = 1""")
+@query("""WITH s AS (SELECT c_custkey AS id, c_acctbal AS v, 0 AS version, 0 AS fresh FROM customer), c AS (SELECT o_custkey AS id, max(o_totalprice) AS v, 1 AS version, 1 AS fresh FROM orders GROUP BY 1), u AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC, fresh DESC) AS i FROM (SELECT * FROM s UNION ALL SELECT * FROM c)) SELECT id, v, version FROM u WHERE i = 1""")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored rows with changes applied by key."""
     s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), F.lit(0).alias("version"))
-    c = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("v")).withColumn("version", F.lit(1))
+    c = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("v")).withColumn("version", F.lit(1))
     return upserted(s, c, ["id"], "version")
 
 

@@ -140,12 +140,12 @@ def rolling_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(*T3, fixed(W.lagged_slope("y", W.by(("team", "season"), ("week",)), 4)).alias("trend"))
 
 
-@query("""WITH {plays}, t AS (SELECT player, season, week, avg(CASE WHEN kind = 'pass' THEN yards END) AS y FROM plays WHERE player < 400 GROUP BY ALL)
+@query("""WITH {plays}, t AS (SELECT player, season, week, avg(CASE WHEN kind = 'pass' THEN yards END) AS y FROM plays GROUP BY ALL)
 SELECT player, season, week, round(CASE WHEN count(y) OVER r3 >= 3 THEN avg(y) OVER r3 END + 1e-9, 6) AS roll3_min3, round(CASE WHEN count(y) OVER r4 >= 2 THEN avg(y) OVER r4 END + 1e-9, 6) AS roll4_min2, round(avg(y) OVER r3 + 1e-9, 6) AS roll3
 FROM t WINDOW r3 AS (PARTITION BY player ORDER BY season, week ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), r4 AS (PARTITION BY player ORDER BY season, week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)""")
 def roll_min_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling means that ask for one, two or three values; a null in the frame counts for none."""
-    t = plays(spark, sf_dir).where("player < 400").groupBy("player", "season", "week").agg(_mean_of("yards", F.col("kind") == "pass").alias("y"))
+    t = plays(spark, sf_dir).groupBy("player", "season", "week").agg(_mean_of("yards", F.col("kind") == "pass").alias("y"))
     w = W.by(("player",), ("season", "week"))
     return t.select("player", "season", "week", *[fixed(W.lagged_mean("y", w, n, m)).alias(c) for c, n, m in (("roll3_min3", 3, 3), ("roll4_min2", 4, 2), ("roll3", 3, 1))])
 

@@ -88,12 +88,12 @@ def event_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("user_id").agg(fixed(F.least(F.greatest(F.exp(F.sum(F.log(m))), F.lit(0.0)), F.lit(1.1))).alias("multiplier"))
 
 
-@query("""WITH s AS (SELECT unnest(range(0, 200)) AS team), e AS (SELECT user_id AS team, count_if(event_type = 'error') AS neg, count_if(event_type = 'purchase') AS pos, count(*) AS n FROM events GROUP BY ALL)
+@query("""WITH s AS (SELECT unnest(range(0, (SELECT max(user_id) + 1 FROM events))) AS team), e AS (SELECT user_id AS team, count_if(event_type = 'error') AS neg, count_if(event_type = 'purchase') AS pos, count(*) AS n FROM events GROUP BY ALL)
 SELECT team, CAST(coalesce(neg, 0) AS BIGINT) AS neg, CAST(coalesce(pos, 0) AS BIGINT) AS pos, CAST(coalesce(n, 0) - coalesce(neg, 0) - coalesce(pos, 0) AS BIGINT) AS neutral, CASE WHEN coalesce(pos, 0) > coalesce(neg, 0) THEN 'bullish' WHEN coalesce(pos, 0) < coalesce(neg, 0) THEN 'bearish' ELSE 'neutral' END AS label FROM s LEFT JOIN e USING (team)""")
 def full_spine_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by tone for every team of a spine, silent ones too."""
     e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("team")).agg(F.count_if(F.col("event_type") == "error").alias("neg"), F.count_if(F.col("event_type") == "purchase").alias("pos"), F.count("*").alias("n"))
-    d = spark.range(200).select(F.col("id").alias("team")).join(e, "team", "left").fillna(0)
+    d = e.agg(F.max("team").alias("most")).select(F.explode(F.sequence(F.lit(0).cast("long"), "most")).alias("team")).join(e, "team", "left").fillna(0)
     label = F.when(F.col("pos") > F.col("neg"), "bullish").when(F.col("pos") < F.col("neg"), "bearish").otherwise("neutral")
     return d.select("team", "neg", "pos", (F.col("n") - F.col("neg") - F.col("pos")).alias("neutral"), label.alias("label"))
 
