@@ -143,7 +143,7 @@ def test_exchange_finds_alternating_classes():
         for b in range(4, 8):
             n[a, b] = n[b, a] = 50
     n[8, 0] = n[5, 8] = 10
-    place = brown_lm.exchange(n, classes=3)
+    place = brown_lm.exchange(n, 3)
     assert len(set(place[:4])) == 1 and len(set(place[4:8])) == 1 and place[0] != place[4]
 
 

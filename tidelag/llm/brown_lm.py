@@ -1,9 +1,11 @@
 """Class-based bigram model: words fall into classes by exchange clustering.
 
-P(word | class before) = P(class | class before) * P(word | class). Clustering works on a bounded set of
-units: each of the TOP_WORDS most frequent words is one, and every other word belongs to the unit of its
-spelling, a hash of its last letters and length. So every word, known or not, has a class. The counts of
-neighbouring units cover all training documents; their table is bounded by the number of units squared.
+P(word | class before) = P(class | class before) * P(word | class). Clustering has two steps. Units, the
+TOP_WORDS most frequent words and the spelling classes of all others, a hash of their last letters and
+length, are exchanged one by one on the table of neighbouring units. Then every one of the SENT_WORDS most
+frequent words is exchanged by itself: how often it stands before and after each class is counted over all
+training documents, and it moves to the class that raises the likelihood most. Rarer and unknown words keep
+the class of their spelling, so every word has one. All counts cover all training documents.
 Smoothing: class bigrams are interpolated with class frequencies; in a class, each known word gives up a
 discount, and an unknown word gets what they gave up. Every document ends with an end token, a class of
 its own, which also stands before its first word.
@@ -20,6 +22,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,16 +31,22 @@ from tidelag.llm.common import stage
 
 TOP_WORDS = 256
 SPELLINGS = 255
-CLASSES = 32
+#: Classes grow with the cube root of the vocabulary between these.
+CLASSES = (32, 256)
 #: Passes over all units; none moves more than once in a pass.
 PASSES = 8
 DISCOUNT = 0.75
-#: Frequent words whose counts tasks get; every other word's count comes by a join.
+#: Frequent words, whose counts and classes tasks get; every other word's count comes by a join.
 SENT_WORDS = 300_000
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 500_000
-#: Words in one batch that it hands on.
+#: Words in one batch that it hands on, and words whose contexts are added up together.
 HANDED_WORDS = 50_000
+CONTEXT_WORDS = 2048
+#: Contexts that a task holds before it adds them up.
+HELD_CONTEXTS = 4_000_000
+#: Documents whose ids a task works on at once.
+SLICE = 1000
 END = TOP_WORDS + SPELLINGS
 UNITS = END + 1
 _BLOCK = 8192
@@ -83,18 +92,28 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Frequent:
-    """The words whose counts all tasks get, most frequent first; the first TOP_WORDS are units of their own."""
+    """The words whose counts all tasks get, most frequent first; the first TOP_WORDS are units of their own.
+
+    A word's id is its place; any other word's is len(place) + its spelling class, the end's the last.
+    """
 
     place: dict[bytes, int]
     count: np.ndarray
 
+    @property
+    def end(self) -> int:
+        return len(self.place) + SPELLINGS
+
     def units(self) -> np.ndarray:
-        """The unit of each word, and END last."""
-        return np.array([i if i < TOP_WORDS else spelling(w) for w, i in self.place.items()] + [END], dtype=np.int64)
+        """The unit of each id."""
+        own = [i if i < TOP_WORDS else spelling(w) for w, i in self.place.items()]
+        return np.array([*own, *range(TOP_WORDS, END + 1)], dtype=np.int64)
 
-    def find(self, words: list[bytes]) -> np.ndarray:
-        """The place of each word among the frequent ones, else -1."""
-        return np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+        if len(rare := np.flatnonzero(at < 0)):
+            at[rare] = [len(self.place) + spelling(words[i]) - TOP_WORDS for i in rare.tolist()]
+        return at
 
 
 def frequent_words(counts: DataFrame, most: int = SENT_WORDS) -> Frequent:
@@ -113,33 +132,58 @@ def frequent_words(counts: DataFrame, most: int = SENT_WORDS) -> Frequent:
     return Frequent({w: i for i, (_, w) in enumerate(rows)}, np.array([-c for c, _ in rows], dtype=np.int64))
 
 
-def unit_bigrams(docs: DataFrame, text: str, frequent) -> np.ndarray:
-    """UNITS x UNITS counts of neighbours over all docs; a document's first word follows the end unit.
+def encoded(docs: DataFrame, key: str, text: str, frequent) -> DataFrame:
+    """rid, key, learned, ids, words of every row of docs: its words' ids, and those words that are not frequent, in order.
 
-    frequent is the broadcast Frequent. Each task sends one table in blocks, which are added as they
-    stream into a block's partition.
+    frequent is the broadcast Frequent. rid numbers the rows; learned says whether the model learns from them.
     """
+    shape = "rid long, key long, learned boolean, ids array<int>, words array<string>"
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, total = frequent.value, np.zeros(UNITS * UNITS, dtype=np.int64)
-        units = words.units()
-        for b in batches:
-            pairs, held = [], 0
-            for t in b[text]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = frequent.value
+        rid = TaskContext.get().partitionId() << 40
+        for b in _slices(batches):
+            ids, words = [], []
+            for t in b.column(2).to_pylist():
                 w = words_of(t)
-                at = words.find(w)
-                u = units[at]
-                rare = np.flatnonzero(at < 0)
-                u[rare] = [spelling(w[i]) for i in rare.tolist()]
-                pairs.append(np.concatenate([[END], u]) * UNITS + np.concatenate([u, [END]]))
-                held += len(w)
-                if held > 1_000_000:
-                    total += np.bincount(np.concatenate(pairs), minlength=len(total))
-                    pairs, held = [], 0
-            if pairs:
-                total += np.bincount(np.concatenate(pairs), minlength=len(total))
+                at = f.ids(w)
+                ids.append(at)
+                words.append([w[i].decode("utf-8", "replace") for i in np.flatnonzero(at >= len(f.place)).tolist()])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *ids])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + len(b), dtype=np.int64)), b.column(0).cast(pa.int64()), b.column(1), lists, pa.array(words, pa.list_(pa.string()))], shape.replace(",", "").split()[::2])
+            rid += len(b)
+
+    return docs.select(key, ~held_out(F.col(key)), text).mapInArrow(run, shape)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of SLICE rows, so a task holds the ids of few documents at once."""
+    for b in batches:
+        for i in range(0, len(b), SLICE):
+            yield b.slice(i, SLICE)
+
+
+def _sequence(lists: pa.ListArray, end: int) -> np.ndarray:
+    """The ids of a batch's documents in one row, an end before the first and behind each."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    ids, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return np.concatenate([[end], np.insert(ids, ends, end)]).astype(np.int64)
+
+
+def neighbours(coded: DataFrame, of, end: int, n: int) -> np.ndarray:
+    """n x n counts of neighbours over all rows of coded that the model learns from; `of`, broadcast, maps ids to 0 .. n - 1.
+
+    Each task sends one table in blocks, which are added as they stream into a block's partition.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n * n, dtype=np.int64)
+        for b in _slices(batches):
+            x = of.value[_sequence(b.column(0), end)]
+            total += np.bincount(x[:-1] * n + x[1:], minlength=n * n)
         if total.any():
-            yield pd.DataFrame({"block": range(len(total) // _BLOCK), "n": [x.tobytes() for x in total.reshape(-1, _BLOCK)]})
+            cuts = range(0, n * n, _BLOCK)
+            yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(cuts)), pa.int32()), "n": pa.array([total[i : i + _BLOCK].tobytes() for i in cuts], pa.binary())})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -149,13 +193,33 @@ def unit_bigrams(docs: DataFrame, text: str, frequent) -> np.ndarray:
         if sums:
             yield pd.DataFrame({"block": list(sums), "n": [x.tobytes() for x in sums.values()]})
 
-    out = np.zeros(UNITS * UNITS, dtype=np.int64)
-    for r in docs.select(text).mapInPandas(count, "block int, n binary").repartition("block").mapInPandas(add, "block int, n binary").collect():
-        out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["n"], dtype=np.int64)
-    return out.reshape(UNITS, UNITS)
+    out = np.zeros(n * n, dtype=np.int64)
+    for r in coded.where("learned").select("ids").mapInArrow(count, "block int, n binary").repartition("block").mapInPandas(add, "block int, n binary").collect():
+        x = np.frombuffer(r["n"], dtype=np.int64)
+        out[r["block"] * _BLOCK : r["block"] * _BLOCK + len(x)] = x
+    return out.reshape(n, n)
+
 
+def _h(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
 
-def exchange(n: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
+
+def gains(g: np.ndarray, to: np.ndarray, fro: np.ndarray, own: float, out: float, into: float) -> np.ndarray:
+    """What each class's part of the bigram likelihood gains if a word joins it.
+
+    g has the counts of neighbouring classes without the word; to and fro its counts before and after each
+    class, without those with itself, which are own; out and into their sums.
+    """
+    d = np.arange(len(g))
+    h = _h(g)
+    row = (_h(g + to[None, :]) - h).sum(1)
+    col = (_h(g + fro[:, None]) - h).sum(0)
+    diag = _h(g[d, d] + to + fro + own) - _h(g[d, d] + to) - _h(g[d, d] + fro) + h[d, d]
+    rows, cols = g.sum(1), g.sum(0)
+    return row + col + diag - (_h(rows + out) - _h(rows)) - (_h(cols + into) - _h(cols))
+
+
+def exchange(n: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarray:
     """Class of each unit: units move, one at a time, to the class that raises the bigram likelihood most.
 
     n counts neighbouring units; the last unit, the end, keeps the last class to itself. Starts from
@@ -167,13 +231,10 @@ def exchange(n: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.
     order = np.argsort(-freq[: size - 1], kind="stable")
     place[order] = np.arange(size - 1) % k
     place[size - 1] = k
-    h = lambda x: x * np.log(np.maximum(x, 1))
     onto = np.zeros((size, classes))
     onto[np.arange(size), place] = 1
     left, right = n @ onto, (n.T @ onto)  # unit before class, and class before unit
     g = (onto.T @ n @ onto).astype(float)
-    out_sum, in_sum = g.sum(1), g.sum(0)
-    n_out, n_in = n.sum(1), n.sum(0)
     for _ in range(passes):
         moved = 0
         for w in order.tolist():
@@ -183,18 +244,10 @@ def exchange(n: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.
             to, fro = left[w].copy(), right[w].copy()  # counts w -> class, class -> w
             to[a] -= own
             fro[a] -= own
-            # take w out of its class
             g[a] -= to
             g[:, a] -= fro
             g[a, a] -= own
-            out_sum[a] -= n_out[w]
-            in_sum[a] -= n_in[w]
-            # gain of joining each class c: rows and columns c change
-            row = (h(g + to[None, :]) - h(g)).sum(1)
-            col = (h(g + fro[:, None]) - h(g)).sum(0)
-            d = np.arange(classes)
-            diag = h(g[d, d] + to + fro + own) - h(g[d, d]) - (h(g[d, d] + to) - h(g[d, d])) - (h(g[d, d] + fro) - h(g[d, d]))
-            gain = row + col + diag - (h(out_sum + n_out[w]) - h(out_sum)) - (h(in_sum + n_in[w]) - h(in_sum))
+            gain = gains(g, to, fro, own, to.sum() + own, fro.sum() + own)
             gain[k] = -np.inf
             c = int(np.argmax(gain))
             if gain[c] <= gain[a] + 1e-9:
@@ -202,8 +255,6 @@ def exchange(n: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.
             g[c] += to
             g[:, c] += fro
             g[c, c] += own
-            out_sum[c] += n_out[w]
-            in_sum[c] += n_in[w]
             if c != a:
                 moved += 1
                 place[w] = c
@@ -216,11 +267,82 @@ def exchange(n: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.
     return place
 
 
+def exchange_words(coded: DataFrame, frequent, class_of, g: np.ndarray) -> np.ndarray:
+    """The class that each frequent word moves to, given everybody's class; ties go to the lowest, none leaves for no gain.
+
+    class_of, broadcast, has the class of each id, and g the counts of neighbouring classes under it. The
+    words' contexts are counted in tasks as sparse pairs, added up in blocks of CONTEXT_WORDS words, and
+    each block's words are moved where they are: all at once, so on one state of the classes. What comes
+    to the driver is a number for each frequent word.
+    """
+    classes, words, end = len(g), len(frequent.value.place), frequent.value.end
+    wide = 2 * classes + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held, size, total = class_of.value, [], 0, (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            keys, n = np.unique(np.concatenate(held), return_counts=True) if held else total
+            both = np.concatenate([total[0], keys])
+            keys, place = np.unique(both, return_inverse=True)
+            return keys, np.bincount(place, np.concatenate([total[1], n]), minlength=len(keys)).astype(np.int64)
+
+        for b in _slices(batches):
+            x = _sequence(b.column(0), end)
+            c, at = of[x], np.flatnonzero(x < words)
+            w = x[at] * wide
+            held += [w + c[at + 1], w + classes + c[at - 1], w[x[at] == x[at + 1]] + 2 * classes]
+            size += 2 * len(at)
+            if size > HELD_CONTEXTS:
+                total, held, size = added(), [], 0
+        if held:
+            total = added()
+        keys, n = total
+        cuts = np.searchsorted(keys, np.arange(0, words + CONTEXT_WORDS, CONTEXT_WORDS) * wide)
+        for i, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if lo < hi:
+                yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "keys": pa.array([(keys[lo:hi] - i * CONTEXT_WORDS * wide).astype("<i4").tobytes()], pa.binary()), "n": pa.array([n[lo:hi].astype("<i4").tobytes()], pa.binary())})
+
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, keys, n in zip(b["block"], b["keys"], b["n"], strict=True):
+                found = sums.setdefault(block, np.zeros(CONTEXT_WORDS * wide, dtype=np.int32))
+                found[np.frombuffer(keys, "<i4")] += np.frombuffer(n, "<i4")
+        for block, found in sums.items():
+            table = found.reshape(CONTEXT_WORDS, wide).astype(float)
+            old = class_of.value[block * CONTEXT_WORDS : min(words, (block + 1) * CONTEXT_WORDS)]
+            new = old.copy()
+            for i, a in enumerate(old.tolist()):
+                to, fro, own = table[i, :classes], table[i, classes : 2 * classes], table[i, -1]
+                if not to.any() and not fro.any():
+                    continue
+                to[a] -= own
+                fro[a] -= own
+                g[a] -= to
+                g[:, a] -= fro
+                g[a, a] -= own
+                gain = gains(g, to, fro, own, to.sum() + own, fro.sum() + own)
+                gain[classes - 1] = -np.inf
+                c = int(np.argmax(gain))
+                new[i] = c if gain[c] > gain[a] + 1e-9 else a
+                g[a] += to
+                g[:, a] += fro
+                g[a, a] += own
+            yield pd.DataFrame({"block": [block], "classes": [new.astype("<i4").tobytes()]})
+
+    out = class_of.value.copy()
+    for r in coded.where("learned").select("ids").mapInArrow(count, "block int, keys binary, n binary").repartition("block").mapInPandas(move, "block int, classes binary").toLocalIterator():
+        x = np.frombuffer(r["classes"], "<i4")
+        out[r["block"] * CONTEXT_WORDS : r["block"] * CONTEXT_WORDS + len(x)] = x
+    return out
+
+
 @dataclass(frozen=True)
 class ClassModel:
-    """Bounded parts of the model: each unit's class, log10 class bigrams, tokens and distinct words of classes."""
+    """Each id's class, log10 class bigrams, tokens and distinct words of classes."""
 
-    place: np.ndarray
+    classes: np.ndarray
     bigram: np.ndarray
     sizes: np.ndarray
     types: np.ndarray
@@ -234,12 +356,9 @@ class ClassModel:
         return np.log10(np.where(self.sizes > 0, DISCOUNT * self.types / np.maximum(self.sizes, 1), 1.0))
 
 
-def class_bigrams(n: np.ndarray, place: np.ndarray, classes: int = CLASSES) -> np.ndarray:
-    """log10 P(class | class before): counts less a discount, what is spared by class frequency plus one."""
-    onto = np.zeros((len(n), classes))
-    onto[np.arange(len(n)), place] = 1
-    g = onto.T @ n @ onto
-    base = (g.sum(0) + 1) / (g.sum() + classes)
+def class_bigrams(g: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before) from counts: those less a discount, what is spared by class frequency plus one."""
+    base = (g.sum(0) + 1) / (g.sum() + len(g))
     total = g.sum(1, keepdims=True)
     cut = np.minimum(g, DISCOUNT)
     spared = np.where(total > 0, cut.sum(1, keepdims=True) / np.maximum(total, 1), 1.0)
@@ -247,84 +366,85 @@ def class_bigrams(n: np.ndarray, place: np.ndarray, classes: int = CLASSES) -> n
     return np.log10(p)
 
 
-def train(counts: DataFrame, docs: DataFrame, text: str, frequent) -> ClassModel:
-    """Clusters and class statistics from the staged word counts and all training docs."""
-    n = unit_bigrams(docs, text, frequent)
-    place = exchange(n)
+def train(counts: DataFrame, coded: DataFrame, frequent, types: int) -> ClassModel:
+    """Clusters and class statistics from the staged word counts and encoded documents."""
+    context = coded.sparkSession.sparkContext
+    classes = int(np.clip(2 ** round(np.log2(max(types, 1)) / 3), *CLASSES))
+    units, end = frequent.value.units(), frequent.value.end
+    n = neighbours(coded, context.broadcast(units), end, UNITS)
+    place = exchange(n, classes)
+    onto = np.zeros((UNITS, classes))
+    onto[np.arange(UNITS), place] = 1
+    of = exchange_words(coded, frequent, context.broadcast(place[units]), onto.T @ n @ onto)
+    sent = context.broadcast(of)
+    bigram = class_bigrams(neighbours(coded, sent, end, classes))
 
     def stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size, types = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
+        size, kinds = np.zeros(classes, dtype=np.int64), np.zeros(classes, dtype=np.int64)
         for b in batches:
-            top = {w: i for w, i in frequent.value.place.items() if i < TOP_WORDS}
-            units = [top[w] if w in top else spelling(w) for w in (x.encode("utf-8") for x in b["word"])]
-            c = place[np.array(units, dtype=np.int64)]
-            size += np.bincount(c, weights=b["c"].to_numpy(), minlength=CLASSES).astype(np.int64)
-            types += np.bincount(c, minlength=CLASSES)
-        yield pd.DataFrame({"k": range(CLASSES), "size": size, "types": types})
+            c = sent.value[frequent.value.ids([x.encode("utf-8") for x in b["word"]])]
+            size += np.bincount(c, weights=b["c"].to_numpy(), minlength=classes).astype(np.int64)
+            kinds += np.bincount(c, minlength=classes)
+        yield pd.DataFrame({"k": range(classes), "size": size, "types": kinds})
 
     rows = counts.mapInPandas(stats, "k int, size long, types long").groupBy("k").agg(F.sum("size").alias("size"), F.sum("types").alias("types")).collect()
-    size, types = np.zeros(CLASSES), np.zeros(CLASSES)
+    size, kinds = np.zeros(classes), np.zeros(classes)
     for r in rows:
-        size[r["k"]], types[r["k"]] = r["size"], r["types"]
-    return ClassModel(place, class_bigrams(n, place), size, types)
+        size[r["k"]], kinds[r["k"]] = r["size"], r["types"]
+    return ClassModel(of, bigram, size, kinds)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Trains on the documents that held_out() leaves and scores all, whole texts; null counts as empty, one
-    end token. base_score is the add-one unigram's. The counts of SENT_WORDS frequent words go to all
-    tasks; the other words are handed on with their document's row, joined with the counts by word and
-    added up. An unknown word's probability is split among the classes, so the events of a context
-    add up to one at most. Without training documents every known count is 0.
+    Trains on the documents that held_out() leaves and scores all, whole texts of any length; null counts as empty, one
+    end token. base_score is the add-one unigram's. Texts are split once and kept as ids in the shared
+    folder. The counts of SENT_WORDS frequent words go to all tasks; the other words are joined with the
+    counts by word and added up. An unknown word's probability is split among the classes, so the events of
+    a context add up to one at most. Without training documents every known count is 0. Ties of counts go
+    by word, so reruns agree; repeated rows each count, and get equal scores.
     """
     learned = docs.where(~held_out(F.col(key)))
     counts = stage(word_counts(learned, text), "counts")
     ends = learned.count()
     r = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     total, types = r["n"] + ends, r["v"] + (1 if ends else 0)
-    spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_words(counts))
-    model = train(counts, learned, text, frequent)
-    shape = "rid long, key long, n_tokens long, n_known long, base double, own double, words array<string>, classes array<int>"
-    names = [x.split()[0] for x in shape.split(", ")]
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_words(counts))
+    coded = stage(encoded(docs, key, text, frequent), "coded")
+    model = train(counts, coded, frequent, types)
+    shape = "rid long, key long, n_tokens long, n_known long, base double, own double, classes array<int>, words array<string>"
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, share = frequent.value, model.share()
-        units = model.place[words.units()]
-        own_logs, base_logs = np.log10(np.append(words.count, 1) - DISCOUNT), np.log10(np.append(words.count, 0) + 1.0)
-        rid = TaskContext.get().partitionId() << 40
-        for b in batches:
-            n_tokens, n_known, base, own, rare_words, rare_classes = [], [], [], [], [], []
-            for t in b.column(1).to_pylist():
-                w = words_of(t)
-                at = words.find(w)
-                c = units[at]
-                rare = np.flatnonzero(at < 0).tolist()
-                c[rare] = model.place[[spelling(w[i]) for i in rare]] if rare else c[rare]
-                moves = model.bigram[np.append(units[-1], c), np.append(c, units[-1])].sum()
-                seen = at >= 0
-                n_tokens.append(len(w) + 1)
-                n_known.append(int(seen.sum()))
-                base.append(float(base_logs[at[seen]].sum()))
-                own.append(float(moves + own_logs[at[seen]].sum() + share[c[seen]].sum()))
-                rare_words.append([w[i].decode("utf-8", "replace") for i in rare])
-                rare_classes.append(c[rare].astype(np.int32) if rare else np.zeros(0, dtype=np.int32))
-            ids = pa.array(np.arange(rid, rid + len(b), dtype=np.int64))
-            rid += len(b)
-            arrays = [ids, b.column(0).cast(pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64()), pa.array(rare_words, pa.list_(pa.string())), pa.array(rare_classes, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    rows = stage(docs.select(key, text).mapInArrow(part, shape), "parts")
+        f, share = frequent.value, model.share()
+        n = len(f.place)
+        own_logs, base_logs = np.log10(f.count - DISCOUNT) + share[model.classes[:n]], np.log10(f.count + 1.0)
+        for b in _slices(batches):
+            lists = b.column(2)
+            x = _sequence(lists, f.end)
+            sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(b)), sizes + 1)
+            c = model.classes[x]
+            moves = np.bincount(doc, model.bigram[c[:-1], c[1:]], minlength=len(b))
+            seen, w = x[1:] < n, x[1:]
+            sums = lambda logs: np.bincount(doc[seen], logs[w[seen]], minlength=len(b))  # noqa: B023, E731
+            rare = (w >= n) & (w != f.end)
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(b)))])
+            arrays = [
+                b.column(0), b.column(1), pa.array((sizes + 1).astype(np.int64)), pa.array(np.bincount(doc[seen], minlength=len(b)).astype(np.int64)), pa.array(sums(base_logs)), pa.array(moves + sums(own_logs)),
+                pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(c[1:][rare].astype(np.int32))), b.column(3),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, shape.replace(",", "").split()[::2])
+
+    scored = stage(coded.select("rid", "key", "ids", "words").mapInArrow(part, shape), "parts")
     share, unknown = (F.array(*[F.lit(float(v)) for v in x]) for x in (model.share(), model.unknown()))
-    rest = rows.select("rid", F.explode(F.arrays_zip("words", "classes")).alias("w")).select("rid", F.col("w.words").alias("word"), F.col("w.classes").alias("k")).join(counts, "word", "left")
+    rest = scored.select("rid", F.explode(F.arrays_zip("words", "classes")).alias("w")).select("rid", F.col("w.words").alias("word"), F.col("w.classes").alias("k")).join(counts, "word", "left")
     known = F.col("c").isNotNull()
     rest = rest.groupBy("rid").agg(
         F.count("c").alias("more_known"),
         F.sum(F.when(known, F.log10(F.col("c") + 1.0)).otherwise(0.0)).alias("more_base"),
         F.sum(F.when(known, F.log10(F.col("c") - DISCOUNT) + F.get(share, "k")).otherwise(F.get(unknown, "k"))).alias("more_own"),
     )
-    both = rows.drop("words", "classes").join(rest, "rid", "left")
+    both = scored.drop("classes", "words").join(rest, "rid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return both.select(
         F.col("key").alias(key),
