@@ -29,7 +29,7 @@ def pack(payload: bytes) -> bytes:
     height = -(-rows // wide)
     samples = np.zeros(height * wide * UNIT, dtype=np.uint8)
     samples[: len(payload)] = np.frombuffer(payload, dtype=np.uint8)
-    return webp.file_of(webp.encode_samples(samples, wide * UNIT // 4), [(_LENGTH, struct.pack("<Q", len(payload)))])
+    return webp.file_of(webp.encode(samples.reshape(height, -1, 4), pooled=True), [(_LENGTH, struct.pack("<Q", len(payload)))])
 
 
 def unpack(data: bytes) -> tuple[bytes, np.ndarray]:
