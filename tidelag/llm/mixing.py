@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelag.llm.common import words_of
+from tidelag.llm.common import unused, words_of
 
 #: Weights by a source's place in code point order, null last, repeating.
 CYCLE = (5.0, 2.0, 1.0)
@@ -28,8 +28,8 @@ def source_targets(sized: DataFrame, cycle: tuple[float, ...] = CYCLE, max_repea
     and share the sum of all sizes. A target above max_repeats times its source's size stops there and
     the excess is reshared by weight until none is above: that is the water level t at which
     sum(min(weight * t, cap)) equals the total, found by one pass over sources in order of
-    cap / weight. A source of size 0 gets target 0. No rows in, no rows out. The two windows run over
-    one row per source, not over documents.
+    cap / weight. A source of size 0 gets target 0. No rows in, no rows out. The windows run over one
+    row per source in one task: sources are meant to be some thousands at most, not single hosts.
     """
     n = len(cycle)
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -54,31 +54,30 @@ def source_targets(sized: DataFrame, cycle: tuple[float, ...] = CYCLE, max_repea
     )
 
 
-def with_copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """docs with struct column __mix: size, source_size, target, copies, taken.
+def with_copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", into: str = "__mix") -> DataFrame:
+    """docs with struct column `into`: size, source_size, target, copies, taken.
 
-    size counts words (null text: 0). A document is taken floor(rate) times plus once more where its
+    size counts words of whole texts, however long (null text: 0). A document is taken floor(rate) times plus once more where its
     hash-seeded draw is below the fraction; rate is its source's target over its source's size, at most
     MAX_REPEATS, so no document is taken more often. Equal keys get equal draws, so reruns and repeated
     rows agree. Documents of sources without words have rate 0 and are taken 0 times.
     Source sums are pre-aggregated before the shuffle; the join's small side is left to the planner.
     """
-    sized = docs.withColumn("__size", F.size(words_of(F.col(text))).cast("long"))
-    targets = source_targets(sized.select(F.col(source).alias("source"), F.col("__size").alias("size")))
-    t = targets.select(*[F.col(c).alias(f"__{c}") for c in targets.columns])
-    joined = sized.join(t, sized[source].eqNullSafe(t["__source"]), "left")
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    extra = (unit_draw(F.col(key)) < rate - F.floor(rate)).cast("long")
-    copies = F.floor(rate) + extra
-    mix = F.struct(
-        F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
-        copies.alias("copies"), (copies * F.col("__size")).alias("taken"),
-    )
-    return joined.select(*[F.col(c) for c in docs.columns], mix.alias("__mix"))
+    size, name, found = (unused(docs, c) for c in ("size", "source", "found"))
+    sized = docs.withColumn(size, F.size(words_of(F.col(text))).cast("long"))
+    t = source_targets(sized.select(F.col(source).alias("source"), F.col(size).alias("size")))
+    t = t.select(F.col("source").alias(name), F.struct("source_size", "target").alias(found))
+    joined = sized.join(t, sized[source].eqNullSafe(t[name]), "left")
+    of, target = F.col(found)["source_size"], F.col(found)["target"]
+    rate = F.when(of > 0, target / of).otherwise(F.lit(0.0))
+    copies = F.floor(rate) + (unit_draw(F.col(key)) < rate - F.floor(rate)).cast("long")
+    mix = F.struct(F.col(size).alias("size"), of.alias("source_size"), target.alias("target"), copies.alias("copies"), (copies * F.col(size)).alias("taken"))
+    return joined.select(*[F.col(c) for c in docs.columns], mix.alias(into))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mixed corpus: every document repeated as often as with_copies() says, columns unchanged."""
-    chosen = with_copies(docs, key, source, text).where("__mix.copies > 0")
-    times = F.explode(F.sequence(F.lit(1), F.col("__mix.copies").cast("int")))
-    return chosen.select(*[F.col(c) for c in docs.columns], times.alias("__copy")).drop("__copy")
+    into, copy = unused(docs, "mix"), unused(docs, "copy")
+    chosen = with_copies(docs, key, source, text, into).where(F.col(into)["copies"] > 0)
+    times = F.explode(F.sequence(F.lit(1), F.col(into)["copies"].cast("int")))
+    return chosen.select(*[F.col(c) for c in docs.columns], times.alias(copy)).drop(copy)

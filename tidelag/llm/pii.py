@@ -1,8 +1,9 @@
 """Format-preserving pseudonyms: a keyed Feistel permutation of validated numbers and dates.
 
 A value that passes its check is replaced by another valid value of the same format. The permutation
-depends on the key and the format alone, so equal values stay equal in all documents, and two values
-of a format never meet. Nothing is stored or shuffled.
+depends on the key and the kind of value alone, so equal values stay equal in all documents, days also as
+2024-05-01 and 01.05.2024, and phone numbers with and without their country's code; two values of a
+format never meet. Nothing is stored or shuffled.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def _ssn(s: str, key: bytes) -> str | None:
 
 def _phone(s: str, key: bytes) -> str | None:
     d = re.sub(r"\D", "", s)
-    return _refill(s, d[:-10] + f"{permute(int(d[-10:]), 10**10, key, f'phone{d[:-10]}'):010d}")
+    return _refill(s, d[:-10] + f"{permute(int(d[-10:]), 10**10, key, 'phone'):010d}")
 
 
 def _day(year: int, month: int, day: int) -> datetime.date | None:
@@ -142,14 +143,14 @@ def _shift_date(d: datetime.date, key: bytes, tweak: str) -> datetime.date:
 
 def _iso(s: str, key: bytes) -> str | None:
     d = _day(int(s[:4]), int(s[5:7]), int(s[8:]))
-    return d and _shift_date(d, key, "iso").isoformat()
+    return d and _shift_date(d, key, "date").isoformat()
 
 
 def _date(s: str, key: bytes) -> str | None:
-    """Day first; month first only if it can't be day first, and then its pseudonym can't be either."""
+    """Day first, linked with the same day in other formats; month first only if it can't be day first, and then its pseudonym can't be either."""
     a, b, y, sep = int(s[:2]), int(s[3:5]), int(s[6:]), s[2]
     if d := _day(y, b, a):
-        d = _shift_date(d, key, "dmy")
+        d = _shift_date(d, key, "date")
         return f"{d.day:02d}{sep}{d.month:02d}{sep}{d.year:04d}"
     if d := _day(y, a, b):
         while True:
