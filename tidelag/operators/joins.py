@@ -96,3 +96,18 @@ def fuzzy_by_token(left: DataFrame, right: DataFrame, tokens: str, least: float)
     met = pa.join(pb, "token").where(sized).select("ida", "idb").distinct()
     both = met.join(l, "ida").join(r, "idb").withColumn("similarity", token_jaccard(F.col("ta"), F.col("tb")))
     return both.where(F.col("similarity") >= least).select("ida", "idb", "similarity")
+
+
+def star(spine: DataFrame, features: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """spine left-joined with each table of features on its keys, one row of it a key.
+
+    A feature that is in the result already is passed over, so names never clash; of several rows of a key
+    the least in the order of its columns counts. Tables that share keys are joined one behind the other, so
+    their shuffles are reused.
+    """
+    out = spine
+    for df, keys in features:
+        new = [c for c in df.columns if c not in out.columns]
+        one = df.groupBy(*keys).agg(F.min(F.struct(*new)).alias("__f")) if new else df.select(*keys).distinct()
+        out = out.join(one.select(*keys, *[F.col(f"__f.{c}").alias(c) for c in new]), list(keys), "left")
+    return out

@@ -7,7 +7,7 @@ import importlib
 from tidelag.plans.inputs import ORACLES, QUERIES
 
 #: Modules whose queries are registered by importing them.
-FAMILIES = ("teams", "players", "games", "rosters", "market", "rankings", "accuracy", "texts", "checks", "streams", "models")
+FAMILIES = ("teams", "players", "games", "rosters", "market", "rankings", "adjusters", "accuracy", "texts", "checks", "streams", "models")
 
 for family in FAMILIES:
     importlib.import_module(f"tidelag.plans.{family}")
