@@ -148,7 +148,7 @@ def knn_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest profiles of the same position for the stated queries (ids divisible by 50), and their outcomes.
 
     Means and deviations are one row. The query side is small only as far as the fixed query set is; the
-    join is left to the planner and the ten best are kept by a bounded aggregate.
+    join is left to the planner, and each task keeps ten rows of a query before the shuffle.
     """
     p = _profiles(spark, sf_dir)
     s = p.agg(*[f(c).alias(f"{n}_{c}") for c in ("size", "speed") for f, n in ((F.avg, "m"), (F.stddev_samp, "s"))])
@@ -165,8 +165,9 @@ SELECT vec_id, other, label, similarity FROM (SELECT *, row_number() OVER (PARTI
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest vectors by cosine for the stated queries (ids divisible by 50) against all rows.
 
-    Queries go in blocks of 256 (a bounded broadcast row each); every partition keeps its own five best
-    before the shuffle, so 5 rows per query and partition move.
+    The join has no hint: the planner broadcasts the queries below its size threshold and deals both sides
+    in a product of partitions beyond it. Every partition keeps its own five best before the shuffle, so 5
+    rows per query and partition move.
     """
     e = table(spark, sf_dir, "embeddings").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
