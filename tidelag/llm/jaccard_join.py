@@ -134,10 +134,11 @@ def prefixes(sets: DataFrame) -> DataFrame:
     Counts are exact and pre-aggregated before the shuffle; the join by shingle is one that adaptive
     execution splits where a shingle is very common.
     """
-    heads = sets.select("rep", "n", "joined", F.size("head").alias("e"), F.explode("head").alias("token"))
+    heads = sets.select("rep", F.explode("head").alias("token"))
     several = heads.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     own = Window.partitionBy("rep")
     placed = heads.join(several, "token").withColumns({"k": F.row_number().over(own.orderBy("c", "token")), "of": F.count("*").over(own)})
+    placed = placed.join(sets.select("rep", "n", "joined", F.size("head").alias("e")), "rep")
     placed = placed.select("token", "rep", "n", "e", "joined", (F.col("e") - F.col("of") + F.col("k") - 1).alias("i"))
     return placed.where("i < joined").drop("joined")
 
@@ -236,6 +237,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     rows = stage(profiles(docs, counts, key, text, words, percent), "profiles")
     sets = rows.where("n > 0 AND id IS NOT NULL").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "joined", "head", "signature"), "id").alias("s"))
     sets = stage(sets.select("c1", "c2", "rep", "s.*"), "sets")
+    wide, rows = rows, stage(rows.select("id", "n", "c1", "c2"), "rows")
+    drop_staged(wide)
     found = stage(prefixes(sets), "prefixes")
     marks = sets.select("rep", "n", F.col("signature").alias("s"))
     joined, apart, tried, round_, last, before_pairs = None, stage(_apart(found, None), "apart"), [], 0, False, None

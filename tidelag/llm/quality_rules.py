@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelag.llm.common import GAP, stage, unused, where_made, words_of
+from tidelag.llm.common import GAP, drop_staged, stage, unused, where_made, words_of
 
 #: Common words are, for each language, so many of its most frequent words.
 TOP_WORDS = 8
@@ -185,14 +185,17 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents that are kept, columns unchanged; texts are measured once and none is shuffled.
+    """The documents that are kept, columns unchanged; no text is shuffled or written.
 
-    The measured documents are written to the shared folder, texts and all, as the verdicts need the
-    references of all of them.
+    The texts are read three times, for the common words, for the references and for the verdicts: a second
+    measuring costs about as much as to write all texts and read them again, and leaves no copy of them.
     """
     q = unused(docs, "q")
-    measured = stage(measure(docs, common_words(docs, text, lang), text, q), "measured")
-    return where_made(judge(measured, references(measured, lang, q), q), F.col(f"{q}.kept")).drop(q)
+    common = common_words(docs, text, lang)
+    narrow = stage(measure(docs.select(lang, text), common, text, q).drop(text), "measures")
+    refs = references(narrow, lang, q)
+    drop_staged(narrow)
+    return where_made(judge(measure(docs, common, text, q), refs, q), F.col(f"{q}.kept")).drop(q)
 
 
 def duckdb_sql(table: str) -> str:
