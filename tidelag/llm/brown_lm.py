@@ -430,7 +430,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             rare = (w >= n) & (w != f.end)
             cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(b)))])
             arrays = [
-                b.column(0), b.column(1), pa.array((sizes + 1).astype(np.int64)), pa.array(np.bincount(doc[seen], minlength=len(b)).astype(np.int64)), pa.array(sums(base_logs)), pa.array(moves + sums(own_logs)),
+                b.column(0), b.column(1), pa.array((sizes + 1).astype(np.int64)), pa.array(np.bincount(doc[seen], minlength=len(b)).astype(np.int64)), pa.array(sums(base_logs).astype(float)), pa.array((moves + sums(own_logs)).astype(float)),
                 pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(c[1:][rare].astype(np.int32))), b.column(3),
             ]
             yield pa.RecordBatch.from_arrays(arrays, shape.replace(",", "").split()[::2])
