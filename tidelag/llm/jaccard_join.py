@@ -143,7 +143,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return placed.where("i < joined").drop("joined")
 
 
-def _can_share(most: Column, a: Column, b: Column, percent: int) -> Column:
+def can_share(most: Column, a: Column, b: Column, percent: int) -> Column:
     """Whether sets of sizes a and b that share `most` shingles at most can be similar enough."""
     return (100 + percent) * most >= percent * (a + b)
 
@@ -152,10 +152,10 @@ def _may_match(percent: int) -> Column:
     """Length filter, and positional filter by the places i of a shared shingle in the heads, of sets a and b."""
     na, nb, ea, eb, ia, ib = (F.col(c) for c in ("na", "nb", "ea", "eb", "ia", "ib"))
     sized = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-    return sized & _can_share(F.least(ea - ia, eb - ib) - F.least(ea - na, eb - nb), na, nb, percent)
+    return sized & can_share(F.least(ea - ia, eb - ib) - F.least(ea - na, eb - nb), na, nb, percent)
 
 
-def _suffix_may_match(percent: int) -> Column:
+def suffix_may_match(percent: int) -> Column:
     """Suffix filter: sets differ at least by what their counts of the parts of the hash range, s, do."""
     apart = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.abs(p - q)), F.lit(0), lambda t, d: t + d)
     return (100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))
@@ -190,7 +190,7 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, p
     both = pairs.join(one("a"), "a").join(one("b"), "b")
     size = lambda m: (F.length(m) / 8).cast("long")
     both = both.select("a", "b", size("ma").alias("na"), size("mb").alias("nb"), shared("ma", "mb").alias("common"))
-    return both.where(_can_share(F.col("common"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    return both.where(can_share(F.col("common"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
 def _pivot_pairs(entries: DataFrame, marks: DataFrame, seed: int, percent: int) -> DataFrame:
@@ -200,13 +200,13 @@ def _pivot_pairs(entries: DataFrame, marks: DataFrame, seed: int, percent: int)
     chosen = [F.min(me), F.max(me), *map(by_hash, range(PIVOTS - 2))] if seed == 0 else [*map(by_hash, range(PIVOTS))]
     pivots = entries.groupBy("token").agg(F.array(*chosen).alias("p"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = _sided(entries.join(pivots, "token").withColumn("p", F.explode("p")), ("rep", "n", "e", "i", "p"), "a").select("*", *[F.col(f"pa.{c}").alias(f"{c}b") for c in ("rep", "n", "e", "i")])
-    met = _once(met.where((F.col("repa") != F.col("repb")) & _may_match(percent)))
+    met = each_once(met.where((F.col("repa") != F.col("repb")) & _may_match(percent)))
     for x in "ab":
         met = met.join(_sided(marks, ("rep", "n", "s"), x), F.col(x) == F.col(f"rep{x}"))
-    return met.where(_suffix_may_match(percent)).select("a", "b")
+    return met.where(suffix_may_match(percent)).select("a", "b")
 
 
-def _apart(found: DataFrame, joined: DataFrame | None) -> DataFrame:
+def still_apart(found: DataFrame, joined: DataFrame | None) -> DataFrame:
     """found with g, each set's component, for the shingles on which sets of different components meet."""
     if joined is None:
         side = found.withColumn("g", F.col("rep"))
@@ -216,7 +216,7 @@ def _apart(found: DataFrame, joined: DataFrame | None) -> DataFrame:
     return side.join(open_tokens, "token", "left_semi")
 
 
-def _entries_and_pairs(apart: DataFrame) -> tuple[int, int]:
+def entries_and_pairs(apart: DataFrame) -> tuple[int, int]:
     """How many entries there are, and how many pairs of entries of one shingle and different components."""
     per = apart.groupBy("token", "g").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"))
     r = per.agg(F.sum("c").alias("entries"), F.sum((F.col("c").cast("double") * F.col("c") - F.col("same")) / 2).alias("pairs")).first()
@@ -241,8 +241,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     drop_staged(wide)
     found = stage(prefixes(sets), "prefixes")
     marks = sets.select("rep", "n", F.col("signature").alias("s"))
-    joined, apart, tried, round_, last, before_pairs = None, stage(_apart(found, None), "apart"), [], 0, False, None
-    while (size := _entries_and_pairs(apart))[1] and not last:
+    joined, apart, tried, round_, last, before_pairs = None, stage(still_apart(found, None), "apart"), [], 0, False, None
+    while (size := entries_and_pairs(apart))[1] and not last:
         last = size[1] <= PAIRS_AN_ENTRY * size[0] or (before_pairs is not None and 2 * size[1] > before_pairs)
         if not last:
             pairs = _pivot_pairs(apart, marks, round_, percent)
@@ -250,7 +250,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
             split = apart.join(marks.select("rep", "s"), "rep")
             l, r = (_sided(split, ("rep", "n", "e", "i", "s", "g"), x) for x in "ab")
             other = (F.col("ga") != F.col("gb")) & (F.col("repa") < F.col("repb"))
-            pairs = _once(l.join(r, (l["token"] == r["token"]) & other & _may_match(percent) & _suffix_may_match(percent)))
+            pairs = each_once(l.join(r, (l["token"] == r["token"]) & other & _may_match(percent) & suffix_may_match(percent)))
         for t in tried:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         tried.append(stage(pairs, "pairs"))
@@ -260,7 +260,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
             before = [] if joined is None else [joined.select(F.col("node").alias("a"), F.col("component").alias("b"))]
             joined = stage(components(reduce(DataFrame.union, before, links)), "components")
         if n_links and not last:
-            following = stage(_apart(apart.drop("g"), joined), "apart")
+            following = stage(still_apart(apart.drop("g"), joined), "apart")
             drop_staged(apart)
             apart = following
         round_, before_pairs = round_ + 1, size[1]
@@ -272,7 +272,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     return same.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("g", "id").alias("component_id"))
 
 
-def _once(met: DataFrame) -> DataFrame:
+def each_once(met: DataFrame) -> DataFrame:
     """The pairs of columns repa and repb as a < b, each once."""
     return met.select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b")).distinct()
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.llm import brown_lm, jaccard_join, line_dedup, media, mixing, pieces, pii, quality_rules, token_counts, toxicity
-from tidelag.llm.common import documents
+from tidelag.llm import brown_lm, circulant_minhash, jaccard_join, line_dedup, media, mixing, pieces, pii, quality_rules, ranked_search, token_counts, toxicity, vector_codes
+from tidelag.llm.common import documents, stage
 
 
 #: The pseudonym key of the demonstration query; production passes a secret of up to 64 bytes.
@@ -32,7 +32,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Pairs of equal lines, the earlier one second; unbroken stretches of a diagonal are common prefixes.
 OP2_SQL = rf"""
 WITH a AS (SELECT doc_id, unnest(str_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(str_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-w AS (SELECT doc_id, line, i, len(regexp_extract_all(line, '[^ 	-]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM a WHERE regexp_matches(line, '[^ 	-]')),
+w AS (SELECT doc_id, line, i, len(regexp_extract_all(line, '[^ 	-
+]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM a WHERE regexp_matches(line, '[^ 	-
+]')),
 e AS (SELECT x.doc_id, x.j, y.doc_id AS other, y.j AS there FROM w x JOIN w y ON x.line = y.line AND (y.doc_id < x.doc_id OR y.doc_id = x.doc_id AND y.j < x.j)),
 g AS (SELECT *, j - row_number() OVER (PARTITION BY doc_id, other, j - there ORDER BY j) AS stretch FROM e),
 l AS (SELECT doc_id, j, other, there, max(j) OVER (PARTITION BY doc_id, other, j - there, stretch) - j + 1 AS same FROM g),
@@ -96,6 +98,23 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "__d.*")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code, squared error and its label's error of every vector of finite components."""
+    return vector_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and whether it is kept of every document: 4-word shingles, similarity of 0.8 or more."""
+    found = circulant_minhash.near_groups(documents(spark, sf_dir))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 highest-scoring documents of every benchmark item."""
+    index = stage(ranked_search.build_index(documents(spark, sf_dir)), "index")
+    return ranked_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -111,7 +130,41 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM r
 """
 
+OP13_SQL = r"""
+WITH folded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+sized AS (SELECT doc_id, terms, len(terms) AS n FROM folded WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sized),
+wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+postings AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM sized) WHERE term IN (SELECT term FROM wanted) GROUP BY doc_id, n, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY term, n_docs),
+scores AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+           FROM wanted JOIN weights USING (term) JOIN postings USING (term), totals GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+
+def _jaccard_sql(words: int, percent: int, more: str = "") -> str:
+    """doc_id, n_shingles, component_id and what `more` selects, from all pairs that share a shingle."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {words} + 1, 1) + 1)) AS i FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {words} - 1], ' ') AS s FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * p.c >= {percent} * (x.n + y.n - p.c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM n UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a),
+c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id{more}
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = c.node
+"""
+
+
+OP7_SQL = _jaccard_sql(jaccard_join.WORDS, jaccard_join.PERCENT)
+OP12_SQL = _jaccard_sql(circulant_minhash.WORDS, circulant_minhash.PERCENT, ", d.doc_id = coalesce(c.component_id, d.doc_id) AS kept")
 OP9_SQL = quality_rules.duckdb_sql("documents")
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_pseudonyms, op4_token_counts, op5_mix_sources, op6_brown_lm, op7_jaccard_join, op8_media, op9_quality_rules, op10_sentencepiece)}
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_mix_sources": OP5_SQL, "op9_quality_rules": OP9_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_pseudonyms, op4_token_counts, op5_mix_sources, op6_brown_lm, op7_jaccard_join, op8_media, op9_quality_rules, op10_sentencepiece, op11_vector_codes, op12_circulant_minhash, op13_ranked_search)}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_mix_sources": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op9_quality_rules": OP9_SQL, "op12_circulant_minhash": OP12_SQL, "op13_ranked_search": OP13_SQL}
