@@ -7,7 +7,7 @@ of ROWS coordinates make candidates; each candidate pair is verified once on the
 Equal sets are one node. Bands that many sets share would still make every pair of theirs meet, so
 pairs are made in rounds that lose no candidate between different components: each set first meets the
 smallest of each of its bands, then others by hash while each round halves what is left; at last all sets meet
-that share a band and are in different components yet. With 32 bands of 5 a pair of similarity 0.8 shares
+that share a band, are in different components yet and have enough shingles that other components have too. With 32 bands of 5 a pair of similarity 0.8 shares
 no band in 3 of a million cases; components hold as a whole where any of their links is found.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidelag.llm.common import drop_staged, stage
 from tidelag.llm.components import components
-from tidelag.llm.jaccard_join import SIGNATURE, each_once, entries_and_pairs, still_apart, suffix_may_match, verify
+from tidelag.llm.jaccard_join import SIGNATURE, can_share, each_once, entries_and_pairs, still_apart, suffix_may_match, verify
 from tidelag.llm.shingle_sets import mixed, parts, shingle_sets
 
 #: Words in a shingle and least similarity in hundredths of op12.
@@ -98,20 +98,60 @@ def _sized(percent: int) -> Column:
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def _pivot_pairs(entries: DataFrame, seed: int) -> DataFrame:
-    """Columns repa, na, repb, nb: each set of a band with the band's smallest one, or with PIVOTS of it by hash in later rounds."""
-    me = F.struct("rep", "n")
+def _pivot_pairs(entries: DataFrame, seed: int, percent: int) -> DataFrame:
+    """Pairs a < b, each once: the sets of a band and its smallest one, or PIVOTS of it by hash in later rounds, of other components."""
+    me = F.struct("rep", "n", "g")
     by_hash = lambda k: F.min(F.struct(F.xxhash64(F.lit(seed), F.lit(k), "rep"), me.alias("p")))["p"]
     chosen = [F.min(me)] if seed == 0 else [*map(by_hash, range(PIVOTS))]
     pivots = entries.groupBy("token").agg(F.array(*chosen).alias("p"), F.count("*").alias("c")).where("c > 1").select("token", F.explode("p").alias("p"))
-    met = entries.join(pivots, "token").select(F.col("rep").alias("repa"), F.col("n").alias("na"), F.col("p.rep").alias("repb"), F.col("p.n").alias("nb"))
-    return met.where("repa <> repb")
+    met = entries.join(pivots, "token").select(F.col("rep").alias("repa"), F.col("n").alias("na"), F.col("g").alias("ga"), *[F.col(f"p.{c}").alias(f"{c}b") for c in ("rep", "n", "g")])
+    return each_once(met.where((F.col("ga") != F.col("gb")) & _sized(percent)))
 
 
-def _all_pairs(entries: DataFrame) -> DataFrame:
-    """Columns repa, na, repb, nb of all sets that share a band and are in different components."""
-    side = lambda x: entries.select("token", *[F.col(c).alias(f"{c}{x}") for c in ("rep", "n", "g")])
-    return side("a").join(side("b"), "token").where("ga <> gb AND repa < repb")
+def _with_company(entries: DataFrame, joined: DataFrame | None, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """The entries that can still be part of a link, with shared, how many of the set's shingles other components have.
+
+    Sets of n and m share percent (n + m) / (100 + percent) shingles at least if they link, and no set shares
+    more than its own number. So in large groups of copies that are each changed in places of their own those that are
+    changed too much go without being compared. Shingles are counted exactly, over all sets with an entry.
+    """
+    ids = stage(entries.select("rep", "g").distinct(), "open")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, texts in parts(b, text):
+                s, d = shingle_sets(texts, words)
+                yield pa.RecordBatch.from_arrays([b.column(key).slice(rows.start, len(texts)).cast(pa.int64()).take(pa.array(d)), pa.array(s.view(np.int64))], ["rep", "shingle"])
+
+    wanted = docs.select(key, text).join(ids.select(F.col("rep").alias(key)), key, "left_semi")
+    held = stage(wanted.mapInArrow(run, "rep long, shingle long").join(ids, "rep"), "held")
+    common = held.groupBy("shingle").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("shingle")
+    shared = held.join(common, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("shared"))
+    met = entries.drop("shared").join(shared, "rep")
+    least = met.groupBy("token").agg(F.min("n").alias("least"))
+    met = met.join(least, "token").where(can_share(F.col("shared"), F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100)), percent))
+    out = stage(still_apart(met.drop("g", "least"), joined), "apart")
+    for t in (ids, held):
+        drop_staged(t)
+    return out
+
+
+def _all_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs a < b of sets that share a band and are in different components, each made once, at the first band that they share."""
+    own = entries.groupBy("rep").agg(F.array_sort(F.collect_set("token")).alias("open"))
+    sides = entries.join(own, "rep").join(sets.select("rep", "signature"), "rep")
+    l, r = (sides.select(F.col("token").alias(f"token{x}"), F.col("signature").alias(f"s{x}"), *[F.col(c).alias(f"{c}{x}") for c in ("rep", "n", "shared", "g", "open")]) for x in "ab")
+    once = F.element_at(F.array_intersect("opena", "openb"), 1) == F.col("tokena")
+    company = can_share(F.least("shareda", "sharedb"), F.col("na"), F.col("nb"), percent)
+    met = l.join(r, (F.col("tokena") == F.col("tokenb")) & (F.col("ga") != F.col("gb")) & (F.col("repa") < F.col("repb")) & _sized(percent) & company & once & suffix_may_match(percent))
+    return met.select(F.col("repa").alias("a"), F.col("repb").alias("b"))
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the suffix filter."""
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}")), x)
+    return pairs.where(suffix_may_match(percent)).select("a", "b")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -134,16 +174,18 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     joined, apart, tried, round_, last, before = None, stage(still_apart(banded, None), "apart"), [], 0, False, None
     while (size := entries_and_pairs(apart))[1] and not last:
         last = round_ > 0 and (size[1] <= PAIRS_AN_ENTRY * size[0] or 2 * size[1] > before)
-        pairs = each_once((_all_pairs(apart) if last else _pivot_pairs(apart, round_)).where(_sized(percent)).select("repa", "repb", "na", "nb"))
+        for _ in range(2 * last):  # twice, as those who go leave others without company
+            following = _with_company(apart, joined, docs, key, text, words, percent)
+            drop_staged(apart)
+            apart = following
+        pairs = _all_pairs(apart, sets, percent) if last else _pivot_pairs(apart, round_, percent)
         for t in tried:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         tried.append(stage(pairs, "pairs"))
-        pairs = tried[-1]
-        for x in "ab":
-            pairs = pairs.join(sets.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}")), x)
-        likely = stage(pairs.where(suffix_may_match(percent)).select("a", "b"), "likely")
+        likely = tried[-1] if last else stage(_likely(tried[-1], sets, percent), "likely")
         links = stage(verify(likely, docs, key, text, words, percent), "links")
-        drop_staged(likely)
+        if not last:
+            drop_staged(likely)
         if links.limit(1).count():
             known = [] if joined is None else [joined.select(F.col("node").alias("a"), F.col("component").alias("b"))]
             joined = stage(components(reduce(DataFrame.union, known, links)), "components")
