@@ -23,12 +23,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelag.llm.common import stage
+
 #: Documents found for each item.
 K = 50
 #: Postings in a shard, if no single document has more.
 SHARD_POSTINGS = 3_000_000
 #: Items that go through a shard together.
 ITEMS_A_BLOCK = 256
+#: Terms of all items, repeats across items counted, up to which they are broadcast (some 100 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_TERMS = 500_000
+#: Tasks at most that shards are dealt to.
+MERGE_TASKS = 20_000
 #: Saturation of tf and the share of the length in it, in hundredths of the formula below.
 SCALE, TF, LENGTH, SHARE = 1_000_000_000, 1000, 20, 50
 #: Terms are runs of 0-9, A-Z, a-z and everything beyond ASCII; A-Z are lower-cased.
@@ -229,23 +235,24 @@ def best_documents(lists: list[tuple[int, memoryview, memoryview]], k: int) -> l
 def search(index: DataFrame, items: DataFrame, k: int = K, item: str = "item_id", text: str = "text") -> DataFrame:
     """item_id, rank (from 1), doc_id, score: the k best documents of each item, fewer if fewer score above 0.
 
-    index: a stored table of build_index(); it is read four times, three of them one or two columns of it.
+    index: a stored table of build_index(); it is read four times, three of them one or two columns of it. Only postings of the items' terms are shuffled.
     A term's weight is floor(1000 ln((2N + 2) / (2 df + 1))); a document's score sums, over the item's distinct terms,
     weight * (10^9 tf div (1000 tf + 20 m)). Equal scores go by ascending doc_id, null last. Items go in blocks,
     each a set of rows for every shard that holds one of its terms; what a task holds is bounded by a shard's
     size. Items without terms, or with terms that no document has, give no rows.
     """
     kind = items.schema[item].dataType
-    totals = index.where("term IS NULL").agg(F.sum("n_docs").alias("docs"), F.sum("n_terms").alias("terms")).first()
+    totals = index.where("term IS NULL").agg(F.sum("n_docs").alias("docs"), F.sum("n_terms").alias("terms"), F.count("*").alias("shards")).first()
     n_docs, n_terms = totals["docs"] or 0, totals["terms"] or 0
-    terms = item_terms(items, item, text)
+    terms = stage(item_terms(items, item, text), "terms")
+    small = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda df: df
     blocks = max(1, -(-items.count() // ITEMS_A_BLOCK))
     terms = terms.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
     wanted = terms.groupBy("term", "block").agg(F.collect_list(F.struct("item")).alias("items"))
-    df = index.where("term IS NOT NULL").join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n_docs").alias("df"))
+    df = index.where("term IS NOT NULL").join(small(wanted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("n_docs").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1))).cast("long").alias("weight")
     weighted = wanted.join(df, "term").select("term", "block", "items", weight).where("weight > 0")
-    lists = index.where("term IS NOT NULL").select("shard", "term", "n_docs", "postings").join(weighted, "term").drop("term")
+    lists = index.where("term IS NOT NULL").select("shard", "term", "n_docs", "postings").join(small(weighted), "term").drop("term")
     heads = index.where("term IS NULL").select("shard", F.col("postings").alias("ids"), "sizes")
     of = lists.select("shard", "block").distinct().join(heads, "shard")
     none = lambda c, t: F.lit(None).cast(t).alias(c)
@@ -270,6 +277,7 @@ def search(index: DataFrame, items: DataFrame, k: int = K, item: str = "item_id"
         out = [(x, s, d) for x, entries in of_item.items() for s, d in best_documents(entries, k)]
         return pd.DataFrame({"item": pd.Series([x[0] for x in out], dtype=object), "doc_id": pd.array([int(ids[d]) if d < len(ids) else None for _, _, d in out], dtype="Int64"), "score": [s for _, s, _ in out]})
 
-    best = rows.groupBy("shard", "block").applyInPandas(run, schema)
+    tasks = min(MERGE_TASKS, max(1, totals["shards"] * blocks))  # a shard is few bytes and much work, so sizes don't tell how many tasks it takes
+    best = rows.repartition(tasks, "shard", "block").groupBy("shard", "block").applyInPandas(run, schema)
     order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("item").alias("item_id"), "rank", "doc_id", "score")
