@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +76,9 @@ def player_index(rosters: DataFrame, key: str = "player_id", full: str = "full_n
 
 
 def _nicknamed(name: Column, nicknames: dict[str, str]) -> Column:
-    return reduce(lambda out, pair: F.when(name == pair[0], F.lit(pair[1])).otherwise(out), nicknames.items(), name)
+    """The name that a nickname stands for; the array of one holds name, which costs several patterns, to one evaluation."""
+    known = F.from_json(F.lit(json.dumps(nicknames)), "map<string, string>")
+    return F.element_at(F.transform(F.array(name), lambda n: F.coalesce(F.element_at(known, n), n)), 1)
 
 
 def resolve(mentions: DataFrame, index: DataFrame, name: str = "name", team: str | None = "team", position: str | None = "position", least: float = 0.8, nicknames: dict[str, str] = NICKNAMES, into: str = "player_id") -> DataFrame:
