@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from tidelag.functions import windows as W
 from tidelag.functions.scalars import fixed
+from tidelag.operators import regression as R
 from tidelag.plans.inputs import plays, query
 from tidelag.plans.market import predictions
+from tidelag.sources.sinks import stored
 
 FEATURES = ("roll3", "roll6", "std")
 
@@ -49,9 +51,27 @@ def ridge_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def edge_calibrator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probability that a bet wins by the size of its edge, from earlier seasons."""
+    """Probability that a bet wins by the size of its edge, each season from all earlier ones; the first season has none."""
     p = predictions(spark, sf_dir).withColumn("edge", F.abs(F.col("predicted") - F.col("spread")))
     won = ((F.col("predicted") > F.col("spread")) == (F.col("margin") > F.col("spread"))).cast("double")
-    p = VectorAssembler(inputCols=["edge"], outputCol="x").transform(p.withColumn("won", won))
-    model = LogisticRegression(featuresCol="x", labelCol="won", regParam=0.01).fit(p.where("season < 1999"))
-    return model.transform(p.where("season >= 1999")).select("game", "season", fixed(vector_to_array("probability")[1], 4).alias("confidence"))
+    p = stored(VectorAssembler(inputCols=["edge"], outputCol="x").transform(p.withColumn("won", won)), "edges")
+    logistic = LogisticRegression(featuresCol="x", labelCol="won", regParam=0.01)
+    fits = [(s, logistic.fit(p.where(F.col("season") < s))) for s in R.known_seasons(p)[1:]]
+    parts = [m.transform(p.where(F.col("season") == s)) for s, m in fits]
+    return reduce(DataFrame.unionByName, parts).select("game", "season", fixed(vector_to_array("probability")[1], 4).alias("confidence"))
+
+
+@query()
+def bayesian_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week's mean with the floor and ceiling that a Bayesian fit on earlier seasons gives it."""
+    f = stored(_features(spark, sf_dir), "features")
+    out = R.with_intervals(f, R.bayesian_folds(f, FEATURES, "y"), FEATURES)
+    return out.select("team", "season", "week", *[fixed(c, 4).alias(c) for c in ("y", "mean", "std", "floor", "ceiling")])
+
+
+@query()
+def quantile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines below which 10, 50 and 90 in 100 weeks are expected, fitted on earlier seasons."""
+    f = stored(_features(spark, sf_dir), "features")
+    out = R.with_quantiles(f, R.quantile_folds(f, FEATURES, "y"), FEATURES)
+    return out.select("team", "season", "week", *[fixed(c, 4).alias(c) for c in ("y", "q10", "q50", "q90")])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 import math
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,17 +12,14 @@ from pyspark.sql import functions as F
 
 from tidelag.functions.scalars import fixed
 from tidelag.plans.inputs import query
+from tidelag.sources.sinks import shared_folder
 from tidelag.sources.tables import table
 from tidelag.streaming import events as E
 
 
-def _shared(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelag-")).rstrip("/")
-
-
 def _streamed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     batch = table(spark, sf_dir, "events")
-    here = f"{_shared(spark)}/streams/{uuid.uuid4().hex}"
+    here = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     out = build(E.read(spark, f"{sf_dir}/events.parquet", batch.schema))
     E.run(out, f"{here}/out", f"{here}/state")
     return spark.read.schema(out.schema).parquet(f"{here}/out")
@@ -35,7 +31,7 @@ def _closed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame, str],
     batch = table(spark, sf_dir, "events")
     first, last = batch.agg(F.min(F.col("ts").cast("timestamp")).cast("double"), F.max(F.col("ts").cast("timestamp")).cast("double")).first()
     first, last = (math.floor(first), math.ceil(last)) if first is not None else (0, 0)
-    late, here = last - first + 1, f"{_shared(spark)}/streams/{uuid.uuid4().hex}"
+    late, here = last - first + 1, f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     events = E.read(spark, f"{sf_dir}/events.parquet", batch.schema)
     spark.createDataFrame([], events.schema).write.parquet(f"{here}/closing")
     out = build(E.with_closing(events, f"{here}/closing"), f"{late} seconds")
