@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelag.functions import windows as W
 from tidelag.functions.scalars import clip, fixed
 from tidelag.operators.joins import star
 from tidelag.plans.inputs import plays, query
@@ -15,8 +16,28 @@ from tidelag.sources.tables import table
 
 # Share of the expected rate in a touchdown count, by position.
 TD_WEIGHT = {"QB": 0.75, "RB": 1.0, "WR": 0.75, "TE": 0.5}
-# Multipliers of injury reports; any other is 0.85.
-INJURY = {"Active": 1.0, "Questionable": 0.85, "Doubtful": 0.5, "Out": 0.0, "IR": 0.0, "PUP": 0.0, "Suspended": 0.0}
+# Touchdowns a yard, by position and the kind of yards.
+TD_RATES = {
+    "QB": {"passing": 0.00626, "rushing": 0.01048},
+    "RB": {"rushing": 0.00741, "receiving": 0.00501},
+    "WR": {"receiving": 0.00609},
+    "TE": {"receiving": 0.00760},
+}
+# Multipliers of injury reports; any other is 0.85, no report 1.
+INJURY = {"Active": 1.0, "Questionable": 0.85, "Doubtful": 0.50, "Out": 0.0, "Injured Reserve": 0.0, "IR": 0.0, "Physically Unable to Perform": 0.0, "PUP": 0.0, "Suspension": 0.0}
+# A starter's line a game, by position, and the share of it that a role gets.
+STARTER_LINES = {
+    "QB": {"passing_yards": 230.0, "passing_tds": 1.4, "interceptions": 0.8, "rushing_yards": 15.0, "rushing_tds": 0.1},
+    "RB": {"rushing_yards": 55.0, "rushing_tds": 0.4, "receptions": 3.0, "receiving_yards": 22.0, "receiving_tds": 0.1, "carries": 12.0},
+    "WR": {"receiving_yards": 60.0, "receiving_tds": 0.4, "receptions": 4.5, "targets": 6.5},
+    "TE": {"receiving_yards": 40.0, "receiving_tds": 0.3, "receptions": 3.0, "targets": 4.5},
+}
+ROLE_SHARE = {"starter": 1.00, "backup": 0.40, "unknown": 0.25}
+STATS = sorted({stat for line in STARTER_LINES.values() for stat in line})
+# Other codes of teams and the codes that they stand for.
+TEAM_ALIASES = {"KAN": "KC", "LAR": "LA", "LVR": "LV", "NOR": "NO", "NWE": "NE", "SFO": "SF", "TAM": "TB", "JAC": "JAX", "GNB": "GB"}
+# First and last week, least consensus and least gap of rank correlations of the grading population.
+GRADED_WEEKS, LEAST_CONSENSUS, LEAST_RANK_GAP, LEAST_RANKED = (3, 18), 5.0, -0.01, 10
 # Weights by week of draft position, of the season before, and of props by position.
 DRAFT_WEIGHT = {1: 0.5, 2: 0.45, 3: 0.4, 4: 0.3, 5: 0.2, 6: 0.1}
 SEASON_WEIGHT = {3: 0.4, 4: 0.3, 5: 0.2, 6: 0.1}
@@ -41,30 +62,53 @@ def _case(key: str, values: dict, other: float) -> str:
     return f"CASE {key} " + " ".join(f"WHEN {k!r} THEN {float(v)}" for k, v in values.items()) + f" ELSE {float(other)} END"
 
 
-@query(f"WITH {_MEN}, s AS (SELECT *, CASE WHEN size % 7 = 6 THEN 'Unknown' ELSE ['Active', 'Questionable', 'Doubtful', 'Out', 'IR', 'PUP'][size % 7 + 1] END AS report FROM m)" + f"""
-SELECT player, round(greatest(least(1.15 - (CASE WHEN rank_ = 0 THEN 16 ELSE rank_ END - 1) * 0.30 / 31, 1.25), 0.75) + 1e-9, 6) AS matchup, report, {_case('report', INJURY, 0.85)} AS injury,
-  round((1 - {_case('position', TD_WEIGHT, 0.75)}) * (size % 5) + {_case('position', TD_WEIGHT, 0.75)} * greatest(points - 20, 0) * 0.05 + 1e-9, 3) AS touchdowns FROM s""")
+_REPORTS = ("Active", "Questionable", "Doubtful", "Out", "Injured Reserve", "IR", "Physically Unable to Perform", "PUP", "Suspension", "Unknown", None)
+_KINDS = {"passing": ("size * 5 - 20", "size % 5 * 0.3"), "rushing": ("rank_ * 2 - 5", "rank_ % 4 * 0.25"), "receiving": ("points * 2", "games % 3 * 0.4")}
+
+
+def drawn_to_rate(kind: str, position: F.Column, yards: F.Column, touchdowns: F.Column) -> F.Column:
+    """Touchdowns drawn to the position's own rate for these yards, none for negative ones; untouched where it has no rate."""
+    rate = chosen(position, {p: r[kind] for p, r in TD_RATES.items() if kind in r}, 0)
+    w = F.when(rate > 0, chosen(position, TD_WEIGHT, 0)).otherwise(0.0)
+    return fixed((1 - w) * touchdowns + w * F.greatest(yards, F.lit(0.0)) * rate, 3)
+
+
+def _td_sql(kind: str) -> str:
+    yards, tds = _KINDS[kind]
+    cases = " ".join(f"WHEN '{p}' THEN (1 - {TD_WEIGHT[p]}) * ({tds}) + {TD_WEIGHT[p]} * greatest({yards}, 0) * {r[kind]}" for p, r in TD_RATES.items() if kind in r)
+    return f"round(CAST(CASE position {cases} ELSE {tds} END AS DOUBLE) + 1e-9, 3) AS {kind}_tds"
+
+
+@query(f"WITH {_MEN}, s AS (SELECT *, [{', '.join('NULL' if r is None else repr(r) for r in _REPORTS)}][size % 11 + 1] AS report FROM m)" + f"""
+SELECT player, round(greatest(least(1.15 - (CASE WHEN rank_ = 0 THEN 16 ELSE rank_ END - 1) * 0.30 / 31, 1.25), 0.75) + 1e-9, 6) AS matchup, report, CASE WHEN report IS NULL THEN 1.0 ELSE {_case('report', INJURY, 0.85)} END AS injury, {', '.join(map(_td_sql, _KINDS))} FROM s""")
 def projection_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matchup by the opponent's rank (16 where it is missing), injury report, and touchdowns drawn to their expected rate."""
+    """Matchup by the opponent's rank (16 where it is missing), injury report, and touchdowns drawn to each yardage's own rate."""
     m = men(spark, sf_dir)
-    names = F.array(*map(F.lit, ("Active", "Questionable", "Doubtful", "Out", "IR", "PUP", "Unknown")))
     rank = F.when(F.col("rank_") == 0, 16).otherwise(F.col("rank_"))
-    w = chosen(F.col("position"), TD_WEIGHT, 0.75)
-    m = m.withColumn("report", F.get(names, (F.col("size") % 7).cast("int")))
-    touchdowns = (1 - w) * (F.col("size") % 5) + w * F.greatest(F.col("points") - 20, F.lit(0.0)) * 0.05
-    return m.select("player", fixed(clip(1.15 - (rank - 1) * 0.30 / 31, 0.75, 1.25)).alias("matchup"), "report", chosen(F.col("report"), INJURY, 0.85).alias("injury"), fixed(touchdowns, 3).alias("touchdowns"))
+    m = m.withColumn("report", F.get(F.array(*map(F.lit, _REPORTS)), (F.col("size") % 11).cast("int")))
+    injury = F.when(F.col("report").isNull(), 1.0).otherwise(chosen(F.col("report"), INJURY, 0.85))
+    touchdowns = [drawn_to_rate(k, F.col("position"), F.expr(yards), F.expr(tds)).alias(f"{k}_tds") for k, (yards, tds) in _KINDS.items()]
+    return m.select("player", fixed(clip(1.15 - (rank - 1) * 0.30 / 31, 0.75, 1.25)).alias("matchup"), "report", injury.alias("injury"), *touchdowns)
+
 
+def role_of(snaps: F.Column, share: F.Column) -> F.Column:
+    """starter above 0.60 of the snaps, backup from 0.30 on; without snaps backup above 0.15 of the targets; else unknown."""
+    return F.when(snaps.isNull(), F.when(share > 0.15, "backup").otherwise("unknown")).when(snaps > 0.60, "starter").when(snaps >= 0.30, "backup").otherwise("unknown")
 
-@query(f"WITH {_MEN}, b AS (SELECT position, avg(points) AS starter FROM m WHERE size > 20 GROUP BY ALL), r AS (SELECT m.*, starter, size / 50.0 AS snaps, rank_ / 100.0 AS share FROM m JOIN b USING (position))" + """
-SELECT player, round(starter * CASE WHEN size % 3 = 0 THEN CASE WHEN share > 0.15 THEN 0.40 ELSE 0.25 END WHEN snaps > 0.60 THEN 1.0 WHEN snaps >= 0.30 THEN 0.40 ELSE 0.25 END + 1e-9, 4) AS filled FROM r""")
+
+@query(f"WITH {_MEN}, r AS (SELECT *, CASE WHEN size % 3 = 0 THEN CASE WHEN rank_ / 100.0 > 0.15 THEN 'backup' ELSE 'unknown' END WHEN size / 50.0 > 0.60 THEN 'starter' WHEN size / 50.0 >= 0.30 THEN 'backup' ELSE 'unknown' END AS role FROM m)" + f"""
+SELECT player, role, {', '.join(f"round(CASE position " + " ".join(f"WHEN '{p}' THEN {l[stat]}" for p, l in STARTER_LINES.items() if stat in l) + f" END * {_case('role', ROLE_SHARE, 0)} + 1e-9, 4) AS {stat}" for stat in STATS)} FROM r""")
 def rookie_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A share of the position's starters' mean by role: from snaps, or from the target share where snaps are missing."""
+    """The position's starter line times the share of the role, for each stat that the position has."""
     m = men(spark, sf_dir)
-    starters = m.where("size > 20").groupBy("position").agg(F.avg("points").alias("starter"))
-    snaps = F.when(F.col("size") % 3 != 0, F.col("size") / 50.0)
-    by_share = F.when(F.col("rank_") / 100.0 > 0.15, 0.40).otherwise(0.25)
-    role = F.when(snaps.isNull(), by_share).when(snaps > 0.60, 1.0).when(snaps >= 0.30, 0.40).otherwise(0.25)
-    return m.join(F.broadcast(starters), "position").select("player", fixed(F.col("starter") * role, 4).alias("filled"))
+    m = m.withColumn("role", role_of(F.when(F.col("size") % 3 != 0, F.col("size") / 50.0), F.col("rank_") / 100.0))
+    share = chosen(F.col("role"), ROLE_SHARE, 0)
+
+    def filled(stat: str) -> F.Column:
+        line = {p: l[stat] for p, l in STARTER_LINES.items() if stat in l}
+        return fixed(F.when(F.col("position").isin(*line), chosen(F.col("position"), line, 0)) * share, 4).alias(stat)
+
+    return m.select("player", "role", *map(filled, STATS))
 
 
 @query(f"WITH {_MEN}, w AS (SELECT *, {_case('week', DRAFT_WEIGHT, 0)} AS d, CASE WHEN games >= {LEAST_GAMES} THEN {_case('week', SEASON_WEIGHT, 0)} ELSE 0 END AS s, CASE WHEN size > 10 THEN {_case('position', PROPS_WEIGHT, 0)} ELSE 0 END AS p FROM m), a AS (SELECT *, (1 - d) * points + d * rank_ AS x FROM w), b AS (SELECT *, (1 - s) * x + s * size AS y FROM a)" + """
@@ -109,31 +153,72 @@ def value_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where(F.col("b.model_rank") + 12 <= F.col("clock")).select("room", (-F.col("b.p")).alias("player"), F.col("b.model_rank").alias("model_rank"), "clock")
 
 
-@query("""SELECT p_partkey AS player, round(list_aggregate([CAST(p_size AS DOUBLE), p_retailprice / 100, CAST(p_partkey % 30 AS DOUBLE)], 'stddev_samp') + 1e-9, 6) AS volatility, regexp_replace('WR' || CAST(p_partkey % 13 AS VARCHAR), '[0-9]+$', '') AS position,
-  CASE p_brand WHEN 'Brand#1' THEN 'LA' WHEN 'Brand#2' THEN 'JAX' WHEN 'Brand#3' THEN 'WAS' ELSE p_brand END AS team FROM part""")
+_CODES = (*TEAM_ALIASES, "KC", " jac ", "sfo", None)
+
+
+def canonical_team(code: F.Column) -> F.Column:
+    """The one code of a team: trimmed, upper case, aliases resolved; empty for null."""
+    plain = F.upper(F.trim(F.coalesce(code, F.lit(""))))
+    return reduce(lambda out, pair: F.when(plain == pair[0], F.lit(pair[1])).otherwise(out), TEAM_ALIASES.items(), plain)
+
+
+_SQL_CODE = "upper(trim(coalesce([" + ", ".join("NULL" if c is None else f"'{c}'" for c in _CODES) + f"][p_partkey % {len(_CODES)} + 1], '')))"
+
+
+@query(f"""SELECT p_partkey AS player, round(list_aggregate([CAST(p_size AS DOUBLE), p_retailprice / 100, CAST(p_partkey % 30 AS DOUBLE)], 'stddev_samp') + 1e-9, 6) AS volatility, regexp_replace('WR' || CAST(p_partkey % 13 AS VARCHAR), '[0-9]+$', '') AS position,
+  CASE {_SQL_CODE} {' '.join(f"WHEN '{a}' THEN '{c}'" for a, c in TEAM_ALIASES.items())} ELSE {_SQL_CODE} END AS team FROM part""")
 def row_spread_and_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Standard deviation across a row's columns, a depth label without its number, and a team's one name."""
+    """Standard deviation across a row's columns, a depth label without its number, and a team's one code."""
     columns = F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100, (F.col("p_partkey") % 30).cast("double"))
     mean = F.aggregate(columns, F.lit(0.0), lambda a, x: a + x) / F.size(columns)
     spread = F.sqrt(F.aggregate(columns, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (F.size(columns) - 1))
     label = F.regexp_replace(F.concat(F.lit("WR"), (F.col("p_partkey") % 13).cast("string")), "[0-9]+$", "")
-    one = reduce(lambda c, kv: F.when(F.col("p_brand") == kv[0], kv[1]).otherwise(c), (("Brand#1", "LA"), ("Brand#2", "JAX"), ("Brand#3", "WAS")), F.col("p_brand"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("player"), fixed(spread).alias("volatility"), label.alias("position"), one.alias("team"))
-
-
-@query("""WITH e AS (SELECT l_suppkey % 5 AS position, CAST(year(l_shipdate) AS BIGINT) AS season, CAST(month(l_shipdate) AS BIGINT) AS week, abs(l_quantity * 0.6 + l_partkey % 23 - l_quantity) AS ours, abs(20.0 + l_partkey % 11 - l_quantity) AS theirs FROM lineitem WHERE month(l_shipdate) >= 3),
-w AS (SELECT season, week, position, sum(ours) AS ours, sum(theirs) AS theirs, count(*) AS n FROM e GROUP BY ALL), t AS (SELECT season, position, sum(ours) OVER c / sum(n) OVER c AS mae, sum(theirs) OVER c / sum(n) OVER c AS rival, week, sum(n) OVER c AS n, row_number() OVER c AS weeks FROM w WINDOW c AS (PARTITION BY season, position ORDER BY week))
-SELECT season, week, position, CAST(n AS BIGINT) AS n, CAST(weeks AS BIGINT) AS weeks, round(mae + 1e-9, 6) AS mae, round(mae - rival + 1e-9, 6) AS gap, mae <= rival AS gate FROM t""")
+    code = F.get(F.array(*map(F.lit, _CODES)), (F.col("p_partkey") % len(_CODES)).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("player"), fixed(spread).alias("volatility"), label.alias("position"), canonical_team(code).alias("team"))
+
+
+def cumulative_accuracy(matched: DataFrame, positions: tuple[str, ...]) -> DataFrame:
+    """season, week, position, n, weeks, mae, rival_mae, gap, rank_gap, gate: each season's table up to each of its weeks, and an OVERALL row.
+
+    matched: season, week, position, ours, theirs (consensus), actual. Rows count in the graded weeks, with a consensus of
+    LEAST_CONSENSUS at least, at one of the positions; weeks counts all graded weeks with any row. rank_gap is ours less theirs of the mean of
+    weekly rank correlations with what happened, of weeks with LEAST_RANKED rows. The gate is one for the whole table: no larger error
+    overall, and no position whose rank_gap is below LEAST_RANK_GAP or unknown. Rows are aggregated by week first, so
+    what accumulates is a row a position and week.
+    """
+    graded = matched.where(F.col("week").between(*GRADED_WEEKS))
+    rows = graded.where((F.col("theirs") >= LEAST_CONSENSUS) & F.col("position").isin(*positions))
+    key = ["season", "week", "position"]
+    ranked = lambda c: W.rank_average(Window.partitionBy(*key).orderBy(c), Window.partitionBy(*key, c)).alias(f"r_{c}")
+    r = rows.select(*key, "ours", "theirs", "actual", *map(ranked, ("ours", "theirs", "actual")))
+    enough = F.count("*") >= LEAST_RANKED
+    rho = lambda c: F.when(enough, F.corr(f"r_{c}", "r_actual")).alias(f"rho_{c}")
+    weekly = r.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.abs(F.col("ours") - F.col("actual"))).alias("e"), F.sum(F.abs(F.col("theirs") - F.col("actual"))).alias("f"), rho("ours"), rho("theirs"))
+    spine = graded.select("season", "week").distinct().withColumn("position", F.explode(F.array(*map(F.lit, positions))))
+    w = Window.partitionBy("season", "position").orderBy("week").rowsBetween(Window.unboundedPreceding, 0)
+    known = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
+    to_date = spine.join(weekly, key, "left").select(*key, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in ("n", "e", "f")], (F.avg(known("rho_ours")).over(w) - F.avg(known("rho_theirs")).over(w)).alias("rank_gap"), F.row_number().over(w).cast("long").alias("weeks")).where("n > 0")
+    overall = to_date.groupBy("season", "week").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("f").alias("f"), F.max("weeks").alias("weeks"), F.bool_and(F.coalesce(F.col("rank_gap") >= LEAST_RANK_GAP, F.lit(False))).alias("ordered"))
+    gates = overall.select("season", "week", ((F.col("e") <= F.col("f")) & F.col("ordered")).alias("gate"))
+    table_ = to_date.unionByName(overall.select("season", "week", F.lit("OVERALL").alias("position"), "n", "e", "f", F.lit(None).cast("double").alias("rank_gap"), "weeks"))
+    return table_.join(gates, ["season", "week"]).select(*key, "n", "weeks", (F.col("e") / F.col("n")).alias("mae"), (F.col("f") / F.col("n")).alias("rival_mae"), ((F.col("e") - F.col("f")) / F.col("n")).alias("gap"), "rank_gap", "gate")
+
+
+@query("""WITH m AS (SELECT ['QB', 'RB', 'WR', 'TE', 'K'][CAST(l_suppkey % 5 + 1 AS INTEGER)] AS position, CAST(year(l_shipdate) AS BIGINT) AS season, CAST(month(l_shipdate) AS BIGINT) AS week, l_quantity * 0.6 + l_partkey % 23 AS ours, l_quantity * 0.4 + l_partkey % 11 AS theirs, l_quantity AS actual FROM lineitem),
+g AS (SELECT * FROM m WHERE week BETWEEN 3 AND 18), f AS (SELECT * FROM g WHERE theirs >= 5 AND position IN ('QB', 'RB', 'WR', 'TE')),
+r AS (SELECT *, rank() OVER (PARTITION BY season, week, position ORDER BY ours) + (count(*) OVER (PARTITION BY season, week, position, ours) - 1) / 2 AS ro, rank() OVER (PARTITION BY season, week, position ORDER BY theirs) + (count(*) OVER (PARTITION BY season, week, position, theirs) - 1) / 2 AS rt, rank() OVER (PARTITION BY season, week, position ORDER BY actual) + (count(*) OVER (PARTITION BY season, week, position, actual) - 1) / 2 AS ra FROM f),
+w AS (SELECT season, week, position, count(*) AS n, sum(abs(ours - actual)) AS e, sum(abs(theirs - actual)) AS f, CASE WHEN count(*) >= 10 AND stddev_pop(ro) > 0 AND stddev_pop(ra) > 0 THEN corr(ro, ra) END AS co, CASE WHEN count(*) >= 10 AND stddev_pop(rt) > 0 AND stddev_pop(ra) > 0 THEN corr(rt, ra) END AS ct FROM r GROUP BY season, week, position),
+s AS (SELECT DISTINCT season, week, unnest(['QB', 'RB', 'WR', 'TE']) AS position FROM g),
+t AS (SELECT season, week, position, coalesce(sum(n) OVER c, 0) AS n, coalesce(sum(e) OVER c, 0) AS e, coalesce(sum(f) OVER c, 0) AS f, avg(co) OVER c - avg(ct) OVER c AS rank_gap, row_number() OVER c AS weeks FROM s LEFT JOIN w USING (season, week, position) WINDOW c AS (PARTITION BY season, position ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+k AS (SELECT * FROM t WHERE n > 0), o AS (SELECT season, week, sum(n) AS n, sum(e) AS e, sum(f) AS f, max(weeks) AS weeks, bool_and(coalesce(rank_gap >= -0.01, false)) AS ordered FROM k GROUP BY season, week),
+u AS (SELECT season, week, position, n, e, f, rank_gap, weeks FROM k UNION ALL SELECT season, week, 'OVERALL', n, e, f, NULL, weeks FROM o)
+SELECT u.season, u.week, u.position, CAST(u.n AS BIGINT) AS n, CAST(u.weeks AS BIGINT) AS weeks, round(u.e / u.n + 1e-9, 6) AS mae, round((u.e - u.f) / u.n + 1e-9, 6) AS gap, round(u.rank_gap + 1e-9, 6) AS rank_gap, o.e <= o.f AND o.ordered AS gate FROM u JOIN o ON u.season = o.season AND u.week = o.week""")
 def season_to_date_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of ours and the rival from the third week up to each week, weeks counted, and whether ours are not larger."""
-    week = F.month("l_shipdate").cast("long")
-    raw = table(spark, sf_dir, "lineitem")
-    e = raw.where(F.month("l_shipdate") >= 3).select((F.col("l_suppkey") % 5).alias("position"), F.year("l_shipdate").cast("long").alias("season"), week.alias("week"), F.abs(F.col("l_quantity") * 0.6 + F.col("l_partkey") % 23 - F.col("l_quantity")).alias("ours"), F.abs(20.0 + F.col("l_partkey") % 11 - F.col("l_quantity")).alias("theirs"))
-    w = e.groupBy("season", "week", "position").agg(F.sum("ours").alias("ours"), F.sum("theirs").alias("theirs"), F.count("*").alias("n"))
-    c = Window.partitionBy("season", "position").orderBy("week")
-    n = F.sum("n").over(c)
-    t = w.select("season", "week", "position", n.alias("n"), F.row_number().over(c).cast("long").alias("weeks"), (F.sum("ours").over(c) / n).alias("mae"), (F.sum("theirs").over(c) / n).alias("rival"))
-    return t.select("season", "week", "position", "n", "weeks", fixed("mae").alias("mae"), fixed(F.col("mae") - F.col("rival")).alias("gap"), (F.col("mae") <= F.col("rival")).alias("gate"))
+    """Errors and rank correlations against the consensus from the third week up to each week, with one gate for the whole table."""
+    position = F.get(F.array(*map(F.lit, ("QB", "RB", "WR", "TE", "K"))), (F.col("l_suppkey") % 5).cast("int"))
+    matched = table(spark, sf_dir, "lineitem").select(position.alias("position"), F.year("l_shipdate").cast("long").alias("season"), F.month("l_shipdate").cast("long").alias("week"), (F.col("l_quantity") * 0.6 + F.col("l_partkey") % 23).alias("ours"), (F.col("l_quantity") * 0.4 + F.col("l_partkey") % 11).alias("theirs"), F.col("l_quantity").alias("actual"))
+    out = cumulative_accuracy(matched, ("QB", "RB", "WR", "TE"))
+    return out.select("season", "week", "position", "n", "weeks", fixed("mae").alias("mae"), fixed("gap").alias("gap"), fixed("rank_gap").alias("rank_gap"), "gate")
 
 
 @query("""WITH p AS (SELECT p_partkey AS player, p_brand AS position, p_retailprice + p_size * 3 AS points, p_size FROM part), o AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY points DESC, player) AS ours, row_number() OVER (PARTITION BY position ORDER BY player % 37 DESC, player) AS theirs FROM p)
