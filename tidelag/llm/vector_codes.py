@@ -62,23 +62,26 @@ class Tree:
         All rows go down the tree together, each to the nearer child first. A child whose box is as far
         as the best so far is still visited: an entry there may tie with a lower number.
         """
-        best = np.full(len(x), np.iinfo(np.int64).max)
+        largest = max(int(np.abs(self.entries).max()), int(np.abs(x).max(initial=0)))
+        if 4 * x.shape[1] * largest**2 < 2**53:  # then doubles hold every sum below exactly, and multiply faster
+            x = x.astype(np.float64)
+        best = np.full(len(x), np.iinfo(np.int64).max, dtype=x.dtype)
         found = np.full(len(x), len(self.entries), dtype=np.int64)
-        self._visit(0, np.arange(len(x)), x, best, found)
-        return found, best
+        self._visit(0, np.arange(len(x)), x, (x * x).sum(axis=1), best, found)
+        return found, best.astype(np.int64)
 
     def _bound(self, node: int, x: np.ndarray) -> np.ndarray:
         low, high = self.nodes[node][:2]
         out = np.maximum(np.maximum(low - x, x - high), 0)
         return (out * out).sum(axis=1)
 
-    def _visit(self, node: int, rows: np.ndarray, x: np.ndarray, best: np.ndarray, found: np.ndarray) -> None:
+    def _visit(self, node: int, rows: np.ndarray, x: np.ndarray, norms: np.ndarray, best: np.ndarray, found: np.ndarray) -> None:
         if not len(rows):
             return
         _, _, left, right, members = self.nodes[node]
         if members is not None:
-            gap = x[rows][:, None, :] - self.entries[members][None, :, :]
-            far = np.einsum("rek,rek->re", gap, gap)
+            e = self.entries[members].astype(x.dtype)
+            far = norms[rows][:, None] - 2 * (x[rows] @ e.T) + (e * e).sum(axis=1)
             k = far.argmin(axis=1)  # members ascend, so the first least one has the lowest number
             d, e = far[np.arange(len(rows)), k], members[k]
             better = (d < best[rows]) | ((d == best[rows]) & (e < found[rows]))
@@ -87,10 +90,10 @@ class Tree:
         at = x[rows]
         to_left, to_right = self._bound(left, at), self._bound(right, at)
         near = to_left <= to_right
-        self._visit(left, rows[near], x, best, found)
-        self._visit(right, rows[~near], x, best, found)
-        self._visit(right, rows[near & (to_right <= best[rows])], x, best, found)
-        self._visit(left, rows[~near & (to_left <= best[rows])], x, best, found)
+        self._visit(left, rows[near], x, norms, best, found)
+        self._visit(right, rows[~near], x, norms, best, found)
+        self._visit(right, rows[near & (to_right <= best[rows])], x, norms, best, found)
+        self._visit(left, rows[~near & (to_left <= best[rows])], x, norms, best, found)
 
 
 @dataclass
