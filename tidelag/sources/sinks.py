@@ -62,6 +62,11 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_csv(df: DataFrame, path: str, order: Sequence) -> None:
+    """A report as CSV with a header, rows in order across its files; nulls are empty, texts are quoted where they must be."""
+    df.orderBy(*order).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def with_audit(df: DataFrame, source: str) -> DataFrame:
     """df with audit columns: where it came from and when."""
     return df.withColumn("_source", F.lit(source)).withColumn("_loaded_at", F.current_timestamp())

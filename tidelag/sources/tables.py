@@ -51,8 +51,8 @@ def latest_season(df: DataFrame, wanted: int, column: str = "season") -> DataFra
 
 
 def csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """CSV with a header under a given schema; rows that do not fit it give nulls."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """CSV with a header under a given schema; quotes inside quotes are doubled; values that do not fit it are null."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
 
 
 def envelopes(spark: SparkSession, path: str, records: str, schema: StructType | str) -> DataFrame:
