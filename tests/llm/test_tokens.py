@@ -90,3 +90,14 @@ def test_long_inputs(text):
     began = time.perf_counter()
     ids = e.encode([text])[0]
     assert time.perf_counter() - began < 20 and ids.tolist() == lib.encode(text) and e.decode(ids) == text
+
+
+def test_words_behind_runs_of_spaces_are_found_together():
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghijklmnopé", k=r.randint(2, 9))) for _ in range(16_000)]
+    e, began = pieces.Encoder(pieces.Pieces.read()), time.process_time()
+    long = e.encode(["  ".join(words)])[0]
+    assert time.process_time() - began < 10  # one by one they took over half a minute
+    texts = ["  ".join(words[:300]), "a   b  c d", "   lead  and trail   ", "x" * 300 + "  " + "y" * 50 + "   z", "é  🙂  🙂x   ▁  ▁▁ a", "  ", "a  "]
+    library = sentencepiece.SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
+    assert [x.tolist() for x in e.encode(texts)] == [library.encode(t) for t in texts] and long.tolist() == library.encode("  ".join(words))

@@ -378,22 +378,37 @@ class Encoder:
                 k += 1
             self._add(plain[:k], *self._encode_new(plain[:k]))
             plain = plain[k:]
-        for w in runs:  # pieces of repeated spaces share one rank, so their order of merging decides
-            head = len(w) - len(w.lstrip(SPACE))
-            row = self._merge_runs(w[:head], w[head:]) if SPACE * 2 not in w[head:] else self._merge_row(w)
-            row = np.array([row], dtype=np.int32).reshape(-1)
-            if (row < 0).any():
-                row, _ = self._spell(row, np.array([0, len(row)]))
-            self._add([w], row, np.array([0, len(row)]))
+        if runs:  # pieces of repeated spaces share one rank, so their order of merging decides
+            behind, rows = self._behind_spaces([w.lstrip(SPACE) for w in runs]), []
+            for w in runs:
+                word = w.lstrip(SPACE)
+                row = self._merge_runs(w[: len(w) - len(word)], word, behind) if SPACE * 2 not in word else self._merge_row(w)
+                row = np.array([row], dtype=np.int32).reshape(-1)
+                if (row < 0).any():
+                    row, _ = self._spell(row, np.array([0, len(row)]))
+                rows.append(row)
+            self._add(runs, np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+
+    def _behind_spaces(self, words: list[str]) -> dict[str, np.ndarray]:
+        """The ids of one space and each word that is not long, found for MATCH_CHARS letters of them at a time."""
+        short, out, k = sorted({w for w in words if w and len(w) <= LONG_WORD and SPACE * 2 not in w}), {}, 0
+        while k < len(short):
+            begin, size = k, 0
+            while k < len(short) and size < MATCH_CHARS:
+                size += len(short[k]) + 2
+                k += 1
+            ids, cuts = self._encode_new([SPACE + w for w in short[begin:k]])
+            out |= {w: ids[i:j] for w, i, j in zip(short[begin:k], cuts[:-1], cuts[1:], strict=True)}
+        return out
 
     def _merge_row(self, w: str) -> list[int]:
         return merge_plainly([self._ids.get(c, -ord(c) - 1) for c in w], self._merges)[0]
 
-    def _merge_runs(self, spaces: str, word: str) -> list[int]:
+    def _merge_runs(self, spaces: str, word: str, behind: dict[str, np.ndarray]) -> list[int]:
         """Only the last space can merge with the word; if it does so before the spaces merge, they go without it."""
         if not word:
             return self._merge_spaces(len(spaces))
-        out = self._encode_long(SPACE + word) if len(word) > LONG_WORD else self._encode_new([SPACE + word])[0]
+        out = behind[word] if word in behind else self._encode_long(SPACE + word)
         first = int(out[0])
         whole = out.tolist()
         if first == self._ids[SPACE]:
