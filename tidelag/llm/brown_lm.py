@@ -307,8 +307,8 @@ def exchange_words(coded: DataFrame, frequent, class_of, g: np.ndarray) -> np.nd
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for block, keys, n in zip(b["block"], b["keys"], b["n"], strict=True):
-                found = sums.setdefault(block, np.zeros(CONTEXT_WORDS * wide, dtype=np.int32))
-                found[np.frombuffer(keys, "<i4")] += np.frombuffer(n, "<i4")
+                found = sums.setdefault(block, np.zeros(CONTEXT_WORDS * wide, dtype=np.int64))
+                found[np.frombuffer(keys, "<i4")] += np.frombuffer(n, "<i4")  # a task's count fits; their sum need not
         for block, found in sums.items():
             table = found.reshape(CONTEXT_WORDS, wide).astype(float)
             old = class_of.value[block * CONTEXT_WORDS : min(words, (block + 1) * CONTEXT_WORDS)]
@@ -332,7 +332,7 @@ def exchange_words(coded: DataFrame, frequent, class_of, g: np.ndarray) -> np.nd
             yield pd.DataFrame({"block": [block], "classes": [new.astype("<i4").tobytes()]})
 
     out = class_of.value.copy()
-    for r in coded.where("learned").select("ids").mapInArrow(count, "block int, keys binary, n binary").repartition("block").mapInPandas(move, "block int, classes binary").toLocalIterator():
+    for r in coded.where("learned").select("ids").mapInArrow(count, "block int, keys binary, n binary").repartition(max(1, -(-words // CONTEXT_WORDS)), "block").mapInPandas(move, "block int, classes binary").toLocalIterator():
         x = np.frombuffer(r["classes"], "<i4")
         out[r["block"] * CONTEXT_WORDS : r["block"] * CONTEXT_WORDS + len(x)] = x
     return out
