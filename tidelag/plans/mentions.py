@@ -73,12 +73,16 @@ def _sql_pattern(rule: rules.Rule) -> str:
 
 _QUOTED = lambda s: "'" + s.replace("'", "''") + "'"
 _WAYS = " ".join(f"WHEN len(list_filter(w, lambda x: regexp_matches(x, {_QUOTED(_sql_pattern(r))}))) > 0 THEN {i}" for i, r in enumerate(rules.RULES))
+_ANY = "(?i)" + "|".join(_sql_pattern(r).removeprefix("(?i)") for r in rules.RULES)
 _SAID = ", ".join(f"({i}, '{r.category}', CAST({r.sentiment} AS DOUBLE), CAST({rules.DRAFT_CONFIDENCE if r.flags and set(r.flags) <= set(rules.DRAFT_FLAGS) else rules.CONFIDENCE} AS DOUBLE), '{';'.join(r.flags)}')" for i, r in enumerate(rules.RULES))
 
 
 @query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') || chr(10) || [{', '.join(n.replace(chr(10), "' || chr(10) || '") for n in map(_QUOTED, NEWS))}][CAST(doc_id % {len(NEWS)} + 1 AS INTEGER)] AS t FROM documents),
-n AS (SELECT doc_id, t, unnest(list_distinct(regexp_extract_all(t, {_QUOTED(rules.NAME)}, 1))) AS player_name FROM d),
-s AS (SELECT doc_id, player_name, regexp_extract_all(t, '[^.!?\n]{{0,{rules.REACH}}}' || regexp_escape(player_name) || '[^.!?\n]{{0,{rules.REACH}}}') AS w FROM n),
+m AS (SELECT doc_id, t, list_filter(str_split_regex(t, '[.!?\n]'), lambda x: regexp_matches(x, {_QUOTED(_ANY)})) AS told FROM d),
+e AS (SELECT doc_id, t, told, unnest(list_distinct(regexp_extract_all(t, {_QUOTED(rules.NAME)}, 1))) AS player_name FROM m WHERE len(told) > 0),
+n AS (SELECT * FROM e WHERE len(list_filter(told, lambda x: len(list_filter(str_split_regex(player_name, '\s'), lambda y: contains(x, y))) > 0)) > 0),
+q AS (SELECT doc_id, player_name, str_split(t, player_name) AS p FROM n),
+s AS (SELECT doc_id, player_name, list_transform(range(1, len(p)), lambda i: regexp_extract(right(p[i], {rules.REACH}), '[^.!?\n]*$') || player_name || regexp_extract(p[i + 1], '^[^.!?\n]{{0,{rules.REACH}}}')) AS w FROM q),
 h AS (SELECT doc_id, player_name, CASE {_WAYS} END AS rule FROM s), r(rule, category, sentiment, confidence, flags) AS (VALUES {_SAID})
 SELECT doc_id, player_name, category, sentiment, confidence, flags FROM h JOIN r USING (rule)""")
 def rule_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
