@@ -122,3 +122,22 @@ def decreasing_envelope(x: str, place: str, w: WindowSpec, step: float) -> Colum
     """Largest curve below x that falls by `step` or more at each place."""
     up = F.min(F.col(x) + F.col(place) * step).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return up - F.col(place) * step
+
+
+def lagged_median(x: str | Column, w: WindowSpec, n: int, min_periods: int = 1) -> Column:
+    """Median of the n rows before this one; every row sorts its frame anew, so n is a small number."""
+    x = F.col(x) if isinstance(x, str) else x
+    frame = w.rowsBetween(-n, -1)
+    return _guarded(F.percentile(x, 0.5).over(frame), F.count(x).over(frame), min_periods)
+
+
+def with_prior_median(df: DataFrame, x: str, keys: Sequence[str], time: str, n: int, name: str) -> DataFrame:
+    """df with `name`: median of x over all rows of the group whose time is one of the n before this row's.
+
+    A frame over the group's rows would sort them once a row, in one task. Here each value is counted once a
+    group and time, counts go to the n times after it, and a time's median is taken from counts.
+    """
+    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, time, x).agg(F.count("*").alias("__n"))
+    later = counts.withColumn(time, F.explode(F.sequence(F.col(time) + 1, F.col(time) + n)))
+    medians = later.groupBy(*keys, time).agg(F.percentile(x, 0.5, F.col("__n")).alias(name))
+    return df.join(medians, [*keys, time], "left")

@@ -7,7 +7,7 @@ import importlib
 from tidelag.plans.inputs import ORACLES, QUERIES
 
 #: Modules whose queries are registered by importing them.
-FAMILIES = ("teams", "players", "participation", "games", "rosters", "market", "rankings", "adjusters", "accuracy", "texts", "mentions", "checks", "streams", "models")
+FAMILIES = ("teams", "players", "participation", "games", "rosters", "market", "rankings", "adjusters", "accuracy", "texts", "mentions", "checks", "streams", "models", "prospects", "profiles")
 
 for family in FAMILIES:
     importlib.import_module(f"tidelag.plans.{family}")
