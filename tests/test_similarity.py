@@ -81,3 +81,19 @@ def test_empty(spark):
 def test_comparison_features(spark):
     comps = spark.createDataFrame([(1, 4.0, 8.0, 2), (1, 6.0, 10.0, 4), (1, None, None, 0), (2, None, None, 0)], "player_id long, comp_nfl_ppg double, comp_best_season_ppg double, comp_seasons_played long")
     assert [tuple(r) for r in S.comparison_features(comps).collect()] == [(1, 9.5, 8.5, 9.0, 0.5, 3.0)]
+
+
+@pytest.mark.parametrize("large", [0, S.LARGE_BLOCK])
+def test_places_are_not_broadcast(spark, large):
+    """A profile has many places, which the size of the classes' file does not tell; the driver holds none."""
+    c = S.stored(S.profile_classes(spark.createDataFrame(rows(), SCHEMA), members=1), "classes")
+    plan = S.pairs_within(c, c, 0.1, S.shared_masks(c, large))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+
+
+def test_tiles_leave_no_pair_out(spark, monkeypatch):
+    data = [r for r in rows() if r[0] is not None and r[1] is not None]
+    edges = lambda: {(e.a, e.b, e.similarity) for e in S.similarity_graph(spark.createDataFrame(data, SCHEMA), 0.9).collect()}
+    whole = edges()
+    monkeypatch.setattr(S, "TILE", 3)
+    assert whole and edges() == whole
