@@ -86,4 +86,4 @@ def quartile_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("region"))
     s = table(spark, sf_dir, "supplier").join(n, "s_nationkey")
     r = F.rank().over(Window.orderBy(F.desc("s_acctbal")))
-    return s.select("region", F.ntile(4).over(Window.orderBy("s_acctbal", "s_suppkey")).cast("long").alias("quartile"), "s_suppkey", (50 + F.floor((100 - r) * 49 / 99)).cast("long").alias("rating"))
+    return s.select("region", F.ntile(4).over(Window.orderBy("s_acctbal", "s_suppkey")).cast("long").alias("quartile"), "s_suppkey", (50 + F.call_function("div", (100 - r) * 49, F.lit(99))).cast("long").alias("rating"))
