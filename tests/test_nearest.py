@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidelag.plans import registry
+from tidelag.plans import players, registry
 
 
 def against_sql(spark, folder, name, table):
@@ -22,3 +22,12 @@ def test_knn_profile_of_equal_profiles(spark, tmp_path, prices):
     k = F.col("id")
     spark.range(1500).select(k.alias("p_partkey"), F.concat(F.lit("B"), (k % 2).cast("string")).alias("p_brand"), (k % 3).cast("int").alias("p_size"), (k * 7 % prices + 900.0).alias("p_retailprice")).write.parquet(str(tmp_path / "part.parquet"))
     against_sql(spark, tmp_path, "knn_profile", "part")
+
+
+@pytest.mark.parametrize("tile", [7, 10_000])
+def test_knn_cosine_in_tiles(spark, tmp_path, monkeypatch, tile):
+    monkeypatch.setattr(players, "VECTOR_TILE", tile)
+    k = F.col("id")
+    v = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: ((k % 40) * i * 7 % 11 - 4.5).cast("float"))
+    spark.range(160).select(k.alias("vec_id"), v.alias("embedding"), (k % 3).cast("int").alias("label")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    against_sql(spark, tmp_path, "knn_cosine", "embeddings")
