@@ -12,7 +12,8 @@ Equal sets are one node of the join. Large groups of near copies would still mak
 meet, so pairs are made in rounds that lose no link between different components: first each set meets
 three pivots of each of its prefix shingles, and again with other pivots while shingles are left on which
 many sets of different components meet and each round halves how many; then all those sets meet that
-share a prefix shingle and are in different components yet.
+share a prefix shingle and are in different components yet. The round of pivots comes first at any size of
+the table, so its entries meet their components once at least, however few the sets are.
 """
 
 from __future__ import annotations
@@ -243,7 +244,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     marks = sets.select("rep", "n", F.col("signature").alias("s"))
     joined, apart, tried, round_, last, before_pairs = None, stage(still_apart(found, None), "apart"), [], 0, False, None
     while (size := entries_and_pairs(apart))[1] and not last:
-        last = size[1] <= PAIRS_AN_ENTRY * size[0] or (before_pairs is not None and 2 * size[1] > before_pairs)
+        last = before_pairs is not None and (size[1] <= PAIRS_AN_ENTRY * size[0] or 2 * size[1] > before_pairs)
         if not last:
             pairs = _pivot_pairs(apart, marks, round_, percent)
         else:
