@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelag.functions import windows as W
@@ -108,12 +108,20 @@ def before_after_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT team, a, b, count(*) FILTER (season < 1999) AS n_train, count(*) FILTER (season >= 1999) AS n_hold, corr(ya, yb) FILTER (season < 1999) AS rho_train, corr(ya, yb) FILTER (season >= 1999) AS rho_hold FROM p GROUP BY ALL)
 SELECT team, a, b, CAST(n_train AS BIGINT) AS n_train, CAST(n_hold AS BIGINT) AS n_hold, round(rho_train + 1e-9, 6) AS rho_train, round(rho_hold + 1e-9, 6) AS rho_hold FROM r WHERE n_train >= 8 AND n_hold >= 4 AND rho_train * rho_hold > 0""")
 def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlation of pairs of slots of a team's week, kept where its sign holds on later seasons."""
+    """Correlation of pairs of slots of a team's week, kept where its sign holds on later seasons.
+
+    A correlation of 0 has no sign; summed in floating point it would get one, another in each order of rows. Products of
+    whole yards add up exactly, so whether it is 0 is told by them.
+    """
     k = plays(spark, sf_dir).groupBy(*T3, (F.col("player") % 4).alias("slot")).agg(F.sum("yards").alias("y"))
     a, b = (k.select(*T3, F.col("slot").alias(x), F.col("y").alias(f"y{x}")) for x in "ab")
     p = a.join(b, list(T3)).where("a < b")
     early = F.col("season") < 1999
-    corr = lambda c: F.corr(F.when(c, F.col("ya")), F.when(c, F.col("yb")))
+
+    def corr(c: Column) -> Column:
+        a, b = F.when(c, F.col("ya")), F.when(c, F.col("yb"))
+        return F.when(F.count_if(c) * F.sum(a * b) == F.sum(a) * F.sum(b), F.lit(0.0)).otherwise(F.corr(a, b))
+
     r = p.groupBy("team", "a", "b").agg(F.count_if(early).alias("n_train"), F.count_if(~early).alias("n_hold"), corr(early).alias("t"), corr(~early).alias("h"))
     return r.where("n_train >= 8 AND n_hold >= 4 AND t * h > 0").select("team", "a", "b", "n_train", "n_hold", fixed("t").alias("rho_train"), fixed("h").alias("rho_hold"))
 
