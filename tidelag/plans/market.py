@@ -102,9 +102,10 @@ z AS (SELECT *, (m - mean) / (0.3 * mean) AS z, 1 / (1 + 0.2316419 * abs((m - me
 q AS (SELECT p_size, mean, (1 - exp(-mean) - exp(-1 / (p_size % 5 + 1.0))) ** 2 + (1 - exp(-mean) * (1 + mean) - exp(-2 / (p_size % 5 + 1.0))) ** 2 + (1 - exp(-mean) * (1 + mean + mean * mean / 2) - exp(-3 / (p_size % 5 + 1.0))) ** 2 AS err FROM s, g WHERE mean <= 6), c AS (SELECT p_size, min_by(mean, err) AS scores FROM q GROUP BY p_size)
 SELECT p_partkey AS player, round(yards + 1e-9, 4) AS yards, round(yards_err + 1e-9, 6) AS yards_err, round(scores + 1e-9, 4) AS scores FROM part JOIN y ON part.p_size = y.p_size JOIN c ON part.p_size = c.p_size""")
 def ladder_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The means whose milestone chances fit best, of a normal stat and of a count; nothing is joined."""
+    """The means whose milestone chances fit best, of a normal stat and of a count; each different ladder is searched once."""
     size = F.col("p_size")
     yards = ladder_mean((10, 20, 40), [F.exp(-m / (size + 5.0)) for m in (F.lit(10.0), F.lit(20.0), F.lit(40.0))], 0.3)
     scores = ladder_mean((1, 2, 3), [F.exp(-m / (size % 5 + 1.0)) for m in (F.lit(1.0), F.lit(2.0), F.lit(3.0))])
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("player"), yards.alias("y"), scores.alias("s"))
-    return p.select("player", fixed("y.mean", 4).alias("yards"), fixed("y.err").alias("yards_err"), fixed("s.mean", 4).alias("scores"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("player"), "p_size")
+    fits = p.select("p_size").where("p_size IS NOT NULL").distinct().repartition("p_size").select("p_size", yards.alias("y"), scores.alias("s"))
+    return p.join(fits, "p_size").select("player", fixed("y.mean", 4).alias("yards"), fixed("y.err").alias("yards_err"), fixed("s.mean", 4).alias("scores"))
