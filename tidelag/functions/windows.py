@@ -83,6 +83,27 @@ def rank_average(w: WindowSpec, ties: WindowSpec) -> Column:
     return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2
 
 
+def with_rank_averages(df: DataFrame, keys: Sequence[str], names: dict[str, str], times: str | None = None) -> DataFrame:
+    """df with a column for each of names: rank_average() of its key among the rows of the group, nulls first.
+
+    times counts how often a row stands for itself. A window over rows would sort a whole group in one task. Here each
+    value is counted once a group; values are ranked in parts of one unit, and parts by their totals.
+    """
+    out, earlier = df, lambda w: F.coalesce(F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    for x, name in names.items():
+        whole = F.col(x).cast("double")
+        part = F.when(F.isnan(whole), F.lit(2**63 - 1)).otherwise(F.floor(whole))
+        counts = df.groupBy(*keys, x).agg((F.count("*") if times is None else F.sum(times)).alias("__c")).withColumn("__part", part)
+        totals = counts.groupBy(*keys, "__part").agg(F.sum("__c").alias("__c"))
+        renamed = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+        same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+        before = totals.select(*renamed, F.col("__part").alias("__p"), earlier(by(keys, ("__part",))).alias("__before"))
+        placed = counts.withColumn("__own", earlier(by((*keys, "__part"), (x,)))).join(before, [*same, F.col("__part").eqNullSafe(F.col("__p"))]).select(*keys, x, "__c", "__own", "__before")
+        ranks = placed.select(*renamed, F.col(x).alias("__x"), (F.col("__before") + F.col("__own") + (F.col("__c") + 1) / 2).alias(name))
+        out = out.join(ranks, [*same, F.col(x).eqNullSafe(F.col("__x"))]).select(*out.columns, name)
+    return out
+
+
 def rank_percent(w: WindowSpec, ties: WindowSpec, group: WindowSpec) -> Column:
     """Average rank over the group's size, 1 for the last."""
     return rank_average(w, ties) / F.count(F.lit(1)).over(group)

@@ -35,9 +35,7 @@ c AS (SELECT position, season, corr(ra, rp) AS rho FROM r GROUP BY ALL HAVING co
 def spearman_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation by position and season, averaged over seasons of ten rows or more."""
     a = errors(spark, sf_dir).groupBy("game", "position", "season").agg(F.avg("actual").alias("actual"), fixed(F.avg("projected")).alias("projected"))
-    g = Window.partitionBy("position", "season")
-    rank = lambda c: W.rank_average(g.orderBy(c), Window.partitionBy("position", "season", c))
-    r = a.select("position", "season", rank("actual").alias("ra"), rank("projected").alias("rp"))
+    r = W.with_rank_averages(a, ("position", "season"), {"actual": "ra", "projected": "rp"})
     c = r.groupBy("position", "season").agg(F.corr("ra", "rp").alias("rho"), F.count("*").alias("n")).where("n >= 10")
     return c.groupBy("position").agg(fixed(F.avg("rho")).alias("spearman"), F.count("*").alias("seasons"))
 
