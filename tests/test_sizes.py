@@ -21,7 +21,7 @@ def test_a_ladder_is_searched_once(spark):
     assert found.index("Join") < found.index("Aggregate [p_size")
 
 
-@pytest.mark.parametrize("name", ["spearman_group"])
+@pytest.mark.parametrize("name", ["spearman_group", "season_to_date_accuracy"])
 def test_no_window_over_the_rows_of_a_group(spark, name):
     windows = [line for line in plan(spark, name).splitlines() if "Window [" in line]
     assert not any("rank(" in line or "count(1) windowspec" in line for line in windows)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelag.functions import windows as W
-from tidelag.functions.scalars import clip, fixed
+from tidelag.functions.scalars import clip, correlation, fixed
 from tidelag.operators.joins import star
 from tidelag.plans.inputs import plays, query
 from tidelag.plans.rankings import boards
@@ -183,17 +183,17 @@ def cumulative_accuracy(matched: DataFrame, positions: tuple[str, ...]) -> DataF
     matched: season, week, position, ours, theirs (consensus), actual. Rows count in the graded weeks, with a consensus of
     LEAST_CONSENSUS at least, at one of the positions; weeks counts all graded weeks with any row. rank_gap is ours less theirs of the mean of
     weekly rank correlations with what happened, of weeks with LEAST_RANKED rows. The gate is one for the whole table: no larger error
-    overall, and no position whose rank_gap is below LEAST_RANK_GAP or unknown. Rows are aggregated by week first, so
-    what accumulates is a row a position and week.
+    overall, and no position whose rank_gap is below LEAST_RANK_GAP or unknown. Equal rows of a week are counted once and
+    ranked with their number; rows are aggregated by week first, so what accumulates is a row a position and week.
     """
     graded = matched.where(F.col("week").between(*GRADED_WEEKS))
     rows = graded.where((F.col("theirs") >= LEAST_CONSENSUS) & F.col("position").isin(*positions))
     key = ["season", "week", "position"]
-    ranked = lambda c: W.rank_average(Window.partitionBy(*key).orderBy(c), Window.partitionBy(*key, c)).alias(f"r_{c}")
-    r = rows.select(*key, "ours", "theirs", "actual", *map(ranked, ("ours", "theirs", "actual")))
-    enough = F.count("*") >= LEAST_RANKED
-    rho = lambda c: F.when(enough, F.corr(f"r_{c}", "r_actual")).alias(f"rho_{c}")
-    weekly = r.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.abs(F.col("ours") - F.col("actual"))).alias("e"), F.sum(F.abs(F.col("theirs") - F.col("actual"))).alias("f"), rho("ours"), rho("theirs"))
+    each = rows.groupBy(*key, "ours", "theirs", "actual").agg(F.count("*").alias("times"))
+    r = W.with_rank_averages(each, key, {c: f"r_{c}" for c in ("ours", "theirs", "actual")}, "times")
+    total = lambda c: F.sum(F.col("times") * c)
+    rho = lambda c: F.when(F.sum("times") >= LEAST_RANKED, correlation(f"r_{c}", "r_actual", "times")).alias(f"rho_{c}")
+    weekly = r.groupBy(*key).agg(F.sum("times").alias("n"), total(F.abs(F.col("ours") - F.col("actual"))).alias("e"), total(F.abs(F.col("theirs") - F.col("actual"))).alias("f"), rho("ours"), rho("theirs"))
     spine = graded.select("season", "week").distinct().withColumn("position", F.explode(F.array(*map(F.lit, positions))))
     w = Window.partitionBy("season", "position").orderBy("week").rowsBetween(Window.unboundedPreceding, 0)
     known = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
