@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelag.functions import windows as W
-from tidelag.plans import registry
+from tidelag.plans import models, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +34,10 @@ def test_rank_averages(spark):
     assert sorted(map(repr, W.with_rank_averages(df, ("g",), {"v": "r"}).collect())) == sorted(map(repr, want.collect()))
     counted = df.groupBy("g", "v").agg(F.count("*").alias("n"))
     assert sorted(map(repr, W.with_rank_averages(counted, ("g",), {"v": "r"}, "n").select("g", "v", "r").collect())) == sorted(map(repr, want.distinct().collect()))
+
+
+def test_features_are_stored_once(spark, monkeypatch):
+    seen = []
+    kept = models.stored
+    monkeypatch.setattr(models, "stored", lambda df, name: seen.append(name) or kept(df, name))
+    assert models.ridge_walk_forward(spark, SF).count() and seen == ["features"]
