@@ -77,3 +77,9 @@ def test_a_text_is_read_once_however_many_rules():
     many = [rules.Rule("general", 0.0, (), (f"{a}{b} word",)) for a in "abcdefghij" for b in "klmnopqrst"]
     pattern = rules.RuleBook(many).pattern
     assert len(pattern) < 2000 and re.search(pattern.replace("(?i)", ""), "it is cp word").group(1) == "cp word"
+
+
+def test_rules_read_windows_not_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "Zay Flowers is benched. Nobody was waived")], "doc_id int, text string").write.parquet(str(tmp_path / "docs"))
+    plan = rules.signals(spark.read.parquet(str(tmp_path / "docs")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("w(?:orkhorse") == 2  # once for windows, once for sentences with a word of the name

@@ -150,20 +150,21 @@ def signals(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Seq
     """
     book = RuleBook(rules)
     t = F.col(text)
-    # A sentence that a rule matches stands behind every signal, and the first or last word of the name in it.
-    told = F.filter(F.split(t, f"[{SENTENCE_END}]"), book.matches)
-    named = docs.select(key, t.alias("__t"), told.alias("__told")).where(F.size("__told") > 0)
-    named = named.select(key, "__t", "__told", F.explode(F.array_distinct(F.regexp_extract_all("__t", F.lit(NAME), 1))).alias("player_name"))
-    ends = F.split("player_name", r"\s")
-    near = F.exists("__told", lambda s: s.contains(F.get(ends, 0)) | s.contains(F.element_at(ends, -1)) | s.contains(F.get(ends, 1)))
-    named = named.where(near)
+    # A filter is pushed through a select and its patterns run a second time; it stays above the explode of an array of one.
+    once = lambda c, name: F.explode(F.array(c)).alias(name)
+    named = docs.select(key, t.alias("__t")).select(key, "__t", F.explode(F.array_distinct(F.regexp_extract_all("__t", F.lit(NAME), 1))).alias("player_name"))
     # What lies between the places of the name: the end of one part, the name and the beginning of the next are a window.
-    named = named.withColumn("__parts", F.split("__t", F.concat(F.lit(r"\Q"), "player_name", F.lit(r"\E"))))
+    named = named.select(key, "__t", "player_name", once(F.split("__t", F.concat(F.lit(r"\Q"), "player_name", F.lit(r"\E"))), "__parts"))
     part = lambda i: F.get("__parts", i)
     before = lambda p: F.reverse(F.regexp_extract(F.reverse(F.right(p, F.lit(REACH))), f"^[^{SENTENCE_END}]*", 0))
     after = lambda p: F.regexp_extract(p, f"^[^{SENTENCE_END}]{{0,{REACH}}}", 0)
     places = F.slice(F.sequence(F.lit(0), F.size("__parts")), 1, F.size("__parts") - 1)
-    windows = F.transform(places, lambda i: F.concat(before(part(i)), F.col("player_name"), after(part(i + 1))))
-    found = named.select(key, "player_name", F.array_min(F.transform(windows, book.first)).alias("__r")).where("__r IS NOT NULL")
+    windows = F.array_distinct(F.transform(places, lambda i: F.concat(before(part(i)), F.col("player_name"), after(part(i + 1)))))
+    found = named.select(key, "__t", "player_name", once(F.array_min(F.transform(windows, book.first)), "__r")).where("__r IS NOT NULL")
+    # A sentence that a rule matches stands behind every signal, and the first or last word of the name in it. Rules are
+    # what takes the time: they read windows and sentences with such words, not whole texts.
+    found = found.select("*", once(F.split("player_name", r"\s"), "__ends"))
+    holds = lambda s: s.contains(F.get("__ends", 0)) | s.contains(F.element_at("__ends", -1)) | s.contains(F.get("__ends", 1))
+    found = found.where(F.exists(F.split("__t", f"[{SENTENCE_END}]"), lambda s: holds(s) & book.matches(s)))
     said = F.element_at(F.array(*[F.struct(F.lit(r.category).alias("category"), F.lit(r.sentiment).alias("sentiment"), F.lit(DRAFT_CONFIDENCE if r.flags and set(r.flags) <= set(DRAFT_FLAGS) else CONFIDENCE).alias("confidence"), F.array(*[F.lit(f) for f in r.flags]).cast("array<string>").alias("flags")) for r in book.rules]), F.col("__r") + 1)
     return found.select(key, "player_name", said.alias("__s")).select(key, "player_name", "__s.*")
