@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import random
 from collections import Counter
 
 import pandas as pd
@@ -135,3 +136,13 @@ def test_lines_ladders_and_key_numbers(spark):
     assert got["mean"] == pytest.approx(7.25, abs=0.02)
     moves = spark.createDataFrame([(-2.5, -3.5), (3.0, 3.5), (-7.0, -6.5), (2.0, 2.5)], "a double, b double")
     assert [r[0] for r in moves.select(S.crosses(F.abs("a"), F.abs("b"), (3, 7, 10))).collect()] == [True, False, True, False]
+
+
+def test_fuzzy_pairs_of_frequent_tokens_are_those_of_brute_force(spark):
+    rng = random.Random(5)
+    sets = [(i, rng.sample("abcdefghijklmnopqrstuvwxyz", rng.choice([1, 2, 3, 4, 5, 8, 14, 16, 17, 20, 22]))) for i in range(300)]
+    sets += [(1000 + i, [t for t in s if rng.random() > 0.08] + ["zz"] * (i % 3 == 0)) for i, s in sets]
+    df = spark.createDataFrame(sets, "id int, tokens array<string>")
+    for least in (0.7, 0.8, 1.0):
+        got = {(r["ida"], r["idb"]) for r in fuzzy_by_token(df, df, "tokens", least).collect()}
+        assert got == {(i, j) for i, a in sets for j, b in sets if a and b and len({*a} & {*b}) >= least * len({*a} | {*b}) - 1e-12}

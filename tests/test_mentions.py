@@ -83,3 +83,10 @@ def test_rules_read_windows_not_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "Zay Flowers is benched. Nobody was waived")], "doc_id int, text string").write.parquet(str(tmp_path / "docs"))
     plan = rules.signals(spark.read.parquet(str(tmp_path / "docs")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("w(?:orkhorse") == 2  # once for windows, once for sentences with a word of the name
+
+
+def test_a_mention_is_made_normal_once(spark, tmp_path):
+    spark.createDataFrame([(1, "Mike Williams", "SF", "WR")], "i int, name string, team string, position string").write.parquet(str(tmp_path / "m"))
+    spark.createDataFrame([("p1", "mike williams", "SF", "WR", 2024)], "id string, name string, team string, position string, season long").write.parquet(str(tmp_path / "x"))
+    resolved = names.resolve(spark.read.parquet(str(tmp_path / "m")), spark.read.parquet(str(tmp_path / "x")))
+    assert resolved._jdf.queryExecution().executedPlan().toString().count("(jr|sr|ii|iii|iv|v)$") == 1

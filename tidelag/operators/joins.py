@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Token sets up to this size are looked up by three tokens at once where the similarity allows it.
+TRIPLES = 16
+
+
 def both_sides(games: DataFrame, shared: Sequence[str], pairs: dict[str, tuple[str, str]], flag: str = "is_home") -> DataFrame:
     """Two rows per game: pairs maps a column to its home and away columns, which swap for the second row.
 
@@ -78,7 +84,9 @@ def fuzzy_by_token(left: DataFrame, right: DataFrame, tokens: str, least: float)
     """Pairs whose token sets reach a Jaccard similarity, each once.
 
     left and right have `id` and an array `tokens`. Only pairs that share one of the rarest tokens meet:
-    a set of n tokens is looked up by its n - ceil(least * n) + 1 rarest, which loses no pair.
+    a set of n tokens is looked up by its n - ceil(least * n) + 1 rarest, which loses no pair. Above a similarity
+    of two thirds, sets of at most TRIPLES tokens share three of their n - ceil(least * n) + 3 rarest, or are equal sets of
+    one or two tokens, so they meet by three at once: where all tokens are frequent, few pairs are made.
     """
     from tidelag.functions.scalars import token_jaccard
 
@@ -88,9 +96,22 @@ def fuzzy_by_token(left: DataFrame, right: DataFrame, tokens: str, least: float)
 
     def prefix(d: DataFrame, x: str) -> DataFrame:
         e = d.select(f"id{x}", F.size(f"t{x}").alias("n"), F.explode(f"t{x}").alias("token")).join(freq, "token")
+        if 3 * least > 2:
+            return threes(e, x)
         place = F.row_number().over(Window.partitionBy(f"id{x}").orderBy("c", "token"))
         return e.withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select(f"id{x}", "token", F.col("n").alias(f"n{x}"))
 
+    def threes(e: DataFrame, x: str) -> DataFrame:
+        """Hashes of three tokens as `token`; sets that may meet one of more than TRIPLES tokens give single ones, too."""
+        sets = e.groupBy(f"id{x}", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("s"))
+        spare = F.col("n") - F.ceil(F.lit(least) * F.col("n"))
+        head = lambda k: F.slice("s.token", 1, (spare + k).cast("int"))
+        most = max(n - math.ceil(least * n) for n in range(1, TRIPLES + 1)) + 3
+        three = [F.when((F.lit(t == (0, 1, 2)) | (F.size("h") > t[2])) & (F.col("n") <= TRIPLES), F.xxhash64(*[F.get("h", i) for i in t])) for t in combinations(range(most), 3)]
+        one = F.when(F.col("n") >= least * (TRIPLES + 1), F.transform(head(1), lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+        keys = sets.select(f"id{x}", "n", head(3).alias("h"), one.alias("o")).select(f"id{x}", "n", F.explode(F.array_distinct(F.concat(F.array_compact(F.array(*three)), "o"))).alias("token"))
+        return keys.withColumnRenamed("n", f"n{x}")
+
     pa, pb = prefix(l, "a"), prefix(r, "b")
     sized = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
     met = pa.join(pb, "token").where(sized).select("ida", "idb").distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelag.operators.joins import fuzzy_by_token
+from tidelag.sources.sinks import stored
 
 #: Generational suffixes, as they stand behind a name.
 SUFFIXES = ("jr.", "jr", "sr.", "sr", "ii", "iii", "iv", "v")
@@ -94,8 +95,10 @@ def resolve(mentions: DataFrame, index: DataFrame, name: str = "name", team: str
     normal = _nicknamed(resolver_name(F.col(name)), nicknames)
     hint = lambda c: F.upper(F.col(c)) if c is not None else F.lit(None).cast("string")
     blank_to_null = lambda c: F.nullif(c, F.lit(""))
-    marked = mentions.withColumns({"__n": F.when(F.length(F.trim(name)) > 0, normal), "__t": blank_to_null(hint(team)), "__p": blank_to_null(hint(position))})
-    asked = marked.where("__n IS NOT NULL").select("__n", "__t", "__p").distinct()
+    # Normal names cost several patterns: the explode of an array of one keeps filters from writing them a second time, and
+    # what is asked is stored, as five steps read it.
+    marked = mentions.select("*", F.explode(F.array(F.when(F.length(F.trim(name)) > 0, normal))).alias("__n"), blank_to_null(hint(team)).alias("__t"), blank_to_null(hint(position)).alias("__p"))
+    asked = stored(marked.where("__n IS NOT NULL").select("__n", "__t", "__p").distinct(), "asked")
     names, known = asked.select(F.col("__n").alias("name")).distinct(), index.select("name").distinct()
     exact = names.join(known, "name", "left_semi").select("name", F.col("name").alias("as"))
     tokens = F.filter(F.split("name", " "), lambda t: t != "")
