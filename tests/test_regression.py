@@ -1,6 +1,7 @@
 """Fits on aggregated sums against numpy on the rows, and what share of held-out rows the lines hold."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,15 @@ def test_small_tables(table):
     f = R.bayesian_folds(flat, NAMES, "y")[-1]
     assert abs(f.weights["w"][0]) < 1e-9 and abs(f.weights["w"][1]) < 1e-9
     assert R.with_intervals(flat, [f], NAMES).where("mean IS NULL OR std IS NULL").count() == 0
+
+
+def test_a_task_of_a_quantile_step_hands_on_one_row_a_line():
+    fold = R.Fold(2003, np.array([5.0]), np.array([1.0]), np.array([2.0]), {})
+    rows = pa.RecordBatch.from_arrays([pa.array([2001, 2002, 2003]), pa.array([1.0, 2.0, 3.0]), pa.array([None, 3.0, 9.0])], names=["s", "y", "x0"])
+    got = list(R._pinball_sums([(fold, [(0.1, np.array([0.5, 0.0]), 0.5), (0.9, np.zeros(2), 1.0)])])(iter([rows] * 3)))
+    assert [b.num_rows for b in got] == [2] and got[0].column("q").to_pylist() == [0.1, 0.9]
+    x, y = np.array([[1.0, 2.0], [1.0, 1.0]]), np.array([1.0, 2.0])
+    w = 1 / (0.5 + np.abs(y - 0.5))
+    want = np.concatenate([(x.T * w @ x).ravel(), x.T @ (w * y), x.sum(axis=0)]) * 3
+    assert np.allclose([got[0].column(f"v{i}")[0].as_py() for i in range(8)], want)
+    assert list(R._pinball_sums([(fold, [(0.1, np.zeros(2), 1.0)])])(iter([]))) == []

@@ -6,10 +6,11 @@ matrix a season, fold or quantile; rows are read once for all Bayesian fits, and
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,12 +152,43 @@ def with_intervals(df: DataFrame, folds: Sequence[Fold], features: Sequence[str]
     return out.select(*kept, mean.alias("mean"), std.alias("std"), (mean - TENTH * std).alias("floor"), (mean + TENTH * std).alias("ceiling"))
 
 
+def _pinball_sums(asked: list[tuple[Fold, list[tuple[float, np.ndarray, float]]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's sums of a step of quantile fits: for each fold and its (quantile, line, least residual) one row of sums.
+
+    Sums are of w x x', w y x and x over rows of earlier seasons, w being 1 over the size of the residual.
+    """
+    plain = [(f.season, f.median, f.mean, f.scale, lines) for f, lines in asked]  # workers need no class of this module
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, float], np.ndarray] = {}
+        for batch in batches:
+            s, y, *cells = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            gaps = [c.is_null().to_numpy(zero_copy_only=False) for c in batch.columns[2:]]
+            for season, median, mean, scale, lines in plain:
+                past = s < season
+                if not past.any():
+                    continue
+                x = np.column_stack([np.ones(len(s)), *[(np.where(g, m, c) - a) / d if np.isfinite(d) else np.zeros(len(s)) for c, g, m, a, d in zip(cells, gaps, median, mean, scale, strict=True)]])[past]
+                own = y[past]
+                for q, line, least in lines:
+                    w = 1 / (least + np.abs(own - x @ line))
+                    part = np.concatenate([(x.T @ (x * w[:, None])).ravel(), x.T @ (w * own), x.sum(axis=0)])
+                    found[season, q] = found.get((season, q), 0.0) + part
+        if found:
+            folds, qs = zip(*found, strict=True)
+            values = np.array(list(found.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(folds, pa.int64()), pa.array(qs, pa.float64()), *map(pa.array, values.T)], names=["fold", "q", *[f"v{i}" for i in range(values.shape[1])]])
+
+    return sums
+
+
 def quantile_folds(df: DataFrame, features: Sequence[str], label: str, quantiles: Sequence[float] = (0.1, 0.5, 0.9), season: str = "season", steps: int = 60, tolerance: float = 1e-4) -> list[Fold]:
     """For each season but the first, linear quantile fits on all rows of earlier seasons with a label.
 
     The pinball loss is lowered by reweighted least squares: a row weighs 1 over the size of its residual, and each
-    step's sums, of all folds and quantiles at once, are one aggregation over the rows, which should be a stored
-    table. Ends when no line moves by more than the tolerance, in deviations of the label, or after `steps`.
+    step's sums, of all folds and quantiles at once, are one pass over the rows, which should be a stored table; a
+    task adds them up in arrays and hands on one small row a line. Ends when no line moves by more than the
+    tolerance, in deviations of the label, or after `steps`.
     """
     folds = bayesian_folds(df, features, label, season)
     if not folds:
@@ -164,20 +196,17 @@ def quantile_folds(df: DataFrame, features: Sequence[str], label: str, quantiles
     k = len(features) + 1
     lines = {(f.season, q): np.concatenate([[f.weights["base"] + TENTH * np.sqrt(f.weights["noise"]) * np.sign(q - 0.5)], f.weights["w"]]) for f in folds for q in quantiles}
     spread = {f.season: max(np.sqrt(f.weights["noise"]), 1e-12) for f in folds}
-    rows = df.where(F.col(label).isNotNull() & F.col(season).isNotNull())
-    own = F.array(*[F.struct(F.lit(f.season).alias("fold"), F.array(F.lit(1.0), *_scaled(features, f)).alias("x")) for f in folds])
-    each = rows.select(F.col(season).alias("__s"), F.col(label).cast("double").alias("y"), F.explode(own).alias("f")).where("__s < f.fold").select("y", "f.fold", "f.x")
+    known = df.where(F.col(label).isNotNull() & F.col(season).isNotNull())
+    rows = known.select(F.col(season).cast("long").alias("s"), F.col(label).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
+    size = k * k + 2 * k
+    schema, totals = "fold long, q double, " + ", ".join(f"v{i} double" for i in range(size)), [F.sum(f"v{i}").alias(f"v{i}") for i in range(size)]
     open_lines = set(lines)
     for _ in range(steps):
-        params = F.array(*[F.struct(F.lit(s).alias("fold"), F.lit(float(q)).alias("q"), F.lit(float(SMOOTH * spread[s])).alias("least"), F.array(*[F.lit(float(v)) for v in lines[s, q]]).alias("b")) for s, q in sorted(open_lines)])
-        wide = each.withColumn("p", F.explode(F.filter(params, lambda p: p["fold"] == F.col("fold"))))
-        fit = sum((F.col("x")[i] * F.col("p.b")[i] for i in range(k)), F.lit(0.0))
-        weighed = wide.select("fold", "p.q", "y", *[F.col("x")[i].alias(f"x{i}") for i in range(k)], (1 / (F.col("p.least") + F.abs(F.col("y") - fit))).alias("w"))
-        sums = [F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
-        sums += [F.sum(F.col("w") * F.col("y") * F.col(f"x{i}")).alias(f"y{i}") for i in range(k)] + [F.sum(f"x{i}").alias(f"x{i}") for i in range(k)]
-        for r in weighed.groupBy("fold", "q").agg(*sums).collect():  # one small matrix a line
-            gram = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-            right = np.array([r[f"y{i}"] + (2 * r["q"] - 1) * r[f"x{i}"] for i in range(k)])
+        asked = [(f, [(q, lines[f.season, q], SMOOTH * spread[f.season]) for q in quantiles if (f.season, q) in open_lines]) for f in folds]
+        parts = rows.mapInArrow(_pinball_sums([(f, qs) for f, qs in asked if qs]), schema)
+        for r in parts.groupBy("fold", "q").agg(*totals).collect():  # one small matrix a line
+            v = np.array(r[2:])
+            gram, right = v[: k * k].reshape(k, k), v[k * k : k * k + k] + (2 * r["q"] - 1) * v[k * k + k :]
             new = np.linalg.lstsq(gram, right, rcond=1e-10)[0]
             at = (r["fold"], r["q"])
             if np.abs(new - lines[at]).max() < tolerance * spread[r["fold"]]:
