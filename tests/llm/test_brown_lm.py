@@ -88,3 +88,48 @@ def test_words_move_to_the_class_of_their_kind(spark):
     after = brown_lm.exchange_words(coded, frequent, of, g.astype(float))
     right = [c == (0 if w.startswith(b"noun") else 1) for w, c in zip(words, after, strict=False)]
     assert np.mean(right) > 0.97 and after[-1] == 3
+
+
+@pytest.mark.parametrize("gathered", [50, 4_000_000])
+def test_words_move_at_once_as_one_by_one(monkeypatch, gathered):
+    monkeypatch.setattr(brown_lm, "GATHERED", gathered)
+    r = np.random.default_rng(5)
+    k, words = 9, 120
+    p = 1 / np.arange(1, words + 1)
+    row = np.repeat(r.choice(words, 4000, p=p / p.sum()), r.integers(1, 3, 4000))  # some follow themselves
+    of = np.array([*r.integers(0, k - 1, words - 1), k - 1, 0])  # the last word is the end, one more never occurs
+    g, table = np.zeros((k, k)), np.zeros((words + 1, 2 * k + 1), dtype=np.int64)
+    np.add.at(g, (of[row[:-1]], of[row[1:]]), 1)
+    np.add.at(table, (row[:-1], of[row[1:]]), 1)
+    np.add.at(table, (row[1:], k + of[row[:-1]]), 1)
+    np.add.at(table, (row[:-1][row[:-1] == row[1:]], 2 * k), 1)
+    want = []
+    for t, a in zip(table.astype(float), of.tolist(), strict=True):
+        to, fro, own, left = t[:k].copy(), t[k : 2 * k].copy(), t[-1], g.copy()
+        to[a] -= own
+        fro[a] -= own
+        left[a] -= to
+        left[:, a] -= fro
+        left[a, a] -= own
+        gain = brown_lm.gains(left, to, fro, own, to.sum() + own, fro.sum() + own)
+        gain[k - 1] = -np.inf
+        want.append(int(np.argmax(gain)) if gain.max() > gain[a] + 1e-9 else a)
+    got = brown_lm.best_classes(table, of, g)
+    assert got.tolist() == want and (got != of).sum() > 60
+
+
+def test_blocks_of_words_move_in_one_job(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "CONTEXT_WORDS", 32)
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    frequent = spark.sparkContext.broadcast(brown_lm.frequent_words(brown_lm.word_counts(docs, "text")))
+    coded = brown_lm.encoded(docs, "doc_id", "text", frequent).withColumn("learned", F.lit(True)).cache()
+    of = spark.sparkContext.broadcast(np.array([i % 3 for i in range(len(frequent.value.place) + brown_lm.SPELLINGS)] + [3]))
+    g = brown_lm.neighbours(coded, of, frequent.value.end, 4)
+    assert len(frequent.value.place) > 20 * 32
+    try:
+        spark.sparkContext.setJobGroup("moves", "moves")
+        brown_lm.exchange_words(coded, frequent, of, g.astype(float))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("moves")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 3  # the shuffle's stages, not one a block

@@ -43,8 +43,10 @@ HELD_WORDS = 500_000
 #: Words in one batch that it hands on, and words whose contexts are added up together.
 HANDED_WORDS = 50_000
 CONTEXT_WORDS = 2048
-#: Contexts that a task holds before it adds them up.
-HELD_CONTEXTS = 4_000_000
+#: Contexts that a task holds before it adds them up and hands them on.
+HELD_CONTEXTS = 2_000_000
+#: Numbers that are gathered at once to add up what words gain.
+GATHERED = 500_000
 #: Documents whose ids a task works on at once.
 SLICE = 1000
 END = TOP_WORDS + SPELLINGS
@@ -267,72 +269,113 @@ def exchange(n: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarray:
     return place
 
 
+def _joined(g: np.ndarray, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each word and class, what the class's row of g gains if the word's counts are added to it.
+
+    Only counts above 0 are looked at, in runs of words; a run takes the logarithms of equal ones in a column once.
+    """
+    k, most = len(g), int(counts.max(initial=0)) + 1
+    out = np.zeros((len(counts), k))
+    w, j = np.nonzero(counts)
+    pairs, ends = j * most + counts[w, j], np.searchsorted(w, np.arange(len(counts) + 1))
+    for lo, hi in _runs(ends, max(1, GATHERED // k)):
+        own = lo + np.flatnonzero(np.diff(ends[lo : hi + 1]))
+        if len(own):
+            found, place = np.unique(pairs[ends[lo] : ends[hi]], return_inverse=True)
+            of = found // most
+            gain = np.ascontiguousarray((_h(g[:, of] + found % most) - h[:, of]).T)
+            out[own] = np.add.reduceat(gain[place], ends[own] - ends[lo])
+    return out
+
+
+def _runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs lo, hi of rows that have at most `most` entries together, or are one row; row i has ends[i] to ends[i + 1]."""
+    lo, n = 0, len(ends) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, side="right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def best_classes(table: np.ndarray, old: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The class that each word moves to by gains(), all words on one state; ties go to the lowest, none leaves for no gain.
+
+    A row of table has a word's counts before each class, after each class and before itself; old has the
+    words' classes and g the counts of neighbouring classes with them. Taking a word out of its class
+    changes one row and one column of g, so the rest is worked out for all words at once.
+    """
+    k, i = len(g), np.arange(len(old))
+    to, fro, own = table[:, :k].copy(), table[:, k : 2 * k].copy(), table[:, -1]
+    to[i, old] -= own
+    fro[i, old] -= own
+    d, total, out, into = np.arange(k), own + to[i, old] + fro[i, old], to.sum(1) + own, fro.sum(1) + own
+    diag = np.tile(g[d, d], (len(old), 1))
+    diag[i, old] -= total
+
+    def side(g: np.ndarray, to: np.ndarray, fro: np.ndarray, out: np.ndarray) -> np.ndarray:
+        gain = _joined(g, _h(g), to)
+        entry, there = g[:, old].T, to[i, old][:, None]  # what other classes have before the word's own
+        gain += _h(entry - fro + there) - _h(entry - fro) - _h(entry + there) + _h(entry)
+        left = g[old] - to  # the word's own class without it
+        left[i, old] = diag[i, old]
+        gain[i, old] = (_h(left + to) - _h(left)).sum(1)
+        sums = g.sum(1) - fro
+        sums[i, old] -= out
+        return gain - _h(sums + out[:, None]) + _h(sums)
+
+    gain = side(g, to, fro, out) + side(g.T, fro, to, into)
+    gain += _h(diag + to + fro + own[:, None]) - _h(diag + to) - _h(diag + fro) + _h(diag)
+    gain[:, k - 1] = -np.inf
+    best = gain.argmax(1)
+    return np.where((out + into > 0) & (gain[i, best] > gain[i, old] + 1e-9), best, old)
+
+
 def exchange_words(coded: DataFrame, frequent, class_of, g: np.ndarray) -> np.ndarray:
     """The class that each frequent word moves to, given everybody's class; ties go to the lowest, none leaves for no gain.
 
     class_of, broadcast, has the class of each id, and g the counts of neighbouring classes under it. The
     words' contexts are counted in tasks as sparse pairs, added up in blocks of CONTEXT_WORDS words, and
     each block's words are moved where they are: all at once, so on one state of the classes. What comes
-    to the driver is a number for each frequent word.
+    to the driver, from all blocks in one job, is a number for each frequent word.
     """
     classes, words, end = len(g), len(frequent.value.place), frequent.value.end
     wide = 2 * classes + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, held, size, total = class_of.value, [], 0, (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        of, held, size, small = class_of.value, [], 0, np.min_scalar_type(words * wide)
 
-        def added() -> tuple[np.ndarray, np.ndarray]:
-            keys, n = np.unique(np.concatenate(held), return_counts=True) if held else total
-            both = np.concatenate([total[0], keys])
-            keys, place = np.unique(both, return_inverse=True)
-            return keys, np.bincount(place, np.concatenate([total[1], n]), minlength=len(keys)).astype(np.int64)
+        def handed() -> Iterator[pa.RecordBatch]:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(keys, np.arange(0, words + CONTEXT_WORDS, CONTEXT_WORDS) * wide)
+            for i, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                if lo < hi:
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "keys": pa.array([(keys[lo:hi] - i * CONTEXT_WORDS * wide).astype("<i4").tobytes()], pa.binary()), "n": pa.array([n[lo:hi].astype("<i4").tobytes()], pa.binary())})
 
         for b in _slices(batches):
             x = _sequence(b.column(0), end)
             c, at = of[x], np.flatnonzero(x < words)
             w = x[at] * wide
-            held += [w + c[at + 1], w + classes + c[at - 1], w[x[at] == x[at + 1]] + 2 * classes]
+            held += [k.astype(small) for k in (w + c[at + 1], w + classes + c[at - 1], w[x[at] == x[at + 1]] + 2 * classes)]
             size += 2 * len(at)
             if size > HELD_CONTEXTS:
-                total, held, size = added(), [], 0
+                yield from handed()
+                held, size = [], 0
         if held:
-            total = added()
-        keys, n = total
-        cuts = np.searchsorted(keys, np.arange(0, words + CONTEXT_WORDS, CONTEXT_WORDS) * wide)
-        for i, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            if lo < hi:
-                yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "keys": pa.array([(keys[lo:hi] - i * CONTEXT_WORDS * wide).astype("<i4").tobytes()], pa.binary()), "n": pa.array([n[lo:hi].astype("<i4").tobytes()], pa.binary())})
+            yield from handed()
 
     def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for block, keys, n in zip(b["block"], b["keys"], b["n"], strict=True):
                 found = sums.setdefault(block, np.zeros(CONTEXT_WORDS * wide, dtype=np.int64))
-                found[np.frombuffer(keys, "<i4")] += np.frombuffer(n, "<i4")  # a task's count fits; their sum need not
+                found[np.frombuffer(keys, "<i4")] += np.frombuffer(n, "<i4")  # what is handed on at once fits; its sum need not
         for block, found in sums.items():
-            table = found.reshape(CONTEXT_WORDS, wide).astype(float)
             old = class_of.value[block * CONTEXT_WORDS : min(words, (block + 1) * CONTEXT_WORDS)]
-            new = old.copy()
-            for i, a in enumerate(old.tolist()):
-                to, fro, own = table[i, :classes], table[i, classes : 2 * classes], table[i, -1]
-                if not to.any() and not fro.any():
-                    continue
-                to[a] -= own
-                fro[a] -= own
-                g[a] -= to
-                g[:, a] -= fro
-                g[a, a] -= own
-                gain = gains(g, to, fro, own, to.sum() + own, fro.sum() + own)
-                gain[classes - 1] = -np.inf
-                c = int(np.argmax(gain))
-                new[i] = c if gain[c] > gain[a] + 1e-9 else a
-                g[a] += to
-                g[:, a] += fro
-                g[a, a] += own
+            new = best_classes(found.reshape(CONTEXT_WORDS, wide)[: len(old)], old, g)
             yield pd.DataFrame({"block": [block], "classes": [new.astype("<i4").tobytes()]})
 
     out = class_of.value.copy()
-    for r in coded.where("learned").select("ids").mapInArrow(count, "block int, keys binary, n binary").repartition(max(1, -(-words // CONTEXT_WORDS)), "block").mapInPandas(move, "block int, classes binary").toLocalIterator():
+    for r in coded.where("learned").select("ids").mapInArrow(count, "block int, keys binary, n binary").repartition(max(1, -(-words // CONTEXT_WORDS)), "block").mapInPandas(move, "block int, classes binary").collect():
         x = np.frombuffer(r["classes"], "<i4")
         out[r["block"] * CONTEXT_WORDS : r["block"] * CONTEXT_WORDS + len(x)] = x
     return out
@@ -412,22 +455,23 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_words(counts))
     coded = stage(encoded(docs, key, text, frequent), "coded")
     model = train(counts, coded, frequent, types)
+    frequent_counts = docs.sparkSession.sparkContext.broadcast(frequent.value.count)  # without the words, which only encoded() looks up
     shape = "rid long, key long, n_tokens long, n_known long, base double, own double, classes array<int>, words array<string>"
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, share = frequent.value, model.share()
-        n = len(f.place)
-        own_logs, base_logs = np.log10(f.count - DISCOUNT) + share[model.classes[:n]], np.log10(f.count + 1.0)
+        f, share = frequent_counts.value, model.share()
+        n, end = len(f), len(f) + SPELLINGS
+        own_logs, base_logs = np.log10(f - DISCOUNT) + share[model.classes[:n]], np.log10(f + 1.0)
         for b in _slices(batches):
             lists = b.column(2)
-            x = _sequence(lists, f.end)
+            x = _sequence(lists, end)
             sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
             doc = np.repeat(np.arange(len(b)), sizes + 1)
             c = model.classes[x]
             moves = np.bincount(doc, model.bigram[c[:-1], c[1:]], minlength=len(b))
             seen, w = x[1:] < n, x[1:]
             sums = lambda logs: np.bincount(doc[seen], logs[w[seen]], minlength=len(b))  # noqa: B023, E731
-            rare = (w >= n) & (w != f.end)
+            rare = (w >= n) & (w != end)
             cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(b)))])
             arrays = [
                 b.column(0), b.column(1), pa.array((sizes + 1).astype(np.int64)), pa.array(np.bincount(doc[seen], minlength=len(b)).astype(np.int64)), pa.array(sums(base_logs).astype(float)), pa.array((moves + sums(own_logs)).astype(float)),
