@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelag.functions import windows as W
+from tidelag.operators import joins
 from tidelag.plans import models, registry
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,14 @@ def test_features_are_stored_once(spark, monkeypatch):
     kept = models.stored
     monkeypatch.setattr(models, "stored", lambda df, name: seen.append(name) or kept(df, name))
     assert models.ridge_walk_forward(spark, SF).count() and seen == ["features"]
+
+
+@pytest.mark.parametrize("name", ["drive_two_level", "possession_max_sum"])
+def test_drives_are_dealt_before_they_are_added_up(spark, monkeypatch, name):
+    monkeypatch.setattr(joins, "DEALT_ROWS", 100)
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    q = registry.QUERIES[name](spark, SF)
+    found = q._jdf.queryExecution().executedPlan().toString()
+    assert found.count("Exchange ") == 1 and f"{-(-rows // 100)})" in found[found.index("Exchange ") :].splitlines()[0].replace(",", ")")
+    lines = found.splitlines()
+    assert max(i for i, line in enumerate(lines) if "HashAggregate" in line) < next(i for i, line in enumerate(lines) if "Exchange " in line)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Token sets up to this size are looked up by three tokens at once where the similarity allows it.
 TRIPLES = 16
+#: Rows that dealt() gives to a task, about.
+DEALT_ROWS = 500_000
 
 
 def both_sides(games: DataFrame, shared: Sequence[str], pairs: dict[str, tuple[str, str]], flag: str = "is_home") -> DataFrame:
@@ -23,6 +25,17 @@ def both_sides(games: DataFrame, shared: Sequence[str], pairs: dict[str, tuple[s
     return games.select(*shared, F.explode(F.array(side(0), side(1))).alias("__s")).select(*shared, "__s.*")
 
 
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df dealt out by keys, as many tasks as its rows need: for sums over groups that are nearly as many as the rows.
+
+    The tasks that read add nothing up then, and those behind the shuffle hold about DEALT_ROWS rows at any
+    size. A sum by keys and more columns, and one by keys over it, need no further shuffle. Rows are
+    counted first, which Parquet's footers tell.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // DEALT_ROWS))
+    return df.repartition(tasks, *keys)
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, values: Sequence[str], strict: bool = True) -> DataFrame:
     """left with the values of the latest right row before left_time (at it too for strict=False), else nulls.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelag.functions import windows as W
 from tidelag.functions.scalars import bucket, fixed, ratio
+from tidelag.operators.joins import dealt
 from tidelag.plans.inputs import plays, query
 
 T3 = ("team", "season", "week")
@@ -56,14 +57,14 @@ def bucket_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT team, season, week, count(*) AS drives, round(avg(n) + 1e-9, 6) AS plays_per_drive, round(avg(yards) + 1e-9, 4) AS yards_per_drive, round(avg(scored) + 1e-9, 6) AS scoring_rate FROM d GROUP BY ALL""")
 def drive_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drives from plays, then drives per team and week."""
-    d = plays(spark, sf_dir).groupBy(*T3, "game").agg(F.count("*").alias("n"), F.sum("yards").alias("yards"), F.max("success").alias("scored"))
+    d = dealt(plays(spark, sf_dir), T3).groupBy(*T3, "game").agg(F.count("*").alias("n"), F.sum("yards").alias("yards"), F.max("success").alias("scored"))
     return d.groupBy(*T3).agg(F.count("*").alias("drives"), fixed(F.avg("n")).alias("plays_per_drive"), fixed(F.avg("yards"), 4).alias("yards_per_drive"), fixed(F.avg("scored")).alias("scoring_rate"))
 
 
 @query("""WITH {plays}, d AS (SELECT team, season, week, game, max(yards) AS clock FROM plays GROUP BY ALL) SELECT team, season, week, round(sum(clock) + 1e-9, 4) AS possession FROM d GROUP BY ALL""")
 def possession_max_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest clock of each drive, summed by team and week."""
-    d = plays(spark, sf_dir).groupBy(*T3, "game").agg(F.max("yards").alias("clock"))
+    d = dealt(plays(spark, sf_dir), T3).groupBy(*T3, "game").agg(F.max("yards").alias("clock"))
     return d.groupBy(*T3).agg(fixed(F.sum("clock"), 4).alias("possession"))
 
 
