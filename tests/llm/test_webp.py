@@ -113,3 +113,26 @@ def test_what_the_documents_reach(spark):
         reached[f"transform {webp.choose(c)}"] += 1
         reached["references"] += bool(webp.copies(webp._numbers(c)))
     assert reached["references"] > 50 and reached["transform None"] > 50 and reached[f"transform {I}"] > 0
+
+
+def test_small_tables_are_those_of_codes():
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        freq = r.integers(0, 30, 19) * r.integers(0, 2, 19)
+        lengths = webp.code_lengths(freq, webp.LONGEST_META)
+        assert webp._small_table(lengths.tolist()) == webp.Code(lengths).table
+    for lengths in ([1, 2], [1, 1, 1]):
+        with pytest.raises(webp.WebPError):
+            webp._small_table(lengths)
+
+
+def test_walks_over_segments_with_references_and_cache():
+    r = np.random.default_rng(6)
+    for colours in (40, 100_000):
+        px = r.integers(0, 256, (colours, 4)).astype(np.uint8)[r.integers(0, colours, 40_000)]
+        px[9000:21_000] = px[:12_000]
+        px = px.reshape(-1, 16, 4)
+        for cache in (True, False):
+            stream = webp.encode(px, [], cache)
+            assert 8 * len(stream) > 2 * webp.SEGMENT or colours == 40
+            assert np.array_equal(webp.decode(webp.file_of(stream)), px)

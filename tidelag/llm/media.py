@@ -44,7 +44,9 @@ def unpack(data: bytes) -> tuple[bytes, np.ndarray]:
 
 def features(pixels: np.ndarray) -> str:
     """The mean sample of each eighth of the image, as hexadecimal."""
-    return "".join(f"{int(x.mean()) if len(x) else 0:02x}" for x in np.array_split(pixels.reshape(-1), 8))
+    flat = pixels.reshape(-1)
+    parts = flat.reshape(8, -1).mean(1).tolist() if len(flat) and not len(flat) % 8 else [x.mean() if len(x) else 0 for x in np.array_split(flat, 8)]
+    return "".join(f"{int(x):02x}" for x in parts)
 
 
 _DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

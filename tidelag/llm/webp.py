@@ -46,12 +46,12 @@ class Bits:
     """Reads bits of a byte string from a position that moves on."""
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.end = data + bytes(8), 0, 8 * len(data)
+        self.data, self.at, self.end = data + bytes(9), 0, 8 * len(data)
         self._windows, self._base = memoryview(b""), -1
 
     def peek(self, n: int) -> int:
         a = self.at >> 3
-        return int.from_bytes(self.data[a : a + 6], "little") >> (self.at & 7) & ((1 << n) - 1)
+        return int.from_bytes(self.data[a : a + 9], "little") >> (self.at & 7) & ((1 << n) - 1)
 
     def read(self, n: int) -> int:
         v = self.peek(n)
@@ -93,7 +93,7 @@ def _reversed(n: int) -> np.ndarray:
 
 def _canonical(lengths: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The used symbols in the order of their codes, and where each code begins among the numbers of 15 bits."""
-    order = used[np.lexsort((used, lengths[used]))]
+    order = used[lengths[used].astype(np.uint8).argsort(kind="stable")]
     room = 1 << (LONGEST - lengths[order])
     return order, np.cumsum(room) - room
 
@@ -135,6 +135,30 @@ class Code:
         return v >> 4
 
 
+def _small_table(lengths: list[int]) -> list[int]:
+    """Code.table of a code of few symbols, made without arrays."""
+    used = [k for k, n in enumerate(lengths) if n]
+    if len(used) < 2:
+        return [used[0] << 4 if used else 0]
+    longest, at = max(lengths), 0
+    out, back = [0] * (1 << longest), _reversed_list(longest)
+    for n, k in sorted((lengths[k], k) for k in used):
+        end = at + (1 << (longest - n))
+        if end > len(out):
+            raise WebPError("the prefix code is not complete")
+        for i in range(at, end):
+            out[back[i]] = k << 4 | n
+        at = end
+    if at != len(out):
+        raise WebPError("the prefix code is not complete")
+    return out
+
+
+@lru_cache(16)
+def _reversed_list(n: int) -> list[int]:
+    return _reversed(n).tolist()
+
+
 def _read_code(bits: Bits, alphabet: int) -> Code:
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
@@ -144,14 +168,14 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
             lengths[bits.read(8)] = 1
         return Code(lengths)
     n = 4 + bits.read(4)
-    meta = np.zeros(19, dtype=np.int64)
-    for k in CODE_LENGTH_ORDER[:n]:
-        meta[k] = bits.read(3)
-    code = Code(meta)
+    meta, packed = [0] * 19, bits.read(3 * n)
+    for i, k in enumerate(CODE_LENGTH_ORDER[:n]):
+        meta[k] = packed >> 3 * i & 7
+    table = _small_table(meta)
     left = alphabet if not bits.read(1) else 2 + bits.read(2 + 2 * bits.read(3))
     if left > alphabet:
         raise WebPError("too many code lengths")
-    lengths, before, table, mask = [], 8, code.table, (1 << code.length) - 1
+    lengths, before, mask = bytearray(), 8, len(table) - 1
     win, base = bits.windows()
     at = bits.at - base
     while len(lengths) < alphabet and left:
@@ -168,18 +192,18 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
             lengths.append(k)
             before = k or before
         elif k == 16:
-            lengths += [before] * (3 + (win[at] & 3))
+            lengths += bytes([before]) * (3 + (win[at] & 3))
             at += 2
         elif k == 17:
-            lengths += [0] * (3 + (win[at] & 7))
+            lengths += bytes(3 + (win[at] & 7))
             at += 3
         else:
-            lengths += [0] * (11 + (win[at] & 127))
+            lengths += bytes(11 + (win[at] & 127))
             at += 7
     bits.at = base + at
     if len(lengths) > alphabet or bits.at > bits.end:
         raise WebPError("too many code lengths, or the stream breaks off")
-    return Code(np.array(lengths + [0] * (alphabet - len(lengths)), dtype=np.int64))
+    return Code(np.frombuffer(bytes(lengths), dtype=np.uint8).astype(np.int64))
 
 
 def _prefix_value(bits: Bits, code: int) -> int:
@@ -244,7 +268,10 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
 def _copied(bits: Bits, s: int, code: Code, out: list[int], width: int, n: int) -> list[int]:
     """The pixels that a length symbol and the distance behind it refer back to."""
     size = _prefix_value(bits, s - 256)
-    back = _distance(_prefix_value(bits, code.read(bits)), width)
+    return _copy(out, size, _distance(_prefix_value(bits, code.read(bits)), width), n)
+
+
+def _copy(out: list[int], size: int, back: int, n: int) -> list[int]:
     i = len(out)
     if back > i or i + size > n:
         raise WebPError("a reference leaves the image")
@@ -260,46 +287,88 @@ def _remember(cache: list[int], out: list[int], cached: int, cache_bits: int) ->
 
 
 def _read_pixels(bits: Bits, codes: list[Code], width: int, n: int, cache_bits: int) -> np.ndarray:
-    """n pixels of one code group, by tables on the windows of a segment."""
-    out: list[int] = []
-    cache, cached = [0] * (1 << cache_bits), 0
-    (tg, mg), (tr, mr), (tb, mb), (ta, ma) = ((c.table, (1 << c.length) - 1) for c in codes[:4])
+    """n pixels of one code group.
+
+    In a segment the symbols at all positions are looked up at once, and with them where the pixel behind
+    one that began there begins; then the pixels are walked through, and the values of all taken together.
+    """
+    parts, out = [], []  # pixels as arrays; as a list from the first segment on that refers back or has cached ones
+    cache, cached, left = [0] * (1 << cache_bits), 0, n
     win, base = bits.windows()
-    at, stop, put, left = bits.at - base, min(SEGMENT - 64, bits.end - base + 1), out.append, n
+    at = bits.at - base
     while left > 0:
+        stop = min(SEGMENT - 64, bits.end - base + 1)
         if at >= stop:  # near the end of a segment, or beyond it
             if base + at > bits.end:
                 raise WebPError("the stream breaks off")
             win, base = bits.windows_from(base + at)
-            at, stop = at & 7, min(SEGMENT - 64, bits.end - base + 1)
-        v = tg[win[at] & mg]
-        at += v & 15
-        s = v >> 4
-        if s < 256:
-            v = tr[win[at] & mr]
-            at += v & 15
-            p = s << 8 | (v >> 4) << 16
-            v = tb[win[at] & mb]
-            at += v & 15
-            p |= v >> 4
-            v = ta[win[at] & ma]
-            at += v & 15
-            put(p | (v >> 4) << 24)
-            left -= 1
+            at &= 7
+            stop = min(SEGMENT - 64, bits.end - base + 1)
+        begin, need = at, at + min(stop - at, 4 * LONGEST * left)
+        w = np.frombuffer(win, dtype=np.uint16)[begin : need + 8 * LONGEST]
+        found = {id(c): c.array.take(w & ((1 << c.length) - 1)) for c in codes[:4]}
+        here = np.arange(len(w))
+        over = {k: here + (v & 15) for k, v in found.items()}
+        green, (red, blue, alpha) = found[id(codes[0])], (over[id(c)] for c in codes[1:4])
+        behind = over[id(codes[0])][: need - begin + 4 * LONGEST]
+        place = alpha.take(blue.take(red.take(behind, mode="clip"), mode="clip"), mode="clip")
+        kind = green[: len(place)]
+        if kind.max() >= 256 << 4:
+            place = np.where(kind < 256 << 4, place, np.where(kind < (256 + LENGTH_CODES) << 4, -1, behind))
+        size = need - begin
+        place[size:] = -2  # there the walk ends
+        after, steps, events, i = memoryview(place), [], [], 0
+        put = steps.append
+        while left > 0:
+            first = len(steps)
+            for _ in range(left):
+                k = after[i]
+                if k < 0:
+                    break
+                put(i)
+                i = k
+            left -= len(steps) - first
+            if left <= 0 or after[i] == -2:
+                break
+            v = int(green[i])
+            bits.at = base + begin + i + (v & 15)
+            length = _prefix_value(bits, (v >> 4) - 256)
+            events.append((len(steps), length, _distance(_prefix_value(bits, codes[4].read(bits)), width)))
+            put(i)
+            i = bits.at - base - begin
+            left -= length
+            if i >= size:
+                break
+        at = begin + i
+        steps = np.array(steps, dtype=np.int64)
+        symbol = green.take(steps) >> 4
+        p = symbol & 255
+        p <<= 8
+        q = behind.take(steps)
+        for c, jump, shift in zip(codes[1:4], (red, blue, alpha), (16, 0, 24), strict=True):
+            p |= found[id(c)].take(q, mode="clip") >> 4 << shift
+            q = jump.take(q, mode="clip")
+        p = p.view(np.uint32)
+        special = np.flatnonzero(symbol >= 256).tolist()
+        if not special and not out:
+            parts.append(p)
             continue
-        bits.at = base + at
-        if s < 256 + LENGTH_CODES:
-            found = _copied(bits, s, codes[4], out, width, n)
-            out += found
-            at, left = bits.at - base, left - len(found)
-        else:
-            cached = _remember(cache, out, cached, cache_bits)
-            put(cache[s - 256 - LENGTH_CODES])
-            left -= 1
+        if parts:
+            out, parts = np.concatenate(parts).tolist(), []
+        far, values, done = {k: rest for k, *rest in events}, p.tolist(), 0
+        for k in special:
+            out += values[done:k]
+            done = k + 1
+            if k in far:
+                out += _copy(out, *far[k], n)
+            else:
+                cached = _remember(cache, out, cached, cache_bits)
+                out.append(cache[int(symbol[k]) - 256 - LENGTH_CODES])
+        out += values[done:]
     bits.at = base + at
     if bits.at > bits.end:
         raise WebPError("the stream breaks off")
-    return np.array(out, dtype=np.uint32)
+    return np.concatenate(parts) if parts else np.array(out, dtype=np.uint32)
 
 
 def _channels(p: np.ndarray) -> np.ndarray:
@@ -471,18 +540,21 @@ def code_lengths(freq: np.ndarray, limit: int) -> np.ndarray:
     while True:
         order = np.argsort(weight, kind="stable")
         leaves, n = weight[order].tolist(), len(used)
-        nodes, parent, i, j = [], [0] * (2 * n - 1), 0, 0
+        leaves += [1 << 62] * 2  # behind the last one
+        nodes, parent, i, j = [1 << 62] * (n + 1), [0] * (2 * n - 1), 0, 0
         for k in range(n - 1):
-            total = 0
-            for _ in range(2):
-                if j >= len(nodes) or (i < n and leaves[i] <= nodes[j]):
-                    total, parent[i], i = total + leaves[i], n + k, i + 1
-                else:
-                    total, parent[n + j], j = total + nodes[j], n + k, j + 1
-            nodes.append(total)
+            if leaves[i] <= nodes[j]:
+                total, parent[i], i = leaves[i], n + k, i + 1
+            else:
+                total, parent[n + j], j = nodes[j], n + k, j + 1
+            if leaves[i] <= nodes[j] and i < n:
+                total, parent[i], i = total + leaves[i], n + k, i + 1
+            else:
+                total, parent[n + j], j = total + nodes[j], n + k, j + 1
+            nodes[k] = total
         depth = [0] * (2 * n - 1)
-        for k in range(2 * n - 3, -1, -1):
-            depth[k] = depth[parent[k]] + 1
+        for k, up in zip(range(2 * n - 3, -1, -1), parent[-2::-1]):
+            depth[k] = depth[up] + 1
         if max(depth[:n]) <= limit:
             out[used[order]] = depth[:n]
             return out
@@ -511,12 +583,15 @@ def _put_code(w: Writer, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _made((freq > 0).astype(np.int64))
     lengths = code_lengths(freq, LONGEST_MADE)
     tokens: list[tuple[int, int, int]] = []  # symbol, extra bits, how many
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(lengths)) + 1, [len(lengths)]])
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        x, run = int(lengths[a]), b - a
+    edges = [*(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(lengths)]
+    a, runs = 0, lengths[[0, *edges[:-1]]].tolist()
+    for x, b in zip(runs, edges, strict=True):
+        run, a = b - a, b
         if x:
             tokens.append((x, 0, 0))
             run -= 1
+        if not run:
+            continue
         while run >= (3 if x else 11):
             k = min(run, 6 if x else 138)
             tokens.append((16, k - 3, 2) if x else (18, k - 11, 7))
@@ -525,16 +600,23 @@ def _put_code(w: Writer, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             tokens.append((17, run - 3, 3))
             run = 0
         tokens += [(x, 0, 0)] * run
-    meta = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), LONGEST_META)
-    n = max(4, max(i for i, k in enumerate(CODE_LENGTH_ORDER) if meta[k]) + 1)
-    w.put(0, 1)
-    w.put(n - 4, 4)
+    times = [0] * 19
+    for t, _, _ in tokens:
+        times[t] += 1
+    meta = code_lengths(np.array(times), LONGEST_META)
+    plain = meta.tolist()
+    n = max(4, max(i for i, k in enumerate(CODE_LENGTH_ORDER) if plain[k]) + 1)
+    value, at = (n - 4) << 1, 5
     for k in CODE_LENGTH_ORDER[:n]:
-        w.put(int(meta[k]), 3)
-    w.put(0, 1)
+        value |= plain[k] << at
+        at += 3
+    at += 1
     bits, size = (x.tolist() for x in _made(meta))
     for t, extra, k in tokens:
-        w.put(bits[t] | extra << size[t], size[t] + k)
+        m = size[t]
+        value |= (bits[t] | extra << m) << at
+        at += m + k
+    w.put(value, at)
     return _made(lengths)
 
 
@@ -629,8 +711,9 @@ def _put_image(w: Writer, p: np.ndarray, width: int, main: bool, cache: bool | N
         value[k, 3], bits[k, 3] = extra, m
     far, groups = np.array(far, dtype=np.int64), group[at]
     for g in range(1 + int(group.max(initial=0))):
-        own = groups == g
-        literal, refer_back = own & (kind == 0), own[where] if len(where) else np.zeros(0, dtype=bool)
+        own = groups == g if block else slice(None)
+        literal = (groups == g) & (kind == 0) if block or kind.any() else slice(None)
+        refer_back = groups[where] == g
         count = lambda x, size: np.bincount(x, minlength=size)
         code, m = _put_code(w, count(green[own], 256 + LENGTH_CODES + ((1 << CACHE_BITS) if cache else 0)))
         value[own, 0], bits[own, 0] = code[green[own]], m[green[own]]
@@ -638,15 +721,16 @@ def _put_image(w: Writer, p: np.ndarray, width: int, main: bool, cache: bool | N
         if pooled:  # one code for red, blue and alpha, written three times
             freq = count(rest.reshape(-1), 256)
             sub = Writer()
-            codes = [_put_code(sub, freq)] * 3
+            code, m = _put_code(sub, freq)
             for _ in range(3):
                 w.append(sub)
+            value[literal, 1:], bits[literal, 1:] = code.take(rest), m.take(rest)
         else:
-            codes = [_put_code(w, count(rest[:, k], 256)) for k in range(3)]
-        for k, (code, m) in enumerate(codes):
-            value[literal, k + 1], bits[literal, k + 1] = code[rest[:, k]], m[rest[:, k]]
+            for k, (code, m) in enumerate([_put_code(w, count(rest[:, k], 256)) for k in range(3)]):
+                value[literal, k + 1], bits[literal, k + 1] = code[rest[:, k]], m[rest[:, k]]
         code, m = _put_code(w, count(far[refer_back], DISTANCE_CODES))
-        value[where[refer_back], 2], bits[where[refer_back], 2] = code[far[refer_back]], m[far[refer_back]]
+        if len(where):
+            value[where[refer_back], 2], bits[where[refer_back], 2] = code[far[refer_back]], m[far[refer_back]]
     w.row(value.reshape(-1), bits.reshape(-1))
 
 
@@ -716,7 +800,8 @@ def choose(c: np.ndarray) -> int | None:
     if len(x) > 1 and (np.einsum("ij,ij->j", x[1:], x[:-1]) / var).max() > LIKE:
         kinds.append(PREDICTOR)
         tried.append(c - np.concatenate([np.zeros((h, 1, 4), dtype=np.uint8), c[:, :-1]], axis=1))
-    colours = len(np.unique(_numbers(c)))
+    found = np.sort(_numbers(c))
+    colours = 1 + int(np.count_nonzero(found[1:] != found[:-1]))
     if len(kinds) == 1 and colours > 256:
         return None
     costs = dict(zip(kinds, _costs(np.stack(tried)), strict=True))
