@@ -1,7 +1,9 @@
-"""A correlation that is exactly 0 has no sign, whatever the order of rows."""
+"""A correlation that is exactly 0 has no sign, whatever the order of rows; one of a side that never changes is NaN, as in SQL."""
 
+import duckdb
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tidelag.plans import registry
 
@@ -22,3 +24,29 @@ def test_pair_correlation_of_zero(spark, tmp_path):
     d = d.drop(columns=["year", "month"]).assign(l_orderkey=1, l_linenumber=1, l_discount=0.05, l_extendedprice=1.0, l_returnflag="R", l_linestatus="O").astype({"l_quantity": float})
     spark.createDataFrame(d).write.parquet(str(tmp_path / "lineitem.parquet"))
     assert [r["team"] for r in registry.QUERIES["pair_correlation"](spark, str(tmp_path)).collect()] == [99]
+
+
+def test_pair_correlation_of_flat_sides_and_nulls(spark, tmp_path):
+    """Sides that never change, on early or late seasons, and weeks without yards against the SQL."""
+    rows, rng = [], np.random.default_rng(6)
+    for team in range(12):
+        for k in (4, 5):
+            for year in (1998, 1999):
+                for month in range(1, 13):
+                    flat = team % 3 == 0 and k == 5 and year == 1998 + team % 2
+                    lost = team % 3 == 1 and (month + k) % 5 == 0
+                    rows.append((team, k, year, month, None if lost else 7.0 if flat else float(rng.integers(1, 30) + month * 9)))
+    # Over the weeks in which both have yards it is exactly 0, over all weeks of either it is not.
+    for k, late in ((4, [1.0, 2.0, 1.0, 2.0, 50.0, None]), (5, [1.0, 1.0, 2.0, 2.0, None, 9.0])):
+        rows += [(50, k, 1998, month, float(month)) for month in range(1, 13)] + [(50, k, 1999, month + 1, y) for month, y in enumerate(late)]
+    d = pd.DataFrame(rows, columns=["l_suppkey", "l_partkey", "year", "month", "l_quantity"])
+    d["l_shipdate"] = pd.to_datetime(d[["year", "month"]].assign(day=1)).astype("datetime64[us]")
+    d = d.drop(columns=["year", "month"]).assign(l_orderkey=1, l_linenumber=1, l_discount=0.05, l_extendedprice=1.0, l_returnflag="R", l_linestatus="O")
+    folder = str(tmp_path / "lineitem.parquet")
+    spark.createDataFrame(d).select("*", F.nanvl("l_quantity", F.lit(None).cast("double")).alias("q")).drop("l_quantity").withColumnRenamed("q", "l_quantity").write.parquet(folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/*.parquet'")
+    want = {r[0]: repr(r) for r in con.execute(registry.ORACLES["pair_correlation"]).fetchall()}
+    got = {r[0]: repr(tuple(r)) for r in registry.QUERIES["pair_correlation"](spark, str(tmp_path)).collect()}
+    want.pop(50, None)  # 0 up to rounding, whose sign the SQL leaves to the order of rows
+    assert got == want and {0, 3, 6, 9} <= set(got)

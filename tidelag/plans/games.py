@@ -111,7 +111,7 @@ def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of pairs of slots of a team's week, kept where its sign holds on later seasons.
 
     A correlation of 0 has no sign; summed in floating point it would get one, another in each order of rows. Products of
-    whole yards add up exactly, so whether it is 0 is told by them.
+    whole yards add up exactly, so whether it is 0 is told by them. Where one side never changes it is NaN, which is above 0 as in SQL.
     """
     k = plays(spark, sf_dir).groupBy(*T3, (F.col("player") % 4).alias("slot")).agg(F.sum("yards").alias("y"))
     a, b = (k.select(*T3, F.col("slot").alias(x), F.col("y").alias(f"y{x}")) for x in "ab")
@@ -119,8 +119,12 @@ def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = F.col("season") < 1999
 
     def corr(c: Column) -> Column:
-        a, b = F.when(c, F.col("ya")), F.when(c, F.col("yb"))
-        return F.when(F.count_if(c) * F.sum(a * b) == F.sum(a) * F.sum(b), F.lit(0.0)).otherwise(F.corr(a, b))
+        both = c & F.col("ya").isNotNull() & F.col("yb").isNotNull()
+        a, b = F.when(both, F.col("ya")), F.when(both, F.col("yb"))
+        products = F.sum(a * b)
+        flat = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
+        zero = (F.count(a) * products == F.sum(a) * F.sum(b)) & (F.abs(products) < float("inf"))
+        return F.when(flat, F.lit(float("nan"))).when(zero, F.lit(0.0)).otherwise(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
     r = p.groupBy("team", "a", "b").agg(F.count_if(early).alias("n_train"), F.count_if(~early).alias("n_hold"), corr(early).alias("t"), corr(~early).alias("h"))
     return r.where("n_train >= 8 AND n_hold >= 4 AND t * h > 0").select("team", "a", "b", "n_train", "n_hold", fixed("t").alias("rho_train"), fixed("h").alias("rho_hold"))
