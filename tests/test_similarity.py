@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidelag.functions.scalars import fixed
 from tidelag.operators import similarity as S
 
 SCHEMA = "id long, block string, season int, pick int, round int, wt double, forty double, vertical double, broad_jump double, school string, style string, extra string"
@@ -97,3 +100,64 @@ def test_tiles_leave_no_pair_out(spark, monkeypatch):
     whole = edges()
     monkeypatch.setattr(S, "TILE", 3)
     assert whole and edges() == whole
+
+
+def sides(n, seed, **other):
+    """A group's rows, n on either side, as the search gets them."""
+    rng = np.random.default_rng(seed)
+    x = pa.table({"side": np.zeros(n, int), "id": np.arange(n), "n": np.ones(n, int), **{c: rng.random(n) for c in S._VALUES}, "bits": np.full(n, 15), "school": ["a"] * n, "style": pa.nulls(n, pa.string()), "kind": np.zeros(n, int), **other})
+    return x, pa.concat_tables([x, x.set_column(0, "side", pa.array(np.ones(n, int)))]).combine_chunks()
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2])
+@pytest.mark.parametrize("best", [None, 5])
+def test_a_search_in_small_steps_finds_the_same(monkeypatch, kind, best):
+    rng, n = np.random.default_rng(9), 300
+    names = [f"s{i}" if i else None for i in rng.integers(0, 9, n)]
+    styles = [None if s is None or s > "s6" else "xy"[s > "s3"] for s in names]
+    other = {"school": ["a"] * n, "style": ["x"] * n} if kind == 0 else {"school": names, "style": styles if kind == 2 else ["x"] * n}
+    _, both = sides(n, 5, bits=rng.integers(0, 16, n), kind=np.full(n, kind), season=rng.integers(2000, 2004, n), bound=pa.nulls(2 * n, pa.float64())[:n], **other)
+    search = lambda: sorted(zip(*pa.Table.from_batches(S._searched(0.3, best, pa.int64())(iter(both.to_batches()))).to_pydict().values(), strict=True))
+    whole = search()
+    if best:  # against all pairs: as many of each row as the best, and what nearly ties
+        kept = {}
+        for a, _, s in whole:
+            kept.setdefault(a, []).append(s)
+        t = both.slice(0, n).to_pydict()
+        v = np.column_stack([t[c] for c in S._VALUES])
+        for a in range(n):
+            b = np.array([b for b in range(n) if t["season"][b] < t["season"][a] and (kind == 0 or t["school"][a] is None or t["school"][a] != t["school"][b]) and (kind < 2 or t["style"][a] is None or t["style"][a] != t["style"][b])], int)
+            want = np.sort(S._similar(np.repeat(v[[a]], len(b), 0), v[b], np.array(t["bits"])[b] & t["bits"][a], kind))[::-1][:best]
+            assert sorted(kept.get(a, []), reverse=True)[:best] == want.tolist()
+    for name, size in (("ROWS_AT_ONCE", 7), ("BOXES_AT_ONCE", 16), ("PAIRS_AT_ONCE", 3), ("BOX", 2), ("BOXES", 2)):
+        monkeypatch.setattr(S, name, size)
+    again = search()
+    assert whole and (again == whole if best is None else {(a, s) for a, _, s in again} >= {(a, s) for a, _, s in whole})
+
+
+def test_tiles_leave_no_comparison_out(spark, monkeypatch):
+    df = spark.createDataFrame(rows(), SCHEMA)
+    found = lambda: sorted(map(tuple, S.nearest_earlier(df).collect()))
+    whole = found()
+    monkeypatch.setattr(S, "TILE", 3)
+    assert whole and found() == whole
+
+
+def test_few_pairs_are_looked_at(monkeypatch):
+    """Rows meet boxes of near ones: of all pairs of a group few are compared."""
+    n = 4000
+    x, both = sides(n, 3)
+    seen, away = [], S._Boxes.away
+    monkeypatch.setattr(S._Boxes, "away", lambda self, v, box: seen.append(len(box) * S.BOX) or away(self, v, box))
+    found = pa.Table.from_batches(S._searched(0.03, None, pa.int64())(iter(both.to_batches())))
+    v = np.column_stack([x[c] for c in S._VALUES]) * S._SCALES
+    want = {(i, j) for i in range(n) for j in np.flatnonzero(np.abs(v[i] - v).sum(1) <= 0.03 + 5e-7) if i < j}
+    got = set(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True))
+    assert sum(seen) < n * n / 3 and len(got) == found.num_rows
+    assert all(abs(np.abs(v[i] - v[j]).sum() - 0.03) < 2e-6 for i, j in want ^ got)
+
+
+def test_similarities_are_rounded_as_spark_rounds(spark):
+    x = np.concatenate([np.random.default_rng(4).random(2000), np.arange(1, 400, 2) / 2e6 - 1e-9, np.arange(1, 400, 2) / 2e6, [0.0, 1.0]])
+    want = [r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(fixed("x")).collect()]
+    assert S._rounded(x).tolist() == want
