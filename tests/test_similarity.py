@@ -3,12 +3,14 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidelag.functions.scalars import fixed
 from tidelag.operators import similarity as S
+from tidelag.plans import registry
 
 SCHEMA = "id long, block string, season int, pick int, round int, wt double, forty double, vertical double, broad_jump double, school string, style string, extra string"
 
@@ -161,3 +163,16 @@ def test_similarities_are_rounded_as_spark_rounds(spark):
     x = np.concatenate([np.random.default_rng(4).random(2000), np.arange(1, 400, 2) / 2e6 - 1e-9, np.arange(1, 400, 2) / 2e6, [0.0, 1.0]])
     want = [r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(fixed("x")).collect()]
     assert S._rounded(x).tolist() == want
+
+
+def test_a_mean_of_five_points_is_no_bust(spark, tmp_path):
+    """Weeks of whole yards that mean 5 points exactly, whose fifths added up one by one may fall short of it."""
+    days = pd.DataFrame({"l_shipdate": pd.date_range("1995-01-01", periods=36, freq="MS").astype("datetime64[us]"), "week": range(36)})
+    yards = np.random.default_rng(8).integers(1, 50, (200, 36))
+    yards[:, 18:] = 50 - yards[:, :18]
+    d = pd.DataFrame({"l_partkey": np.repeat(np.arange(200), 36), "week": np.tile(np.arange(36), 200), "l_quantity": yards.ravel().astype(float)}).merge(days).drop(columns="week")
+    d = d.assign(l_suppkey=1, l_orderkey=1, l_linenumber=1, l_discount=0.05, l_extendedprice=1.0, l_returnflag="R", l_linestatus="O")
+    spark.createDataFrame(d).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i, "a bolt", "X", i % 50) for i in range(200)], "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    found = registry.QUERIES["prospect_features"](spark, str(tmp_path)).collect()
+    assert len(found) > 150 and {r.prospect_comp_bust_rate for r in found} == {0.0}
